@@ -1,77 +1,86 @@
-"""Exact interpolated quantiles per group, safe for very large groups."""
+"""Exact interpolated quantiles per group, safe for very large groups.
+
+The built-in ``percentile`` keeps one map of all distinct values of a group in one task. That is the
+fastest way for groups of ordinary size and impossible for a group holding a large share of all rows.
+So the largest group is measured first, with a count over the key columns only. Groups above
+``hot_rows`` take a second path: values are counted, cut into ranges, ranked by a block scan and picked
+by rank, all of it spread over the cluster. Both paths are exact.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .series import Series
 
-HOT_DISTINCT = 2_000_000
+HOT_ROWS = 1_000_000
+RANGES = 256
 
 
-def group_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    metrics: list[str],
-    probs: dict[str, float],
-    hot_distinct: int = HOT_DISTINCT,
-) -> DataFrame:
-    """Rows ``(keys, metric, n, <name per probability>)`` with linear interpolation.
+def percentile_columns(metrics: list[str], probs: dict[str, float]) -> tuple[list[Column], list[Column]]:
+    """Aggregates (one array per metric) and the columns ``<metric>_<name>`` that unpack them."""
+    ps = F.array(*(F.lit(float(p)) for p in probs.values()))
+    aggs = [F.percentile(m, ps).alias(f"_q_{m}") for m in metrics]
+    cols = [F.col(f"_q_{m}")[i].alias(f"{m}_{nm}") for m in metrics for i, nm in enumerate(probs)]
+    return aggs, cols
 
-    Equal values are counted before anything is grouped. Groups with at most ``hot_distinct`` distinct
-    values use the built-in ``percentile`` with frequencies; for larger groups, whose value map would
-    not fit one task, the values are cut into ranges, ranked by a block scan and picked by rank.
-    """
-    names = list(probs)
-    long = df.unpivot(keys, metrics, "metric", "v") if len(metrics) > 1 else df.select(
-        *keys, F.lit(metrics[0]).alias("metric"), F.col(metrics[0]).alias("v")
-    )
-    group = [*keys, "metric"]
-    counted = long.filter(F.col("v").isNotNull()).groupBy(*group, "v").agg(F.count("*").alias("cnt"))
-    sizes = counted.groupBy(*group).agg(F.sum("cnt").alias("n"), F.count("*").alias("_d"))
-    # a left join with a flag, not a semi join: the latter would be pushed below the count
-    sized = counted.join(sizes.withColumn("_hot", F.col("_d") > hot_distinct), group)
 
-    arr = F.expr(f"percentile(v, array({', '.join(f'{p}D' for p in probs.values())}), cnt)")
-    small = (
-        sized.filter(~F.col("_hot"))
-        .groupBy(*group)
-        .agg(F.max("n").alias("n"), arr.alias("_q"))
-        .select(*group, "n", *(F.col("_q")[i].alias(nm) for i, nm in enumerate(names)))
-    )
+def hot_groups(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame | None:
+    """Keys of the groups above ``hot_rows``, or None if there is none. Runs one small job."""
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    return sizes.filter(F.col("_n") > hot_rows).select(*keys) if largest > hot_rows else None
 
-    hot = sized.filter("_hot")
-    cuts = [i / 256 for i in range(1, 256)]
-    bounds = hot.groupBy(*group).agg(F.percentile_approx("v", cuts, 10000).alias("_cuts"))
-    ranged = hot.join(bounds, group).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda c: c < F.col("v")))
+
+def _ranked(df: DataFrame, keys: list[str], metrics: list[str], probs: dict[str, float]) -> DataFrame:
+    group = [*keys, "metric"]
+    long = df.unpivot(keys, metrics, "metric", "v").filter(F.col("v").isNotNull())
+    counted = cut(long.groupBy(*group, "v").agg(F.count("*").alias("cnt")))
+    bounds = counted.groupBy(*group).agg(
+        F.sum("cnt").alias("n"),
+        F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)], 10000).alias("_cuts"),
     )
-    ranked = Series(ranged.drop("_cuts"), tuple(group), ("v",), ("_range",)).scan({"_cum": ("sum", F.col("cnt"))}).df
-    picks = []
-    for i, p in enumerate(probs.values()):
+    ranged = counted.join(bounds, group).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("v"))))
+    cum = Series(ranged.drop("_cuts"), tuple(group), ("v",), ("_range",)).scan({"_cum": ("sum", F.col("cnt"))}).df
+    picks, cols = [], []
+    for nm, p in probs.items():
         at = F.lit(float(p)) * (F.col("n") - 1)
         for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
             hit = (F.col("_cum") - F.col("cnt") <= rank) & (rank < F.col("_cum"))
-            picks.append(F.max(F.when(hit, F.col("v"))).alias(f"_{side}{i}"))
-    at_frac = [F.lit(float(p)) * (F.col("n") - 1) - F.floor(F.lit(float(p)) * (F.col("n") - 1)) for p in probs.values()]
-    big = (
-        ranked.groupBy(*group)
-        .agg(F.max("n").alias("n"), *picks)
-        .select(
-            *group, "n",
-            *(
-                (F.col(f"_lo{i}") + at_frac[i] * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(nm)
-                for i, nm in enumerate(names)
-            ),
-        )
-    )
-    return small.unionByName(big)
-
-
-def wide_quantiles(df: DataFrame, keys: list[str], metrics: list[str], probs: dict[str, float], **kw) -> DataFrame:
-    """One row per group with columns ``<metric>_<name>``."""
-    q = group_quantiles(df, keys, metrics, probs, **kw)
+            picks.append(F.max(F.when(hit, F.col("v"))).alias(f"_{side}_{nm}"))
+        lo, hi = F.col(f"_lo_{nm}"), F.col(f"_hi_{nm}")
+        cols.append((lo + (at - F.floor(at)) * (hi - lo)).alias(nm))
+    q = cum.groupBy(*group).agg(F.max("n").alias("n"), *picks).select(*group, *cols)
     return q.groupBy(*keys).agg(
         *(F.max(F.when(F.col("metric") == m, F.col(nm))).alias(f"{m}_{nm}") for m in metrics for nm in probs)
     )
+
+
+def group_quantiles(
+    df: DataFrame,
+    keys: list[str],
+    metrics: list[str],
+    probs: dict[str, float],
+    hot_rows: int | None = HOT_ROWS,
+    aggs: list[Column] | tuple = (),
+) -> DataFrame:
+    """One row per group with columns ``<metric>_<name>``, after any further aggregates given.
+
+    ``hot_rows=None`` skips the measurement where the size of a group is bounded by its meaning, as for
+    the hours of a day or the days of a calendar.
+    """
+    arrays, cols = percentile_columns(metrics, probs)
+    hot = hot_groups(df, keys, hot_rows) if hot_rows is not None else None
+    small_src = df if hot is None else df.join(hot, keys, "left_anti")
+    agg = small_src.groupBy(*keys).agg(*aggs, *arrays)
+    kept = [c for c in agg.columns if not c.startswith("_q_")]
+    small = agg.select(*kept, *cols)
+    if hot is None:
+        return small
+    big_src = df.join(hot, keys, "left_semi")
+    big = _ranked(big_src, keys, metrics, probs)
+    if aggs:
+        big = big_src.groupBy(*keys).agg(*aggs).join(big, keys)
+    return small.unionByName(big)

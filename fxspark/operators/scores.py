@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.market import hours_between, log_decay
 from ..functions.stats import power_sums, standardized
-from .quantiles import wide_quantiles
+from .quantiles import HOT_ROWS, group_quantiles
 
 # The quantiles kept per score
 QUANTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
@@ -18,9 +18,8 @@ def bucket(ts, unit: str) -> Column:
     return F.date_trunc(unit, c.cast("timestamp")).cast("timestamp_ntz")
 
 
-def score_statistics(df: DataFrame, metrics: list[str], unit: str = "hour", ts: str = "ts", key: str = "primary_ccy") -> DataFrame:
-    """Count and, per metric, min, max, mean, population deviation, skewness and plain kurtosis."""
-    aggs = []
+def _moment_columns(metrics: list[str]) -> list[Column]:
+    aggs = [F.count("*").alias("article_count")]
     for m in metrics:
         aggs += [
             F.min(m).alias(f"{m}_min"),
@@ -30,20 +29,31 @@ def score_statistics(df: DataFrame, metrics: list[str], unit: str = "hour", ts:
             F.skewness(m).alias(f"{m}_skewness"),
             (F.kurtosis(m) + 3).alias(f"{m}_kurtosis"),
         ]
-    return df.groupBy(bucket(ts, unit).alias(f"{unit}_bucket"), F.col(key).alias("symbol")).agg(
-        F.count("*").alias("article_count"), *aggs
-    )
+    return aggs
 
 
-def score_statistics_with_quantiles(df: DataFrame, metrics: list[str], unit: str = "hour", ts: str = "ts", key: str = "primary_ccy", **kw) -> DataFrame:
-    """:func:`score_statistics` plus range, variance and seven exact quantiles per metric."""
+def _keyed(df: DataFrame, metrics: list[str], unit: str, ts: str, key: str) -> tuple[DataFrame, list[str]]:
     keys = [f"{unit}_bucket", "symbol"]
-    base = score_statistics(df, metrics, unit, ts, key).withColumns(
+    return df.select(bucket(ts, unit).alias(keys[0]), F.col(key).alias("symbol"), *metrics), keys
+
+
+def score_statistics(df: DataFrame, metrics: list[str], unit: str = "hour", ts: str = "ts", key: str = "primary_ccy") -> DataFrame:
+    """Count and, per metric, min, max, mean, population deviation, skewness and plain kurtosis."""
+    src, keys = _keyed(df, metrics, unit, ts, key)
+    return src.groupBy(*keys).agg(*_moment_columns(metrics))
+
+
+def score_statistics_with_quantiles(df: DataFrame, metrics: list[str], unit: str = "hour", ts: str = "ts", key: str = "primary_ccy", hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """:func:`score_statistics` plus range, variance and seven exact quantiles per metric.
+
+    One scan and one shuffle unless a group is too large for one task.
+    """
+    src, keys = _keyed(df, metrics, unit, ts, key)
+    out = group_quantiles(src, keys, metrics, QUANTILES, hot_rows, _moment_columns(metrics))
+    return out.withColumns(
         {f"{m}_range": F.col(f"{m}_max") - F.col(f"{m}_min") for m in metrics}
         | {f"{m}_variance": F.pow(f"{m}_stddev", F.lit(2)) for m in metrics}
     )
-    src = df.select(bucket(ts, unit).alias(keys[0]), F.col(key).alias("symbol"), *metrics)
-    return base.join(wide_quantiles(src, keys, metrics, QUANTILES, **kw), keys)
 
 
 def partial_states(df: DataFrame, keys: list[str], metrics: list[str], shifts: dict[str, float] | None = None, sketch: bool = True) -> DataFrame:
