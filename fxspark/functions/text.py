@@ -146,3 +146,8 @@ def dataset_parts(c) -> dict[str, Column]:
 
 def host(url) -> Column:
     return F.lower(F.try_parse_url(_c(url), F.lit("HOST")))
+
+
+def two_places(x) -> Column:
+    """A number with two decimals, rounded by its exact binary value, without thousands separators."""
+    return F.regexp_replace(F.format_number(_c(x), 2), ",", "")
