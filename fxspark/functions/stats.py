@@ -9,16 +9,17 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def norm_cdf(x: pd.Series) -> pd.Series:
     """Standard normal distribution function."""
     d = NormalDist()
     return pd.Series([d.cdf(v) if v == v else None for v in x.to_numpy(dtype=float)], dtype="float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def norm_ppf(p: pd.Series) -> pd.Series:
     """Standard normal quantile; NaN outside (0, 1)."""
     d = NormalDist()

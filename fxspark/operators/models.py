@@ -102,3 +102,58 @@ def forest_importance(df: DataFrame, label: str, feats: list[str], trees: int =
     model = RandomForestClassifier(labelCol="_label", numTrees=trees, maxDepth=depth, seed=seed).fit(data)
     rows = [(f, float(s)) for f, s in zip(feats, model.featureImportances.toArray())]
     return df.sparkSession.createDataFrame(rows, "feature string, score double")
+
+
+def principal_components(df: DataFrame, feats: list[str], threshold: float = 0.95, cap: int = 8):
+    """Standardised principal components up to a share of variance: (scores, variance rows).
+
+    The sign of a component makes its largest loading positive. Loadings are features x components, a
+    small matrix on the driver; scores stay distributed as columns pc1, pc2, ...
+    """
+    import numpy as np
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import vector_to_array
+
+    v = _vector(df, feats, "_raw")
+    v = StandardScaler(inputCol="_raw", outputCol="_std", withMean=True).fit(v).transform(v)
+    model = PCA(k=len(feats), inputCol="_std", outputCol="_pc").fit(v)
+    ev = model.explainedVariance.toArray()
+    k = int(np.searchsorted(np.cumsum(ev), threshold)) + 1
+    k = min(max(1, k), cap, len(feats))
+    load = model.pc.toArray()[:, :k]
+    sign = np.where(load[np.abs(load).argmax(axis=0), np.arange(k)] < 0, -1.0, 1.0)
+    arr = vector_to_array("_pc")
+    scores = model.transform(v).select(*df.columns, *((arr[i] * float(sign[i])).alias(f"pc{i + 1}") for i in range(k)))
+    rows = [(i + 1, float(ev[i]), float(ev[: i + 1].sum()), feats[int(np.abs(load[:, i]).argmax())]) for i in range(k)]
+    return scores, df.sparkSession.createDataFrame(rows, "component int, explained double, cumulative double, main_feature string")
+
+
+def mixture_states(df: DataFrame, feats: list[str], n_states: int = 3, seed: int = 42, max_iter: int = 20) -> DataFrame:
+    """Regime state, its probabilities and confidence from a Gaussian mixture over the features.
+
+    Stands in for a hidden Markov model: the same outputs without transitions inside the fit, so labels
+    differ by design.
+    """
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.functions import vector_to_array
+
+    v = _vector(df, feats)
+    model = GaussianMixture(k=n_states, seed=seed, maxIter=max_iter).fit(v)
+    p = vector_to_array("probability")
+    return model.transform(v).select(
+        *df.columns, F.col("prediction").alias("state"), p.alias("state_probabilities"), F.array_max(p).alias("confidence"))
+
+
+def batch_predictions(df: DataFrame, feats: list[str], target: str, name: str, version: str, keep: list[str]) -> DataFrame:
+    """Next-value predictions of a linear model, with its name and version."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    pipe = Pipeline(stages=[
+        VectorAssembler(inputCols=feats, outputCol="_raw", handleInvalid="skip"),
+        StandardScaler(inputCol="_raw", outputCol="_std", withMean=True),
+        LinearRegression(featuresCol="_std", labelCol=target, predictionCol="pred_next_close"),
+    ])
+    model = pipe.fit(df.filter(F.col(target).isNotNull()))
+    return model.transform(df).select(*keep, "pred_next_close", F.lit(name).alias("model_name"), F.lit(version).alias("model_version"))
