@@ -26,37 +26,47 @@ def norm_ppf(p: pd.Series) -> pd.Series:
     return pd.Series([d.inv_cdf(v) if 0 < v < 1 else np.nan for v in p.to_numpy(dtype=float)], dtype="float64")
 
 
-def power_sums(x: Column, prefix: str) -> list[Column]:
-    """Aggregates n, sum x .. sum x^4, min and max; all merge by sum, min or max."""
+STATE_PARTS = ("n", "mean", "m2", "m3", "m4", "min", "max")
+
+
+def moment_state(x: Column, prefix: str) -> list[Column]:
+    """Aggregates of a mergeable state: n, mean, sums of centred powers 2 to 4, min and max."""
+    n = F.count(x)
+    m2 = F.var_pop(x) * n
     return [
-        F.count(x).alias(f"{prefix}_n"),
-        *(F.sum(F.pow(x, F.lit(p))).alias(f"{prefix}_s{p}") for p in range(1, 5)),
+        n.alias(f"{prefix}_n"),
+        F.avg(x).alias(f"{prefix}_mean"),
+        m2.alias(f"{prefix}_m2"),
+        F.coalesce(F.skewness(x) * F.pow(m2, F.lit(1.5)) / F.sqrt(n.cast("double")), F.lit(0.0)).alias(f"{prefix}_m3"),
+        F.coalesce((F.kurtosis(x) + 3) * m2 * m2 / n, F.lit(0.0)).alias(f"{prefix}_m4"),
         F.min(x).alias(f"{prefix}_min"),
         F.max(x).alias(f"{prefix}_max"),
     ]
 
 
-def central_moments(prefix: str, shift: float = 0.0) -> dict[str, Column]:
-    """Mean, population variance, and third and fourth central moments from power sums of ``x - shift``."""
-    n = F.col(f"{prefix}_n")
-    a1, a2, a3, a4 = (F.col(f"{prefix}_s{p}") / n for p in range(1, 5))
-    m2 = F.greatest(a2 - a1 * a1, F.lit(0.0))
-    return {
-        "mean": a1 + shift,
-        "m2": m2,
-        "m3": a3 - 3 * a1 * a2 + 2 * a1 * a1 * a1,
-        "m4": a4 - 4 * a1 * a3 + 6 * a1 * a1 * a2 - 3 * a1 * a1 * a1 * a1,
-    }
+def merged_moments(prefix: str, mean: str) -> list[Column]:
+    """Aggregates that merge states around the common mean held in column ``mean`` of every row."""
+    n, m2, m3, m4 = (F.col(f"{prefix}_{p}") for p in ("n", "m2", "m3", "m4"))
+    d = F.col(f"{prefix}_mean") - F.col(mean)
+    return [
+        F.sum(n).alias(f"{prefix}_n"),
+        F.max(mean).alias(f"{prefix}_mean"),
+        F.sum(m2 + n * d * d).alias(f"{prefix}_m2"),
+        F.sum(m3 + 3 * d * m2 + n * d * d * d).alias(f"{prefix}_m3"),
+        F.sum(m4 + 4 * d * m3 + 6 * d * d * m2 + n * d * d * d * d).alias(f"{prefix}_m4"),
+        F.min(f"{prefix}_min").alias(f"{prefix}_min"),
+        F.max(f"{prefix}_max").alias(f"{prefix}_max"),
+    ]
 
 
-def standardized(prefix: str, shift: float = 0.0) -> dict[str, Column]:
-    """Finished statistics from power sums: plain (not excess) kurtosis, NULL where the spread is zero."""
-    m = central_moments(prefix, shift)
-    spread = F.when(m["m2"] > 0, m["m2"])
+def finished(prefix: str) -> dict[str, Column]:
+    """Statistics of a state: plain (not excess) kurtosis, NULL where all values are equal."""
+    n, m2 = F.col(f"{prefix}_n"), F.col(f"{prefix}_m2")
+    spread = F.when(F.col(f"{prefix}_min") != F.col(f"{prefix}_max"), m2)
     return {
-        "mean": m["mean"],
-        "stddev": F.sqrt(m["m2"]),
-        "variance": m["m2"],
-        "skewness": m["m3"] / F.pow(spread, F.lit(1.5)),
-        "kurtosis": m["m4"] / (spread * spread),
+        "mean": F.col(f"{prefix}_mean"),
+        "stddev": F.sqrt(m2 / n),
+        "variance": m2 / n,
+        "skewness": F.sqrt(n.cast("double")) * F.col(f"{prefix}_m3") / F.pow(spread, F.lit(1.5)),
+        "kurtosis": n * F.col(f"{prefix}_m4") / (spread * spread),
     }

@@ -11,11 +11,16 @@ from ..functions.market import is_bad
 OUTCOMES = ["inserted", "duplicate", "no_content", "no_currency", "error"]
 
 
-def run_outcomes(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Counters per cycle and its status; more than half errors makes it partial."""
+def run_outcomes(df: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
+    """Counters per cycle and its status; more than half errors makes it partial.
+
+    ``weight`` names a count column where rows are already added up.
+    """
+    n = F.lit(1) if weight is None else F.col(weight)
+    tally = lambda cond, name: F.coalesce(F.sum(F.when(cond, n)), F.lit(0)).cast("bigint").alias(name)
     counts = df.groupBy(*keys).agg(
-        *(F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES),
-        F.count_if(~F.col("outcome").isin("duplicate", "no_content")).alias("processed"),
+        *(tally(F.col("outcome") == o, o) for o in OUTCOMES),
+        tally(~F.col("outcome").isin("duplicate", "no_content"), "processed"),
     )
     status = (
         F.when((F.col("processed") == 0) & (F.col("duplicate") == 0), "empty")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.market import hours_between, log_decay
-from ..functions.stats import power_sums, standardized
+from ..functions.stats import finished, merged_moments, moment_state
 from .quantiles import HOT_ROWS, group_quantiles
 
 # The quantiles kept per score
@@ -56,36 +56,36 @@ def score_statistics_with_quantiles(df: DataFrame, metrics: list[str], unit: str
     )
 
 
-def partial_states(df: DataFrame, keys: list[str], metrics: list[str], shifts: dict[str, float] | None = None, sketch: bool = True) -> DataFrame:
-    """Mergeable states per key: power sums around a fixed shift, and a KLL sketch."""
-    shifts = shifts or {}
+def partial_states(df: DataFrame, keys: list[str], metrics: list[str], sketch: bool = True) -> DataFrame:
+    """Mergeable states per key: moments and, for quantiles, a KLL sketch."""
     aggs = []
     for m in metrics:
         x = F.col(m).cast("double")
-        aggs += power_sums(x - F.lit(shifts.get(m, 0.0)), m)
+        aggs += moment_state(x, m)
         if sketch:
             aggs.append(F.kll_sketch_agg_double(x).alias(f"{m}_kll"))
     return df.groupBy(*keys).agg(F.count("*").alias("article_count"), *aggs)
 
 
 def merge_states(states: DataFrame, keys: list[str], metrics: list[str], sketch: bool = True) -> DataFrame:
+    """States of the same key become one: first the common mean, then all moments around it."""
+    n = lambda m: F.col(f"{m}_n")
+    means = states.groupBy(*keys).agg(
+        *((F.sum(n(m) * F.col(f"{m}_mean")) / F.sum(n(m))).alias(f"_mu_{m}") for m in metrics))
     aggs = []
     for m in metrics:
-        aggs += [F.sum(f"{m}_{p}").alias(f"{m}_{p}") for p in ("n", "s1", "s2", "s3", "s4")]
-        aggs += [F.min(f"{m}_min").alias(f"{m}_min"), F.max(f"{m}_max").alias(f"{m}_max")]
+        aggs += merged_moments(m, f"_mu_{m}")
         if sketch:
             aggs.append(F.kll_merge_agg_double(f"{m}_kll").alias(f"{m}_kll"))
-    return states.groupBy(*keys).agg(F.sum("article_count").alias("article_count"), *aggs)
+    return states.join(means, keys).groupBy(*keys).agg(F.sum("article_count").alias("article_count"), *aggs)
 
 
-def finish_states(states: DataFrame, keys: list[str], metrics: list[str], shifts: dict[str, float] | None = None, quantiles: dict[str, float] | None = None) -> DataFrame:
+def finish_states(states: DataFrame, keys: list[str], metrics: list[str], quantiles: dict[str, float] | None = None) -> DataFrame:
     """Statistics from merged states; quantiles are those of the sketch (approximate)."""
-    shifts = shifts or {}
     cols = [*keys, "article_count"]
     for m in metrics:
-        s = shifts.get(m, 0.0)
-        cols += [(F.col(f"{m}_min") + s).alias(f"{m}_min"), (F.col(f"{m}_max") + s).alias(f"{m}_max")]
-        cols += [e.alias(f"{m}_{n}") for n, e in standardized(m, s).items()]
+        cols += [f"{m}_min", f"{m}_max"]
+        cols += [e.alias(f"{m}_{n}") for n, e in finished(m).items()]
         for nm, p in (quantiles or {}).items():
             cols.append(F.kll_sketch_get_quantile_double(f"{m}_kll", F.lit(p)).alias(f"{m}_{nm}"))
     return states.select(*cols)

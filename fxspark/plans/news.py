@@ -66,7 +66,6 @@ def last_minutes(spark, sf):
 
 
 STATE_FIELDS = ["volatility_impact", "timeliness"]
-STATE_SHIFT = {"volatility_impact": 50.0, "timeliness": 50.0}
 
 
 @query("A4_merged_score_states", _stats_sql(STATE_FIELDS, "hour", False).replace(
@@ -76,9 +75,9 @@ def merged_states(spark, sf):
     a = articles(spark, sf).select(
         sc.bucket("ts", "day").alias("day_bucket"), F.col("primary_ccy").alias("symbol"),
         F.floor(F.col("event_id") / 1000).alias("insert_block"), *STATE_FIELDS)
-    part = sc.partial_states(a, ["day_bucket", "symbol", "insert_block"], STATE_FIELDS, STATE_SHIFT)
+    part = sc.partial_states(a, ["day_bucket", "symbol", "insert_block"], STATE_FIELDS)
     keys = ["day_bucket", "symbol"]
-    out = sc.finish_states(sc.merge_states(part, keys, STATE_FIELDS), keys, STATE_FIELDS, STATE_SHIFT)
+    out = sc.finish_states(sc.merge_states(part, keys, STATE_FIELDS), keys, STATE_FIELDS)
     out = out.drop(*(f"{m}_variance" for m in STATE_FIELDS))
     return rounded(out, *(c for c in out.columns if c not in {*keys, "article_count"}))
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.market import finite
+from ..operators.indicators import bar_series, fill_gaps
+from ..operators.sets import missing_columns
+
 
 def columns_to_map(names: list[str]) -> Column:
     """Numeric columns as a map; entries without a value are left out."""
@@ -45,3 +49,78 @@ def scan_bars(bars: DataFrame, symbols: list[str], timeframe: str, since: Column
     return bars.filter(F.col("symbol").isin(symbols) & (F.col("timeframe") == timeframe) & (F.col("ts") >= since)).select(
         "symbol", "timeframe", "ts", *(F.col(c).try_cast("double").alias(c) for c in nums)
     )
+
+
+BARS_SCHEMA = "symbol string, timeframe string, ts timestamp_ntz, open double, high double, low double, close double, volume double"
+REQUIRED_BAR_COLUMNS = ["ts", "open", "high", "low", "close", "volume"]
+MIN_BARS = 50
+
+
+def read_bars_csv(spark: SparkSession, path: str, min_bars: int = MIN_BARS) -> DataFrame:
+    """Bars from CSV with a header: required columns, repaired prices, series of at least ``min_bars`` rows.
+
+    Infinite and missing prices take the value before them, else the one after.
+    """
+    header = spark.read.csv(path, header=True).limit(0)
+    missing = missing_columns(header, REQUIRED_BAR_COLUMNS)
+    if missing:
+        raise ValueError(f"missing columns {missing} in {path}")
+    raw = spark.read.csv(path, header=True, schema=BARS_SCHEMA, enforceSchema=False)
+    prices = ["open", "high", "low", "close"]
+    long_enough = raw.groupBy("symbol", "timeframe").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_bars)
+    kept = raw.join(long_enough.select("symbol", "timeframe"), ["symbol", "timeframe"], "left_semi")
+    return fill_gaps(bar_series(kept.withColumns({c: finite(c) for c in prices})), prices).result()
+
+
+def read_headerless(spark: SparkSession, path: str, schema: str = BARS_SCHEMA, comment: str = "=") -> DataFrame:
+    """Delimited text without a header; lines starting with ``comment`` are skipped."""
+    return spark.read.csv(path, schema=schema, comment=comment, ignoreLeadingWhiteSpace=True)
+
+
+# Metrics a result may lack; they read as 0
+OPTIONAL_METRICS = ["psr", "profit_factor", "sortino_ratio", "calmar_ratio", "omega_ratio", "expectancy"]
+RESULT_SCHEMA = (
+    "run_id string, symbol string, timeframe string, strategy_type string, timestamp string, "
+    "results array<struct<params: map<string, double>, total_return: double, sharpe_ratio: double, max_drawdown: double, "
+    "win_rate: double, num_trades: int, " + ", ".join(f"{m}: double" for m in OPTIONAL_METRICS) + ">>"
+)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """Result documents to one row per result with the document's constants; absent metrics are 0."""
+    docs = spark.read.schema(RESULT_SCHEMA).json(path)
+    rows = docs.select("run_id", "symbol", "timeframe", "strategy_type", F.inline("results"))
+    return rows.withColumn("params", F.to_json("params")).na.fill(0.0, OPTIONAL_METRICS)
+
+
+def read_partials(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Partial outputs of many writers with the name of their file."""
+    return spark.read.schema(schema).json(path).withColumn("file", F.input_file_name())
+
+
+def merge_last(partials: DataFrame, entries: str, file: str = "file") -> DataFrame:
+    """Maps of many files merged into one: for equal keys the file that sorts last wins."""
+    rows = partials.select(file, F.explode(entries).alias("key", "value"))
+    return rows.groupBy("key").agg(F.max_by("value", file).alias("value"))
+
+
+CANDLE_SCHEMA = (
+    "instrument string, granularity string, candles array<struct<complete: boolean, volume: bigint, time: string, "
+    "mid: struct<o: string, h: string, l: string, c: string>>>"
+)
+
+
+def candles(responses: DataFrame, json: str) -> DataFrame:
+    """Complete candles of landed price responses, prices as numbers."""
+    rows = responses.select(F.from_json(json, CANDLE_SCHEMA).alias("d")).select("d.instrument", "d.granularity", F.inline("d.candles"))
+    return rows.filter("complete").select(
+        F.col("instrument").alias("symbol"), F.col("granularity").alias("timeframe"),
+        F.to_timestamp_ntz(F.substring("time", 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")).alias("ts"),
+        *(F.col(f"mid.{k}").try_cast("double").alias(n) for k, n in zip("ohlc", ("open", "high", "low", "close"))), "volume")
+
+
+def observations(responses: DataFrame, json: str) -> DataFrame:
+    """Macro observations; a value of "." is missing and left out."""
+    schema = "series_id string, observations array<struct<date: string, value: string>>"
+    rows = responses.select(F.from_json(json, schema).alias("d")).select("d.series_id", F.inline("d.observations"))
+    return rows.select("series_id", "date", F.col("value").try_cast("double").alias("value")).filter("value IS NOT NULL")
