@@ -23,9 +23,12 @@ def event_type(name, country) -> Column:
     raw, land = _c(name), _c(country)
     key = F.lower(F.trim(raw))
     fallback = F.regexp_replace(F.upper(raw), " ", "_")
-    rules = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(t).alias("t")) for n, t in pm.EVENT_NAMES))
-    exact = F.try_element_at(F.filter(rules, lambda x: x["n"] == key), F.lit(1))["t"]
-    part = F.try_element_at(F.filter(rules, lambda x: F.contains(key, x["n"])), F.lit(1))["t"]
+    exact = _lookup(dict(pm.EVENT_NAMES), key)
+    # a plain CASE chain stays in generated code; the first part found in the name wins
+    part = None
+    for text, kind in pm.EVENT_NAMES:
+        hit = F.contains(key, F.lit(text))
+        part = F.when(hit, kind) if part is None else part.when(hit, kind)
     found = F.coalesce(exact, part)
     foreign = land.isNotNull() & (land != "") & (land != "US") & found.isin("CPI", "GDP")
     named = F.when(foreign, F.concat_ws("_", land, found)).otherwise(found)

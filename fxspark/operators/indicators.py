@@ -112,14 +112,16 @@ def rolling_shape(rl: Rolling, col: str, n: int = 60) -> Rolling:
     return rl
 
 
-def crossed_above(rl: Rolling, a, b) -> Column:
-    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    return F.coalesce((a > b) & (rl.lag(a) <= rl.lag(b)), F.lit(False))
+def crossed_above(rl: Rolling, a: str, b: str | float) -> Column:
+    """``a`` is above ``b`` (a column or a level) now and was not on the row before. Needs ``rl.flush()``."""
+    now, before = (F.col(b), rl.prev(b)) if isinstance(b, str) else (F.lit(b), F.lit(b))
+    return F.coalesce((F.col(a) > now) & (rl.prev(a) <= before), F.lit(False))
 
 
-def crossed_below(rl: Rolling, a, b) -> Column:
-    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    return F.coalesce((a < b) & (rl.lag(a) >= rl.lag(b)), F.lit(False))
+def crossed_below(rl: Rolling, a: str, b: str | float) -> Column:
+    """``a`` is below ``b`` (a column or a level) now and was not on the row before. Needs ``rl.flush()``."""
+    now, before = (F.col(b), rl.prev(b)) if isinstance(b, str) else (F.lit(b), F.lit(b))
+    return F.coalesce((F.col(a) < now) & (rl.prev(a) >= before), F.lit(False))
 
 
 def macd(s: Series, fast: int = 12, slow: int = 26, signal: int = 9, adjust: bool = False, prefix: str = "macd", numbered: bool = False) -> Series:

@@ -36,7 +36,9 @@ def merge_directions(hits: DataFrame, direction: str, position: str, item: str,
 def quota(df: DataFrame, source: str, cap: str, priority: str, order: str, total: int) -> DataFrame:
     """At most ``cap`` items per source, then at most ``total`` by source priority."""
     w = Window.partitionBy(source).orderBy(order)
-    return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= F.col(cap)).orderBy(priority, source, "_n").limit(total).drop("_n")
+    # no source can place more than ``total``; the constant limit lets every task cut before the shuffle
+    kept = (F.col("_n") <= total) & (F.col("_n") <= F.col(cap))
+    return df.withColumn("_n", F.row_number().over(w)).filter(kept).orderBy(priority, source, "_n").limit(total).drop("_n")
 
 
 def dedup_events(df: DataFrame, keys: list[Column], actual: str, name: str, arrival: str) -> DataFrame:

@@ -205,6 +205,7 @@ class Rolling:
     keys: tuple[str, ...]
     bucket: tuple[str, ...]
     source: Series = field(repr=False)
+    waiting: dict[str, Column] = field(default_factory=dict)
 
     @property
     def w(self):
@@ -224,6 +225,16 @@ class Rolling:
     def lag(self, c, n: int = 1) -> Column:
         return F.lag(c, n).over(self.w)
 
+    def prev(self, name: str) -> Column:
+        """Value of a column on the row before, shared by all users; :meth:`flush` adds it."""
+        self.waiting[f"_prev_{name}"] = self.lag(name)
+        return F.col(f"_prev_{name}")
+
+    def flush(self) -> "Rolling":
+        """Add what waits, all at once."""
+        cols, self.waiting = self.waiting, {}
+        return self.add(cols) if cols else self
+
     def add(self, cols: Mapping[str, Column]) -> "Rolling":
         self.df = self.df.withColumns(dict(cols))
         return self
@@ -233,5 +244,5 @@ class Rolling:
 
     def series(self) -> Series:
         """Back to one copy of every row, still numbered by ``_rn``."""
-        df = self.df.filter(F.col("_own") == F.col("_blk")).drop("_own", "_blk")
+        df = self.df.filter(F.col("_own") == F.col("_blk")).drop("_own", "_blk", *(c for c in self.df.columns if c.startswith("_prev_")))
         return replace(self.source, df=df)

@@ -38,32 +38,24 @@ class Strategy:
     averages: Callable[[Params], dict[str, tuple[str, int, bool]]] = lambda p: {}
 
 
-def _need(rl: Rolling, name: str, make: Callable[[], Any]) -> str:
+def _need(rl: Rolling, name: str, make: Callable[[], Any]) -> None:
     """Add an indicator once, however many grid points use it."""
     if name not in rl.df.columns:
-        res = make()
-        if isinstance(res, Column):
-            rl.add({name: res})
-    return name
+        make()
 
 
-def _ma(rl: Rolling, kind: str, n: int) -> str:
-    name = f"{kind}_{n}"
-    return name if kind == "ema" else _need(rl, name, lambda: ind.sma(rl, n))
-
-
-def _crosses(rl: Rolling, a, b) -> tuple[Column, Column]:
+def _crosses(rl: Rolling, a: str, b: str) -> tuple[Column, Column]:
     return ind.crossed_above(rl, a, b), ind.crossed_below(rl, a, b)
 
 
 def _trend(rl: Rolling, p: Params):
-    return _crosses(rl, _ma(rl, p["ma_type"], p["fast_window"]), _ma(rl, p["ma_type"], p["slow_window"]))
+    return _crosses(rl, f"{p['ma_type']}_{p['fast_window']}", f"{p['ma_type']}_{p['slow_window']}")
 
 
 def _scalping(rl: Rolling, p: Params):
     name = f"rsi_{p['rsi_period']}"
     _need(rl, name, lambda: ind.rsi(rl, p["rsi_period"]))
-    return ind.crossed_below(rl, name, F.lit(float(p["oversold"]))), ind.crossed_above(rl, name, F.lit(float(p["overbought"])))
+    return ind.crossed_below(rl, name, float(p["oversold"])), ind.crossed_above(rl, name, float(p["overbought"]))
 
 
 def _breakout(rl: Rolling, p: Params):
@@ -87,9 +79,9 @@ def _macd(rl: Rolling, p: Params):
 def _stochastic(rl: Rolling, p: Params):
     pre = f"st{p['k_period']}_{p['d_period']}"
     _need(rl, f"{pre}_k", lambda: ind.stochastic(rl, p["k_period"], p["d_period"], pre))
-    k, d = F.col(f"{pre}_k"), F.col(f"{pre}_d")
-    up, down = _crosses(rl, k, d)
-    return up & (rl.lag(k) < p["oversold"]), down & (rl.lag(k) > p["overbought"])
+    up, down = _crosses(rl, f"{pre}_k", f"{pre}_d")
+    before = rl.prev(f"{pre}_k")
+    return up & (before < p["oversold"]), down & (before > p["overbought"])
 
 
 STRATEGIES: dict[str, Strategy] = {
@@ -175,22 +167,28 @@ def signal_frame(bars: DataFrame, strategy: str, points: list[Params]) -> Rollin
         s = s.ema({f"macd_{f}_{w}_{g}": (f"macd_{f}_{w}", g, False) for f, w, g in ends}, numbered=True)
     elif averages:
         s = s.ema(averages, numbered=True)
-    return s.rolling(max(st.lookback(p) for p in points) + 1, numbered=True)
+    rl = s.rolling(max(st.lookback(p) for p in points) + 1, numbered=True)
+    if strategy == "trend_following":
+        windows = sorted({p[k] for p in points if p["ma_type"] == "sma" for k in ("fast_window", "slow_window")})
+        rl.add({f"sma_{n}": ind.sma(rl, n) for n in windows})
+    return rl
+
+
+def signal_value(up: Column, down: Column) -> Column:
+    """1 to enter, -1 to leave, NULL for neither or both."""
+    one = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    return F.nullif(one(up) - one(down), F.lit(0))
 
 
 def signals(bars: DataFrame, strategy: str, points: list[Params]) -> DataFrame:
     """Long rows (series, param_id, _rn, ts, close, log_ret, signal): 1 enters, -1 leaves, NULL holds."""
     st = STRATEGIES[strategy]
     rl = signal_frame(bars, strategy, points)
-    rl.add({"log_ret": F.coalesce(ind.log_return(rl), F.lit(0.0))})
-    cells = []
-    for i, p in enumerate(points):
-        up, down = st.signal(rl, p)
-        up, down = F.coalesce(up, F.lit(False)), F.coalesce(down, F.lit(False))
-        rl.add({f"_s{i}": F.when(up & ~down, F.lit(1)).when(down & ~up, F.lit(-1))})
-        cells.append(F.struct(F.lit(i).alias("param_id"), F.col(f"_s{i}").alias("signal")))
-    s = rl.series()
-    return s.df.select(*s.keys, "_rn", "ts", "close", "log_ret", F.inline(F.array(*cells)))
+    # entries and exits read the row before through shared columns, so one window serves all points
+    flags = [signal_value(*st.signal(rl, p)) for p in points]
+    rl.waiting["log_ret"] = F.coalesce(ind.log_return(rl), F.lit(0.0))
+    s = rl.flush().add({"_signals": F.array(*flags)}).series()
+    return s.df.select(*s.keys, "_rn", "ts", "close", "log_ret", F.posexplode_outer("_signals").alias("param_id", "signal"))
 
 
 PARAM_KEYS = [*ind.BAR_KEYS, "param_id"]
@@ -210,64 +208,60 @@ def positions(long: DataFrame, keys: list[str] = PARAM_KEYS) -> DataFrame:
     local = df.withColumn("_prev", F.last("signal", ignorenulls=True).over(before)).withColumn(
         "_last", F.last("signal", ignorenulls=True).over(run)
     )
-    entry = F.struct("_rn", "ts", "close")
-    opens = F.col("signal") == 1
+    first_known = F.col("signal").eqNullSafe(1) & F.col("_prev").eqNullSafe(-1)
+    first_any = F.col("signal").eqNullSafe(1) & (F.coalesce("_prev", F.lit(-1)) == -1)
+    entry = {"rn": "_rn", "ts": "ts", "close": "close"}
     local = local.withColumns(
         {
             "_known": F.coalesce(F.sum(F.when(F.col("_prev") == 1, F.col("log_ret"))).over(run), F.lit(0.0)),
             "_open": F.coalesce(F.sum(F.when(F.col("_prev").isNull(), F.col("log_ret"))).over(run), F.lit(0.0)),
-            "_e1": F.last(F.when(opens & (F.col("_prev") == -1), entry), ignorenulls=True).over(run),
-            "_e0": F.last(F.when(opens & (F.coalesce("_prev", F.lit(-1)) == -1), entry), ignorenulls=True).over(run),
+            **{f"_e1_{k}": F.last(F.when(first_known, F.col(c)), ignorenulls=True).over(run) for k, c in entry.items()},
+            **{f"_e0_{k}": F.last(F.when(first_any, F.col(c)), ignorenulls=True).over(run) for k, c in entry.items()},
         }
     )
+    both = F.col("_known") + F.col("_open")
+    local = local.withColumns({"_v0": F.max("_known").over(run), "_v1": F.max(both).over(run)})
+    # the latest row at the running peak
     local = local.withColumns(
         {
-            "_m0": F.max(F.struct(F.col("_known").alias("v"), F.col("_rn").alias("at"))).over(run),
-            "_m1": F.max(F.struct((F.col("_known") + F.col("_open")).alias("v"), F.col("_rn").alias("at"))).over(run),
+            "_a0": F.max(F.when(F.col("_known") == F.col("_v0"), F.col("_rn"))).over(run),
+            "_a1": F.max(F.when(both == F.col("_v1"), F.col("_rn"))).over(run),
         }
     )
-    ends = local.groupBy(*part).agg(
-        *(F.max_by(c, "_rn").alias(f"b{c}") for c in ("_last", "_known", "_open", "_m0", "_m1", "_e0", "_e1"))
-    )
+    kept = ["_last", "_known", "_open", "_v0", "_v1", "_a0", "_a1", *(f"_e{i}_{k}" for i in (0, 1) for k in entry)]
+    ends = local.groupBy(*part).agg(*(F.max_by(c, "_rn").alias(f"b{c}") for c in kept))
     by_block = Window.partitionBy(*keys).orderBy("_blk")
     earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.withColumn("_in", F.coalesce(F.last("b_last", ignorenulls=True).over(earlier), F.lit(-1)) == 1)
+    pick = lambda yes, no: F.when(F.col("_in"), F.col(yes)).otherwise(F.col(no))
     ends = ends.withColumns(
-        {
-            "_sum": F.col("b_known") + F.when(F.col("_in"), F.col("b_open")).otherwise(0.0),
-            "_peak": F.when(F.col("_in"), F.col("b_m1")).otherwise(F.col("b_m0")),
-            "_entry": F.when(F.col("_in"), F.col("b_e1")).otherwise(F.col("b_e0")),
-        }
+        {"_sum": F.col("b_known") + F.when(F.col("_in"), F.col("b_open")).otherwise(0.0), "_pv": pick("b_v1", "b_v0"), "_pa": pick("b_a1", "b_a0")}
+        | {f"_ne_{k}": pick(f"b_e1_{k}", f"b_e0_{k}") for k in entry}
     )
     ends = ends.withColumns(
-        {
-            "_base": F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)),
-            "_entry0": F.last("_entry", ignorenulls=True).over(earlier),
-        }
+        {"_base": F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0))}
+        | {f"_pe_{k}": F.last(f"_ne_{k}", ignorenulls=True).over(earlier) for k in entry}
     )
-    ends = ends.withColumn(
-        "_peak0",
-        F.max(F.struct((F.col("_base") + F.col("_peak.v")).alias("v"), F.col("_peak.at").alias("at"))).over(earlier),
-    ).select(*part, "_in", "_base", "_peak0", "_entry0")
+    top = F.max(F.struct((F.col("_base") + F.col("_pv")).alias("v"), F.col("_pa").alias("at"))).over(earlier)
+    ends = ends.withColumn("_peak0", top).select(
+        *part, "_in", "_base", F.col("_peak0.v").alias("_tv"), F.col("_peak0.at").alias("_ta"), *(f"_pe_{k}" for k in entry))
 
     rows = local.join(ends, part)
     was_long = F.when(F.col("_prev").isNull(), F.col("_in")).otherwise(F.col("_prev") == 1)
-    in_block = F.when(F.col("_in"), F.col("_m1")).otherwise(F.col("_m0"))
-    here = F.struct((F.col("_base") + in_block["v"]).alias("v"), in_block["at"].alias("at"))
-    last_entry = F.coalesce(
-        F.when(F.col("_in"), F.col("_e1")).otherwise(F.col("_e0")), F.col("_entry0")
-    )
+    here = F.col("_base") + pick("_v1", "_v0")
+    mine = F.col("_tv").isNull() | (here >= F.col("_tv"))
     rows = rows.withColumns(
         {
             "was_long": was_long,
             "is_long": F.coalesce(F.col("_last") == 1, F.col("_in")),
             "log_equity": F.col("_base") + F.col("_known") + F.when(F.col("_in"), F.col("_open")).otherwise(0.0),
-            "_top": F.when(F.col("_peak0").isNull() | (here >= F.col("_peak0")), here).otherwise(F.col("_peak0")),
+            "_topv": F.when(mine, here).otherwise(F.col("_tv")),
+            "_topa": F.when(mine, pick("_a1", "_a0")).otherwise(F.col("_ta")),
         }
     )
     # equity starts at 1 before the first bar
-    top = F.greatest(F.col("_top.v"), F.lit(0.0))
-    since = F.when(F.col("_top.v") >= 0, F.col("_rn") - F.col("_top.at")).otherwise(F.col("_rn"))
+    top = F.greatest(F.col("_topv"), F.lit(0.0))
+    since = F.when(F.col("_topv") >= 0, F.col("_rn") - F.col("_topa")).otherwise(F.col("_rn"))
     closes = F.col("was_long") & (F.col("signal") == -1)
     return rows.select(
         *keys, "_rn", "ts", "close", "signal", "was_long", "is_long",
@@ -275,20 +269,20 @@ def positions(long: DataFrame, keys: list[str] = PARAM_KEYS) -> DataFrame:
         "log_equity",
         (1 - F.exp(F.col("log_equity") - top)).alias("drawdown"),
         since.alias("bars_under_peak"),
-        F.when(closes, last_entry).alias("entry"),
+        *(F.when(closes, F.coalesce(pick(f"_e1_{k}", f"_e0_{k}"), F.col(f"_pe_{k}"))).alias(f"entry_{k}") for k in entry),
     )
 
 
 def trades(pos: DataFrame, keys: list[str] = PARAM_KEYS) -> DataFrame:
     """One row per finished trade."""
-    return pos.filter(F.col("entry").isNotNull()).select(
+    return pos.filter(F.col("entry_rn").isNotNull()).select(
         *keys,
-        F.col("entry._rn").alias("entry_bar"), F.col("_rn").alias("exit_bar"),
-        F.col("entry.ts").alias("entry_ts"), F.col("ts").alias("exit_ts"),
+        F.col("entry_rn").alias("entry_bar"), F.col("_rn").alias("exit_bar"),
+        "entry_ts", F.col("ts").alias("exit_ts"),
         F.lit("long").alias("side"),
-        F.col("entry.close").alias("entry_price"), F.col("close").alias("exit_price"),
-        (F.col("_rn") - F.col("entry._rn")).alias("bars_held"),
-        (F.col("close") / F.col("entry.close") - 1).alias("pnl_pct"),
+        F.col("entry_close").alias("entry_price"), F.col("close").alias("exit_price"),
+        (F.col("_rn") - F.col("entry_rn")).alias("bars_held"),
+        (F.col("close") / F.col("entry_close") - 1).alias("pnl_pct"),
     )
 
 

@@ -11,7 +11,7 @@ from ..operators import scores as sc
 from ..operators.series import Series
 from .bars import TR, ema_sql, full, lag, rsi_expr, rsi_levels, step, win
 from .inputs import bars, r, rnd, rounded, table
-from .registry import query
+from .registry import SQL, query
 
 
 def _signal_rows(spark, sf, strategy, points):
@@ -88,9 +88,7 @@ def atr_breakout_signal(spark, sf):
     rl = sg.signal_frame(bars(spark, sf), "atr_breakout", [p])
     ind.atr(rl, p["atr_window"])
     up, down = sg.STRATEGIES["atr_breakout"].signal(rl, p)
-    up, down = F.coalesce(up, F.lit(False)), F.coalesce(down, F.lit(False))
-    rl.add({"signal": F.when(up & ~down, 1).when(down & ~up, -1), 
-            "stop_pct": sg.atr_stop(F.col("close"), F.col("atr"), p["atr_multiplier"], p["sl_pct"])})
+    rl.flush().add({"signal": sg.signal_value(up, down), "stop_pct": sg.atr_stop(F.col("close"), F.col("atr"), p["atr_multiplier"], p["sl_pct"])})
     return rounded(rl.done().filter(F.col("signal").isNotNull()).select("symbol", "ts", "signal", "stop_pct"), "stop_pct")
 
 
@@ -282,7 +280,17 @@ def parameter_grid(spark, sf):
     return table(spark, sf, "events").select(F.col("event_type").alias("symbol")).distinct().select("symbol", F.inline(cells))
 
 
-@query("F4_strategy_registry")
+def _counts(name, signal_query, param=0):
+    rows = SQL[signal_query]
+    pick = f"WHERE param_id = {param}" if "param_id" in rows else ""
+    return (f"SELECT s.symbol, '{name}' AS strategy, count(*) FILTER (signal = 1) AS entries, count(*) FILTER (signal = -1) AS exits "
+            f"FROM (SELECT DISTINCT event_type AS symbol FROM events) s LEFT JOIN (SELECT symbol, signal FROM ({rows}) {pick}) x ON x.symbol = s.symbol GROUP BY 1, 2")
+
+
+@query("F4_strategy_registry", " UNION ALL ".join([
+    _counts("trend_following", "W18a_trend_signal"), _counts("scalping", "W18b_scalping_signal"), _counts("breakout", "W18c_breakout_signal"),
+    _counts("mean_reversion", "W18d_mean_reversion_signal", 1), _counts("macd", "W18e_macd_signal"), _counts("stochastic", "W18f_stochastic_signal"),
+    _counts("atr_breakout", "W18g_atr_breakout_signal")]))
 def strategy_registry(spark, sf):
     """Signal counts of every registered strategy over all bars."""
     grids = {

@@ -263,7 +263,8 @@ def lag_features(spark, sf):
 def crosses(spark, sf):
     rl = rolling(spark, sf, 21)
     rl.add({"a": ind.sma(rl, 5), "b": ind.sma(rl, 20)})
-    rl.add({"above": ind.crossed_above(rl, "a", "b"), "below": ind.crossed_below(rl, "a", "b")})
+    flags = {"above": ind.crossed_above(rl, "a", "b"), "below": ind.crossed_below(rl, "a", "b")}
+    rl.flush().add(flags)
     return rl.done().select(*ID, "above", "below")
 
 

@@ -134,7 +134,14 @@ def anticipation_weight(spark, sf):
     return typed_events(spark, sf).select("row_id", rnd(cal.anticipation(-minutes)).alias("weight"))
 
 
-@query("P26_minutes_until_threshold")
+def _at(mid):
+    return f"{_DECAY[2]} * exp(-ln(2) / {_DECAY[0]} * ({mid})) + (1 - {_DECAY[2]}) * exp(-ln(2) / {_DECAY[1]} * ({mid}))"
+
+
+@query("P26_minutes_until_threshold", f"""WITH RECURSIVE {TYPED}, g AS (SELECT event_type, count(*) AS n FROM t GROUP BY 1),
+b AS (SELECT event_type, n, 0 AS step, CAST(0 AS DOUBLE) AS lo, CAST({_DECAY[1]} AS DOUBLE) * 10 AS hi FROM g
+ UNION ALL SELECT event_type, n, step + 1, CASE WHEN {_at('(lo + hi) / 2')} > 0.1 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_at('(lo + hi) / 2')} > 0.1 THEN hi ELSE (lo + hi) / 2 END
+ FROM b WHERE hi - lo > 0.1) SELECT event_type, n, {r('arg_max(hi, step)')} AS minutes FROM b GROUP BY 1, 2""")
 def minutes_until_threshold(spark, sf):
     t = typed_events(spark, sf).groupBy("event_type").agg(F.count("*").alias("n")).join(pm.decay_frame(spark), "event_type", "left")
     par = [F.coalesce(F.col(c), F.lit(v)) for c, v in zip(("fast_halflife", "slow_halflife", "alpha"), pm.DECAY_DEFAULT)]

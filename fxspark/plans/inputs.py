@@ -6,6 +6,8 @@ runs and trades; supplier and customer -> deals; embeddings -> vectors; document
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,10 +45,20 @@ FROM events GROUP BY ALL
 """
 
 
+def place(ts: str, id_col: str) -> Column:
+    """One number that orders by (time, id).
+
+    A fixed-width ordering keeps min_by and max_by in the hash aggregate; a struct would make Spark sort
+    all input before the partial aggregation.
+    """
+    micros = F.unix_micros(F.col(ts).cast("timestamp")).cast("decimal(18,0)")
+    return micros * F.lit(Decimal(10**19)) + F.col(id_col).cast("decimal(19,0)")
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minute bars: symbol = event type, prices = value, volume = sum of props.k."""
     e = table(spark, sf_dir, "events")
-    at = F.struct("ts", "event_id")
+    at = place("ts", "event_id")
     return (
         e.groupBy(
             F.col("event_type").alias("symbol"),

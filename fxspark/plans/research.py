@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import market as mk
 from ..functions import params as pm
 from ..functions import text as tx
+from ..functions.stats import norm_cdf, norm_ppf
 from ..operators import indicators as ind
 from ..operators import models as md
 from ..operators import ranking as rk
@@ -167,6 +168,14 @@ def deflated_sharpe(spark, sf):
                     va.deflated_sharpe(sr, F.lit(20), F.col("n_returns"), F.col("skewness"), F.col("kurtosis") + 3).alias("dsr"))
 
 
+@query("F1_normal_distribution")
+def normal_distribution(spark, sf):
+    """Distribution function of the standardised values, and the quantile that leads back to them."""
+    z = md.zscore(table(spark, sf, "events"), ["event_type"], ["value"])
+    p = z.select("event_id", "value_z", norm_cdf("value_z").alias("p"))
+    return p.withColumn("back", norm_ppf("p"))
+
+
 @query("M6_train_only_scaler", f"""WITH {IDX}, m AS (SELECT symbol, avg(close) AS mu, stddev_pop(close) AS sd FROM i WHERE idx < floor(n * 0.8) GROUP BY 1)
 SELECT symbol, ts, {r('(close - mu) / sd')} AS close_z FROM i JOIN m USING (symbol)""")
 def train_only_scaler(spark, sf):

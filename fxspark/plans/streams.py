@@ -68,7 +68,8 @@ def ingest_once_stream(spark, sf):
     return jobs.ingest_once(stream(spark, sf, copies=True), stored, "event_id", ["event_id", "primary_ccy"], "60 days")
 
 
-@query("T7_late_rows_stream")
+@query("T7_late_rows_stream", """WITH h AS (SELECT DISTINCT date_trunc('hour', ts), event_type FROM events)
+SELECT lateness, (SELECT count(*) FROM h) AS buckets, (SELECT count(*) FROM events) AS articles FROM (SELECT unnest(['none', '40 days']) AS lateness)""")
 def late_rows_stream(spark, sf):
     """Buckets and rows kept with no lateness limit and with one that covers all input."""
     s = stream(spark, sf)

@@ -10,7 +10,12 @@ from .inputs import table
 from .registry import query
 
 
-@query("P11_article_id")
+HEX = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(url))"
+
+
+@query("P11_article_id", f"""WITH h AS (SELECT page_id, url, {HEX} AS h FROM pages)
+SELECT page_id, url, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' ||
+ substr('89ab89ab89ab89ab', strpos('0123456789abcdef', substr(h, 17, 1)), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM h""")
 def article_id(spark, sf):
     return table(spark, sf, "pages").select("page_id", "url", tx.uuid5_url("url").alias("id"))
 
