@@ -250,7 +250,7 @@ def recovery_and_duration(spark, sf):
 GRID_SQL = " UNION ALL ".join(f"SELECT {i} AS param_id, {n} AS donchian_period" for i, n in enumerate(PERIODS))
 
 
-@query("M21_grid_metrics", pos_sql(ENTRIES, f"g AS ({GRID_SQL})", "w AS (SELECT unnest([0.01, 0.02]) AS sl_pct)", "v AS (SELECT unnest([0.02, 0.04]) AS tp_pct)",
+@query("M21_grid_metrics", pos_sql(ENTRIES, f"g AS ({GRID_SQL})", "w AS (SELECT CAST(unnest([0.01, 0.02]) AS DOUBLE) AS sl_pct)", "v AS (SELECT CAST(unnest([0.02, 0.04]) AS DOUBLE) AS tp_pct)",
     f"""bm AS (SELECT symbol, param_id, count(*) AS n, exp(arg_max(le, rn)) - 1 AS total_return, max(drawdown) AS max_drawdown, max(under) / 60.0 AS dd_hours,
   avg(ret) AS mu, stddev_samp(ret) AS sd, stddev_pop(ret) AS sdp, sqrt(avg(pow(least(ret, 0), 2))) AS down, sum(greatest(ret, 0)) AS up_sum, sum(greatest(-ret, 0)) AS down_sum,
   quantile_cont(ret, 0.95) AS p95, quantile_cont(ret, 0.05) AS p05 FROM b6 GROUP BY 1, 2)""",

@@ -153,7 +153,7 @@ SURPRISE = "(actual - estimate) / 2.0"
 
 @query("P27_surprise", f"""WITH {TYPED} SELECT row_id, {r(SURPRISE)} AS z,
  CASE WHEN {SURPRISE} > 2 THEN 'LARGE_POSITIVE' WHEN {SURPRISE} > 1 THEN 'POSITIVE' WHEN {SURPRISE} < -2 THEN 'LARGE_NEGATIVE' WHEN {SURPRISE} < -1 THEN 'NEGATIVE' ELSE 'INLINE' END AS class,
- {r('CASE WHEN estimate = 0 THEN 0 ELSE abs((actual - estimate) / estimate) * 100 END')} AS pct, 1.0 AS expected FROM t WHERE actual IS NOT NULL""")
+ {r('CASE WHEN estimate = 0 THEN 0 ELSE abs((actual - estimate) / estimate) * 100 END')} AS pct, CAST(1 AS DOUBLE) AS expected FROM t WHERE actual IS NOT NULL""")
 def surprise(spark, sf):
     t = typed_events(spark, sf).filter("actual IS NOT NULL").withColumn("z", cal.surprise_z("actual", "estimate", F.lit(2.0)))
     return t.select("row_id", rnd("z").alias("z"), cal.surprise_class("z").alias("class"), rnd(cal.surprise_percent("actual", "estimate")).alias("pct"),

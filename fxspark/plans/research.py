@@ -248,7 +248,7 @@ def failure_patterns(spark, sf):
     return g.orderBy(F.desc("cnt"), "status", "architecture").limit(20)
 
 
-@query("A41_arm_posterior", """SELECT o_orderpriority AS arm, 1 + sum(greatest(o_custkey % 3 - 1, 0)) * 1.0 AS alpha, 1 + count(*) FILTER (o_custkey % 3 - 1 <= 0) * 1.0 AS beta FROM orders GROUP BY 1""")
+@query("A41_arm_posterior", """SELECT o_orderpriority AS arm, CAST(1 + sum(greatest(o_custkey % 3 - 1, 0)) AS DOUBLE) AS alpha, CAST(1 + count(*) FILTER (o_custkey % 3 - 1 <= 0) AS DOUBLE) AS beta FROM orders GROUP BY 1""")
 def arm_posterior(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("arm"), (F.col("o_custkey") % 3 - 1).alias("reward"))
     return rs.arm_posterior(o)

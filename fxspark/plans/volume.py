@@ -38,7 +38,7 @@ def hourly_volume(spark, sf):
 
 
 @query("A18_hourly_breakdown", f"""WITH {B} SELECT pair, hour_gmt, sum(volume) AS total_volume, count(*) AS bar_count, min(ts) AS first_ts, max(ts) AS last_ts,
- {r('quantile_cont(volume, 0.75)')} AS p75_volume, 0.0 AS avg_z_score,
+ {r('quantile_cont(volume, 0.75)')} AS p75_volume, CAST(0 AS DOUBLE) AS avg_z_score,
  {r('CASE WHEN stddev_pop(volume) > 0 THEN (max(volume) - avg(volume)) / stddev_pop(volume) ELSE 0 END')} AS max_z_score FROM b GROUP BY 1, 2""")
 def hourly_breakdown(spark, sf):
     return rounded(vo.hourly_breakdown(bars(spark, sf)), "p75_volume", "max_z_score")
@@ -206,12 +206,12 @@ def forest_importance(spark, sf):
 
 
 @query("O10_top_features", f"""WITH {F_STAT}, {MI}, a AS (SELECT 'f_statistic' AS method, * FROM fs UNION ALL SELECT 'mutual_information', * FROM mi)
-SELECT method, feature, {r('score')} AS score, row_number() OVER (PARTITION BY method ORDER BY score DESC, feature) AS rank FROM a QUALIFY rank <= 3""")
+SELECT method, feature, {r('score')} AS score, row_number() OVER (PARTITION BY method ORDER BY round(a.score, 9) DESC, feature) AS rank FROM a QUALIFY rank <= 3""")
 def top_features(spark, sf):
     b = bars(spark, sf)
     a = md.f_statistic(b, "symbol", FEATS).withColumn("method", F.lit("f_statistic")).unionByName(
         md.mutual_information(b, "symbol", FEATS).withColumn("method", F.lit("mutual_information")))
-    return rounded(rk.top_per_group(a, ["method"], [F.desc("score"), F.col("feature")], 3), "score")
+    return rounded(rk.top_per_group(a, ["method"], [F.desc(F.round("score", 9)), F.col("feature")], 3), "score")
 
 
 @query("A45_row_presence", """WITH e AS (SELECT DISTINCT event_type AS pair FROM events UNION ALL SELECT 'absent')
