@@ -293,8 +293,8 @@ def experiment_text(spark, sf):
 # -- vectors: one query per label, its mean vector -----------------------------------------
 
 VEC = """x AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY 1, 2),
-q AS (SELECT label AS query_id, list(m ORDER BY i) AS qv FROM x GROUP BY 1), s AS (SELECT vec_id AS item_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-c AS (SELECT query_id, item_id, label, list_dot_product(qv, v) / sqrt(list_dot_product(qv, qv) * list_dot_product(v, v)) AS score FROM q, s)"""
+q AS (SELECT label AS query_id, list(m ORDER BY i) AS qv FROM x GROUP BY 1), s AS (SELECT vec_id AS item_id, label, CAST(embedding AS DOUBLE[]) AS v, CAST(embedding[1] AS DOUBLE) AS sharpe FROM embeddings),
+c AS (SELECT query_id, item_id, label, sharpe, list_dot_product(qv, v) / sqrt(list_dot_product(qv, qv) * list_dot_product(v, v)) AS score FROM q, s)"""
 
 
 def label_queries(spark, sf):
@@ -307,11 +307,12 @@ def vector_store(spark, sf):
 
 
 @query("J13_nearest_vectors", f"""WITH {VEC} SELECT query_id, item_id, {r('score')} AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM c
-WHERE list_has_any([label, label + 1], [1, 3, 5]) AND item_id % 10 >= 2 QUALIFY rank <= 10""")
+WHERE list_has_any([label, label + 1], [1, 3, 5]) AND sharpe >= -0.1 QUALIFY rank <= 10""")
 def nearest_vectors(spark, sf):
     # payload filters: any-of over an array, and a range
     store = vector_store(spark, sf).filter(
-        F.arrays_overlap(F.array("label", F.col("label") + 1), F.array(F.lit(1), F.lit(3), F.lit(5))) & (F.col("item_id") % 10 >= 2))
+        F.arrays_overlap(F.array("label", F.col("label") + 1), F.array(F.lit(1), F.lit(3), F.lit(5)))
+        & (F.element_at("vector", 1).cast("double") >= -0.1))
     return rounded(ve.nearest(label_queries(spark, sf), store, 10), "score")
 
 

@@ -33,8 +33,9 @@ _STRIP = r"regexp_replace({0}, '^[\s\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{1680}}\
 @query("P18_text_chunks", f"""WITH p AS (SELECT doc_id, i, {_STRIP.format('substr(text, CAST(i AS INTEGER) + 1, 2000)')} AS chunk FROM (SELECT doc_id, text, unnest(range(0, length(text), 1800)) AS i FROM documents))
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index, length(chunk) AS n_chars, md5(chunk) AS digest FROM p WHERE length(chunk) > 100""")
 def text_chunks(spark, sf):
-    c = table(spark, sf, "documents").select("doc_id", F.posexplode(tx.chunks("text")).alias("chunk_index", "chunk"))
-    return c.select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"), F.md5(F.encode("chunk", "UTF-8")).alias("digest"))
+    # the outer form keeps the optimizer from computing all chunks twice to test for empty lists
+    c = table(spark, sf, "documents").select("doc_id", F.posexplode_outer(tx.chunks("text")).alias("chunk_index", "chunk"))
+    return c.filter("chunk_index IS NOT NULL").select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"), F.md5(F.encode("chunk", "UTF-8")).alias("digest"))
 
 
 HOSTS = r"h AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host FROM pages)"
