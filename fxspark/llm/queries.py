@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from fxspark.llm import quality_rules
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from fxspark.llm import mixing, piecewise_hash, quality_rules, slack_packing
 from fxspark.llm.common import table
 from fxspark.llm.registry import query
 
@@ -35,3 +38,20 @@ FROM a"""
 def op6_quality_rules(spark, sf_dir):
     judged = quality_rules.verdicts(quality_rules.ledger(table(spark, sf_dir, "documents")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+
+
+@query("op7_sainte_lague_mix")
+def op7_sainte_lague_mix(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    chosen = mixing.mix(docs, F.col("doc_id"), mixing.words(F.col("text")))
+    return chosen.select(F.col("row").alias("doc_id"), "size", "source_size", "target", "taken", "passes", F.size("cuts").cast("long").alias("n_cuts"))
+
+
+@query("op8_piecewise_hash")
+def op8_piecewise_hash(spark, sf_dir):
+    return piecewise_hash.compared(table(spark, sf_dir, "documents"))
+
+
+@query("op10_minimum_slack_packing")
+def op10_minimum_slack_packing(spark, sf_dir):
+    return slack_packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
