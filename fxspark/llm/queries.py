@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fxspark.llm import mixing, piecewise_hash, quality_rules, slack_packing
+from fxspark.llm import mixing, ngram_join, piecewise_hash, quality_rules, slack_packing
 from fxspark.llm.common import table
 from fxspark.llm.registry import query
 
@@ -55,3 +55,8 @@ def op8_piecewise_hash(spark, sf_dir):
 @query("op10_minimum_slack_packing")
 def op10_minimum_slack_packing(spark, sf_dir):
     return slack_packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op5_ngram_join")
+def op5_ngram_join(spark, sf_dir):
+    return ngram_join.join(table(spark, sf_dir, "documents"))
