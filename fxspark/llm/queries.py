@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fxspark.llm import mixing, ngram_join, piecewise_hash, quality_rules, slack_packing
+from fxspark.llm import mixing, ngram_join, piece_counts, piecewise_hash, quality_rules, slack_packing, warc
 from fxspark.llm.common import table
 from fxspark.llm.registry import query
 
@@ -60,3 +60,22 @@ def op10_minimum_slack_packing(spark, sf_dir):
 @query("op5_ngram_join")
 def op5_ngram_join(spark, sf_dir):
     return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
+FROM f"""
+
+
+@query("op2_warc_salvage", OP2_SQL)
+def op2_warc_salvage(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op4_piece_counts")
+def op4_piece_counts(spark, sf_dir):
+    return piece_counts.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
