@@ -207,7 +207,7 @@ def _open(path: str, write: bool = False):
     if not write:
         return system.open_input_file(where)
     system.create_dir(where.rpartition("/")[0], recursive=True)
-    return system.open_output_stream(where)
+    return system.open_output_stream(where, compression=None)  # members are compressed already
 
 
 _MADE = "page_id long, url string, payload_digest string, payload_bytes long, member binary"
