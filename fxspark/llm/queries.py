@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fxspark.llm import mixing, ngram_join, piece_counts, piecewise_hash, quality_rules, slack_packing, warc
+from fxspark.llm import mixing, ngram_join, piece_counts, piecewise_hash, private_data, quality_rules, slack_packing, warc
 from fxspark.llm.common import table
 from fxspark.llm.registry import query
 
@@ -79,3 +79,9 @@ def op2_warc_salvage(spark, sf_dir):
 @query("op4_piece_counts")
 def op4_piece_counts(spark, sf_dir):
     return piece_counts.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op3_private_data")
+def op3_private_data(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return private_data.found(docs, private_data.train(private_data.sample(docs)))
