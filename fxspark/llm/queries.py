@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fxspark.llm import mixing, ngram_join, piece_counts, piecewise_hash, private_data, quality_rules, slack_packing, warc
+from fxspark.llm import mixing, ngram_join, piece_counts, piecewise_hash, private_data, quality_rules, slack_packing, toxicity, warc
 from fxspark.llm.common import table
 from fxspark.llm.registry import query
 
@@ -85,3 +85,9 @@ def op4_piece_counts(spark, sf_dir):
 def op3_private_data(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return private_data.found(docs, private_data.train(private_data.sample(docs)))
+
+
+@query("op1_factorization_toxicity")
+def op1_factorization_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, *toxicity.train(docs, table(spark, sf_dir, "labels")))
