@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fxspark.llm import quality_rules
+from fxspark.llm import mixing, ngram_join, private_data, quality_rules, slack_packing
 from fxspark.llm.common import stored
 
 
@@ -13,7 +14,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filtered(docs)
 
 
-STAGES = [("quality_rules", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the document with the least doc_id stays."""
+    return ngram_join.first_of_each(docs)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to the name of its kind; the tagger learns from these documents."""
+    return private_data.masked(docs, private_data.train(private_data.sample(docs)))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Copies and parts of documents, so that each source has its target of words."""
+    return mixing.mixed(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the mixed documents in sequences of at most 2048 tokens; copies share their doc_id."""
+    return slack_packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality_rules", quality), ("ngram_join", near_duplicates), ("private_data", private), ("sainte_lague_mix", mixture), ("slack_packing", packing)]
 
 #: The last stage counts tokens of a vocabulary, which SQL cannot; the tests hold the stages against brute force.
 ORACLE_SQL = None

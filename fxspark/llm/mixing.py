@@ -169,11 +169,17 @@ def mix(docs: DataFrame, row: Column, size: Column, seed: int = 11) -> DataFrame
 
 
 def mixed(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """The mix itself: whole copies, and a last copy of the words in ``cuts``, joined by blanks; columns as before."""
+    """The mix itself: whole copies, and a last copy of the words in ``cuts``, joined by blanks; columns as before.
+
+    ``n_chars``, where there is one, follows a cut copy.
+    """
     own = docs.columns
     chosen = mix(docs, F.struct(*own), words(F.col("text")), seed)
     parts = F.filter(F.split("row.text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     piece = F.array_join(F.flatten(F.transform("cuts", lambda c: F.slice("w", c["start"].cast("int") + 1, (c["end"] - c["start"]).cast("int")))), " ")
-    whole = chosen.filter("passes > 0 and size > 0").select(F.explode(F.array_repeat(F.col("row"), F.col("passes").cast("int"))).alias("row")).select("row.*")
-    cut = chosen.filter("size(cuts) > 0").withColumn("w", parts).select(*[(piece if c == "text" else F.col("row")[c]).alias(c) for c in own])
-    return whole.unionByName(cut)
+    whole = F.array_repeat(F.struct(F.col("row.text").alias("text"), F.lit(False).alias("cut")), F.col("passes").cast("int"))
+    last = F.when(F.size("cuts") > 0, F.array(F.struct(piece.alias("text"), F.lit(True).alias("cut")))).otherwise(F.filter(whole, lambda _: F.lit(False)))
+    each = chosen.filter("size > 0").withColumn("w", F.when(F.size("cuts") > 0, parts)).select("row", F.explode(F.concat(whole, last)).alias("copy"))
+    now = {"text": F.col("copy.text"), "n_chars": F.when(F.col("copy.cut"), F.length("copy.text")).otherwise(F.col("row")["n_chars"]) if "n_chars" in own else None}
+    kinds = dict(docs.dtypes)
+    return each.select(*[(now[c].cast(kinds[c]) if c in now else F.col("row")[c]).alias(c) for c in own])

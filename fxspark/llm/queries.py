@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fxspark.llm import mixing, ngram_join, piece_counts, piecewise_hash, private_data, quality_rules, slack_packing, toxicity, warc
+from fxspark.llm import mixing, ngram_join, piece_counts, piecewise_hash, private_data, quality_rules, slack_packing, tool_calls, toxicity, warc
 from fxspark.llm.common import table
 from fxspark.llm.registry import query
 
@@ -91,3 +91,26 @@ def op3_private_data(spark, sf_dir):
 def op1_factorization_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.scored(docs, *toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+OP9_SQL = """
+WITH RECURSIVE u AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'assistant'),
+v AS (SELECT u.conv_id, u.turn, 0 AS level FROM u LEFT JOIN u p ON p.conv_id = u.conv_id AND p.turn = u.turn - 2 WHERE p.turn IS NULL
+      UNION ALL SELECT u.conv_id, u.turn, v.level + 1 FROM v JOIN u ON u.conv_id = v.conv_id AND u.turn = v.turn + 2),
+c AS (SELECT u.conv_id, u.turn, u.text, v.level, a.turn AS result_turn, a.text AS result
+      FROM u JOIN v USING (conv_id, turn) LEFT JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1),
+r AS (SELECT *, '{"arguments":{"prompt":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || turn || '},"call_id":"call-' || turn || '","level":' || level
+             || ',"name":"answer"' || CASE WHEN turn >= 2 THEN ',"parent_id":"call-' || (turn - 2) || '"' ELSE '' END || coalesce(',"result":' || CAST(to_json(result) AS VARCHAR), '') || '}' AS record FROM c)
+SELECT conv_id, 'call-' || turn AS call_id, turn, result_turn, CASE WHEN result_turn IS NULL THEN 'no result' ELSE 'linked' END AS state, CAST(level AS BIGINT) AS level,
+       length(text) BETWEEN 20 AND 400 AS valid, sha256(record) AS record_sha256 FROM r
+UNION ALL SELECT a.conv_id, 'call-' || (a.turn - 1), NULL, a.turn, 'no call', NULL, NULL,
+       sha256('{"call_id":"call-' || (a.turn - 1) || '","result":' || CAST(to_json(a.text) AS VARCHAR) || '}')
+FROM a LEFT JOIN u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 WHERE u.turn IS NULL"""
+
+
+@query("op9_tool_call_links", OP9_SQL)
+def op9_tool_call_links(spark, sf_dir):
+    calls, results = tool_calls.from_turns(table(spark, sf_dir, "conversations"))
+    found = tool_calls.records(calls, results, tool_calls.SCHEMAS)
+    return found.select("conv_id", "call_id", "turn", "result_turn", "state", "level", (F.size("errors") == 0).alias("valid"), F.sha2("record", 256).alias("record_sha256"))
