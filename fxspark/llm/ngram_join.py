@@ -31,7 +31,7 @@ from fxspark.llm.components import components
 
 N = 5
 PERCENT = 75
-BLOCK = 2_000_000  # n-grams of a block of documents
+BLOCK = 600_000  # n-grams of a block of documents
 CHUNK = 2_000_000  # entries of the matrix that one task multiplies
 
 U64 = np.uint64
@@ -67,7 +67,7 @@ def _blocks(docs: DataFrame, buckets: int, n: int) -> DataFrame:
     def run(parts):
         from pyspark import TaskContext
 
-        task, number, hashes = TaskContext.get().partitionId(), 0, WordHashes()
+        task, number, hashes = TaskContext.get().partitionId(), 0, WordHashes(150_000)
         sets: dict[tuple[int, int], int] = {}
         kept: list[np.ndarray] = []
         ids, of, total = [], [], 0
@@ -92,7 +92,7 @@ def _blocks(docs: DataFrame, buckets: int, n: int) -> DataFrame:
             kinds = [pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["bucket", "kind", "block", "high", "low", "place"])
 
-        for part in parts:
+        for part in (batch.slice(at, 500) for batch in parts for at in range(0, batch.num_rows, 500)):
             for doc_id, text in zip(part.column(0).to_pylist(), raw(part.column(1))):
                 found = grams(hashes.of((text or b"").lower().split()), n)
                 key = int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True), len(found)
