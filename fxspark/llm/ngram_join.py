@@ -360,7 +360,8 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT, chunk: int = CHUNK
     else:
         joined = components(edges).select(F.col("node").alias("set"), F.col("label").alias("root"))
         roots = owners.join(joined, "set", "left").withColumn("root", F.coalesce("root", "set"))
-    least = roots.filter("size > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    roots = stored(roots, "ngram-roots")
+    least = stored(roots.filter("size > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")), "ngram-least")  # then large groups can be split in the join
     return roots.join(least, "root", "left").select(
         "doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -372,8 +373,7 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     """
     found = stored(join(docs), "ngram-join")
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("copies"))
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    rows = docs.select(F.struct(*docs.columns).alias("row")).join(kept, F.col("row.doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
     if not kept.filter("copies > 1").isEmpty():
-        own = docs.columns
-        rows = rows.withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash"]).select(*own)
-    return rows
+        rows = rows.select("row", F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("text_hash")).dropDuplicates(["id", "text_hash"])
+    return rows.select("row.*")

@@ -73,6 +73,8 @@ def decode(record: bytes) -> dict:
     end = record.find(b"\r\n\r\n")
     if end < 0:
         raise ValueError("no end of header")
+    if VERSION.search(record, 1, end):
+        raise ValueError("two headers")  # a cut header runs into the next record's
     head = {}
     for line in record[:end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
