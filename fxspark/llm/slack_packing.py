@@ -14,6 +14,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -25,38 +26,69 @@ from fxspark.llm.common import stored, texts
 CAPACITY = 2048
 END = 1  # closes a document
 GROUP = 20_000  # pieces that are packed together
+SIGMAS = {"Σ", "σ", "ς"}  # their small letter depends on the place
 
 
 # ---- tokens
 
+def _byte_letters() -> dict[int, int]:
+    """The letters by which byte-level vocabularies write bytes: printable ones stand for themselves, the others follow from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {**{b: b for b in own}, **{b: 256 + i for i, b in enumerate(rest)}}
+
+
 class Ids(dict):
     """Token ids of words as bytes (little-endian 32 bits), remembered for up to ``most`` words.
 
     The vocabulary's pattern never crosses a blank or a line end and drops white space, so the ids of a text are those of
-    the runs between them.
+    the runs between them. It also parts letters from what follows them: a run of letters with signs behind it has the ids
+    of the letters, then those of the signs. Plain runs of letters go to the vocabulary's merges directly.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+
+    def __init__(self, path: str, most: int = 700_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-
-    def learn(self, words: set[str]) -> None:
-        missing = list(words - self.keys())
-        if len(self) + len(missing) > self.most:
+        self.tokenizer, self.most, self.letters, self.table = Tokenizer.from_file(path), most, {}, _byte_letters()
+        self.merges = self.tokenizer.model
+        self.packed = [i.to_bytes(4, "little") for i in range(1 + max(self.tokenizer.get_vocab().values()))]
+
+    def _whole(self, word: str) -> bytes:
+        return b"".join(map(self.packed.__getitem__, self.tokenizer.encode(word, add_special_tokens=False).ids))
+
+    def _letters(self, run: str) -> bytes:
+        """Ids of a run of letters; one whose small letters depend on their place or are more than letters takes the long way."""
+        low = run.lower()
+        found = self.letters.get(low)
+        if found is None:
+            if low.isascii():
+                mapped = low
+            elif low.isalpha() and is_normalized("NFC", low) and not SIGMAS & set(run):
+                mapped = low.encode().decode("latin-1").translate(self.table)
+            else:
+                return self._whole(run)
+            found = self.letters[low] = b"".join([self.packed[t.id] for t in self.merges.tokenize(mapped)])
+        return found
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.most:
             self.clear()
-            missing = list(words)
-        for at in range(0, len(missing), 4096):
-            some = missing[at : at + 4096]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self[word] = np.array(found.ids, dtype="<u4").tobytes()
+            self.letters.clear()
+        run = word.rstrip(self.SIGNS)
+        if run.isalpha() and not SIGMAS & set(run):
+            tail = word[len(run) :]
+            value = self._letters(run) + self[tail] if tail else self._letters(run)
+        else:
+            value = self._whole(word)
+        self[word] = value
+        return value
 
     def of(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        self.learn(set(words))
-        return b"".join(map(self.__getitem__, words))
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @lru_cache(1)
