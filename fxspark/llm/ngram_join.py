@@ -373,7 +373,8 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     """
     found = stored(join(docs), "ngram-join")
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("copies"))
-    rows = docs.select(F.struct(*docs.columns).alias("row")).join(kept, F.col("row.doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    # dealt by doc_id at every size: the kept ids grow with the documents, so they are never sent to all tasks
+    rows = docs.select(F.struct(*docs.columns).alias("row")).join(kept.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
     if not kept.filter("copies > 1").isEmpty():
         rows = rows.select("row", F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("text_hash")).dropDuplicates(["id", "text_hash"])
     return rows.select("row.*")
