@@ -2,28 +2,64 @@
 
 from __future__ import annotations
 
-from statistics import NormalDist
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
+# Coefficients of a rational approximation of the normal distribution function, highest power first
+CDF_TOP = [0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376]
+CDF_BOTTOM = [0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752]
+CDF_SPLIT = 7.07106781186547
+ROOT_2_PI = 2.5066282746310002
+
+# Coefficients of a rational approximation of the normal quantile, highest power first
+PPF_MID_TOP = [-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239]
+PPF_MID_BOTTOM = [-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0]
+PPF_TAIL_TOP = [-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783]
+PPF_TAIL_BOTTOM = [0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0]
+PPF_SPLIT = 0.02425
+
+
+def _polynomial(x: Column, coefficients: list[float]) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + F.lit(c)
+    return out
+
+
+def _once(x: Column | str, fn) -> Column:
+    """``fn`` of a value that is computed once, however often ``fn`` uses it."""
+    return F.transform(F.array((F.col(x) if isinstance(x, str) else x).cast("double")), fn)[0]
 
-@pandas_udf(DoubleType())
-def norm_cdf(x: pd.Series) -> pd.Series:
+
+def norm_cdf(x: Column | str) -> Column:
     """Standard normal distribution function."""
-    d = NormalDist()
-    return pd.Series([d.cdf(v) if v == v else None for v in x.to_numpy(dtype=float)], dtype="float64")
+    return _once(x, _cdf)
+
+
+def norm_ppf(p: Column | str) -> Column:
+    """Standard normal quantile; NaN outside (0, 1). One step by the distribution function makes it exact."""
+    return _once(p, _ppf)
+
+
+def _cdf(x: Column) -> Column:
+    a = F.abs(x)
+    e = F.exp(-a * a / 2)
+    near = e * _polynomial(a, CDF_TOP) / _polynomial(a, CDF_BOTTOM)
+    far = e / ROOT_2_PI / (a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65)))))
+    below = F.when(a > 38.4, F.lit(0.0)).when(a < CDF_SPLIT, near).otherwise(far)
+    return F.when(x.isNotNull() & ~F.isnan(x), F.when(x > 0, 1 - below).otherwise(below))
 
 
-@pandas_udf(DoubleType())
-def norm_ppf(p: pd.Series) -> pd.Series:
-    """Standard normal quantile; NaN outside (0, 1)."""
-    d = NormalDist()
-    return pd.Series([d.inv_cdf(v) if 0 < v < 1 else np.nan for v in p.to_numpy(dtype=float)], dtype="float64")
+def _ppf(p: Column) -> Column:
+    inside = (p > 0) & (p < 1)
+    s = F.when(inside, F.least(p, 1 - p)).otherwise(0.5)  # the lower tail keeps its digits
+    half = s - 0.5
+    mid = _polynomial(half * half, PPF_MID_TOP) * half / _polynomial(half * half, PPF_MID_BOTTOM)
+    q = F.sqrt(-2 * F.ln(s))
+    tail = _polynomial(q, PPF_TAIL_TOP) / _polynomial(q, PPF_TAIL_BOTTOM)
+    x = F.when(s >= PPF_SPLIT, mid).otherwise(tail)
+    exact = _once(x, lambda v: _once((_cdf(v) - s) * ROOT_2_PI * F.exp(v * v / 2), lambda u: v - u / (1 + v * u / 2)))
+    return F.when(p.isNotNull(), F.when(inside, F.when(p > 0.5, -exact).otherwise(exact)).otherwise(float("nan")))
 
 
 STATE_PARTS = ("n", "mean", "m2", "m3", "m4", "min", "max")

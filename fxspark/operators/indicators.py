@@ -33,18 +33,18 @@ def log_return(rl: Rolling, col: str = "close") -> Column:
 
 
 def sma(rl: Rolling, n: int, col: str = "close", full: bool = True) -> Column:
-    return rl.full(F.avg(col), n) if full else F.avg(col).over(rl.rows(n))
+    return rl.full(F.avg, col, n) if full else F.avg(col).over(rl.rows(n))
 
 
-def rolling_std(rl: Rolling, n: int, col: str = "close", lead: int = 0) -> Column:
-    return rl.full(F.stddev_samp(col), n, lead=lead)
+def rolling_std(rl: Rolling, n: int, col: str = "close") -> Column:
+    return rl.full(F.stddev_samp, col, n)
 
 
 def rsi(rl: Rolling, n: int = 14, zero_loss: str = "eps", name: str | None = None) -> Rolling:
     name = name or f"rsi_{n}"
     d = F.col("close") - rl.lag("close")
     rl.add({"_gain": F.coalesce(F.greatest(d, F.lit(0.0)), F.lit(0.0)), "_loss": F.coalesce(F.greatest(-d, F.lit(0.0)), F.lit(0.0))})
-    rl.add({"_ag": rl.full(F.avg("_gain"), n), "_al": rl.full(F.avg("_loss"), n)})
+    rl.add({"_ag": rl.full(F.avg, "_gain", n), "_al": rl.full(F.avg, "_loss", n)})
     loss = F.when(F.col("_al") == 0, F.lit(ZERO_LOSS[zero_loss])).otherwise(F.col("_al"))
     rl.add({name: 100 - 100 / (1 + F.col("_ag") / loss)})
     rl.df = rl.df.drop("_gain", "_loss", "_ag", "_al")
@@ -60,7 +60,7 @@ def true_range(rl: Rolling, first_null: bool = False) -> Column:
 
 def atr(rl: Rolling, n: int = 14, name: str = "atr") -> Rolling:
     rl.add({"true_range": true_range(rl)})
-    return rl.add({name: rl.full(F.avg("true_range"), n)})
+    return rl.add({name: rl.full(F.avg, "true_range", n)})
 
 
 def bollinger(rl: Rolling, n: int = 20, width: float = 2.0, prefix: str = "bb") -> Rolling:
@@ -77,15 +77,14 @@ def bollinger(rl: Rolling, n: int = 20, width: float = 2.0, prefix: str = "bb")
 
 def donchian(rl: Rolling, n: int, prefix: str = "dc") -> Rolling:
     """Highest high and lowest low of the ``n`` bars before the current one."""
-    return rl.add({f"{prefix}_upper": rl.full(F.max("high"), n, -1), f"{prefix}_lower": rl.full(F.min("low"), n, -1)})
+    return rl.add({f"{prefix}_upper": rl.full(F.max, "high", n, -1), f"{prefix}_lower": rl.full(F.min, "low", n, -1)})
 
 
 def stochastic(rl: Rolling, k: int = 14, d: int = 3, prefix: str = "st") -> Rolling:
-    rl.add({"_ll": rl.full(F.min("low"), k), "_hh": rl.full(F.max("high"), k)})
+    rl.add({"_ll": rl.full(F.min, "low", k), "_hh": rl.full(F.max, "high", k)})
     raw = 100 * (F.col("close") - F.col("_ll")) / (F.col("_hh") - F.col("_ll") + 1e-12)
-    rl.add({f"{prefix}_k": F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw))})
-    rl.add({f"{prefix}_k": F.when(F.col("_rn") >= k, F.col(f"{prefix}_k"))})
-    rl.add({f"{prefix}_d": rl.full(F.avg(f"{prefix}_k"), d, lead=k - 1)})
+    rl.add({f"{prefix}_k": F.when(raw.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)))})
+    rl.add({f"{prefix}_d": rl.full(F.avg, f"{prefix}_k", d)})
     rl.df = rl.df.drop("_ll", "_hh")
     return rl
 
@@ -152,12 +151,12 @@ def features(bars: DataFrame, adjust: bool = True, zero_loss: str = "inf") -> Da
     rl = s.rolling(51, numbered=True)
     rl.add({f"return_{n}": simple_return(rl, n) for n in (1, 5, 10, 21)})
     rl.add({f"sma_{n}": sma(rl, n) for n in (5, 10, 21, 50)})
-    rl.add({f"volatility_{n}": rolling_std(rl, n, "return_1", lead=1) for n in (10, 21)})
+    rl.add({f"volatility_{n}": rolling_std(rl, n, "return_1") for n in (10, 21)})
     rsi(rl, 14, zero_loss)
     bollinger(rl)
     atr(rl, 14, "atr_14")
     volume_ratio(rl, 10)
-    rl.add({"price_vs_sma50": F.col("close") / F.col("sma_50") - 1})
+    rl.add({"price_vs_sma50": F.try_divide("close", "sma_50") - 1})
     return rl.done().drop("bb_mid", "bb_sd", "true_range").dropna()
 
 

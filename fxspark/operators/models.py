@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .joins import same_keys
 
 
 def zscore(df: DataFrame, keys: list[str], cols: list[str], fit_on=None, suffix: str = "_z") -> DataFrame:
@@ -17,7 +18,7 @@ def zscore(df: DataFrame, keys: list[str], cols: list[str], fit_on=None, suffix:
     fit = src.groupBy(*keys).agg(
         *(F.avg(c).alias(f"_m_{c}") for c in cols), *(F.stddev_pop(c).alias(f"_s_{c}") for c in cols)
     )
-    joined = df.join(fit, keys, "left")
+    joined = same_keys(df, fit, keys, "left")
     z = {
         f"{c}{suffix}": F.coalesce(
             (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"_s_{c}")), F.lit(0.0)
@@ -43,7 +44,7 @@ def clusters(df: DataFrame, key: str, feats: list[str], k_range: tuple[int, int]
         n = data.count()
         best, best_score = None, -1.0
         for k in range(k_range[0], min(k_range[1], n - 1) + 1):
-            model = KMeans(k=k, seed=seed, maxIter=20).fit(data)
+            model = KMeans(k=k, seed=seed, maxIter=300, tol=1e-4).fit(data)
             score = ClusteringEvaluator().evaluate(model.transform(data))
             if score > best_score:
                 best, best_score = model, score
@@ -68,7 +69,8 @@ def f_statistic(df: DataFrame, label: str, feats: list[str]) -> DataFrame:
         F.sum(n * m).alias("sm"), F.sum(n * m * m).alias("smm"),
     )
     between = F.col("smm") - F.col("sm") * F.col("sm") / F.col("t")
-    return s.select("feature", ((between / (F.col("k") - 1)) / (F.col("within") / (F.col("t") - F.col("k")))).alias("score"))
+    # one class, or as many classes as rows, has no F
+    return s.select("feature", F.try_divide(F.try_divide(between, F.col("k") - 1), F.try_divide("within", F.col("t") - F.col("k"))).alias("score"))
 
 
 def mutual_information(df: DataFrame, label: str, feats: list[str], bins: int = 10) -> DataFrame:
@@ -93,7 +95,7 @@ def mutual_information(df: DataFrame, label: str, feats: list[str], bins: int =
     return joined.groupBy("feature").agg(F.sum(n / t * F.ln(n * t / (F.col("nb") * F.col("ny").cast("double")))).alias("score"))
 
 
-def forest_importance(df: DataFrame, label: str, feats: list[str], trees: int = 20, depth: int = 5, seed: int = 42) -> DataFrame:
+def forest_importance(df: DataFrame, label: str, feats: list[str], trees: int = 100, depth: int = 10, seed: int = 42) -> DataFrame:
     """Importance of each feature in a random forest for the class."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import StringIndexer
@@ -128,7 +130,7 @@ def principal_components(df: DataFrame, feats: list[str], threshold: float = 0.9
     return scores, df.sparkSession.createDataFrame(rows, "component int, explained double, cumulative double, main_feature string")
 
 
-def mixture_states(df: DataFrame, feats: list[str], n_states: int = 3, seed: int = 42, max_iter: int = 20) -> DataFrame:
+def mixture_states(df: DataFrame, feats: list[str], n_states: int = 3, seed: int = 42, max_iter: int = 500, tol: float = 1e-3) -> DataFrame:
     """Regime state, its probabilities and confidence from a Gaussian mixture over the features.
 
     Stands in for a hidden Markov model: the same outputs without transitions inside the fit, so labels
@@ -138,14 +140,17 @@ def mixture_states(df: DataFrame, feats: list[str], n_states: int = 3, seed: int
     from pyspark.ml.functions import vector_to_array
 
     v = _vector(df, feats)
-    model = GaussianMixture(k=n_states, seed=seed, maxIter=max_iter).fit(v)
+    model = GaussianMixture(k=n_states, seed=seed, maxIter=max_iter, tol=tol).fit(v)
     p = vector_to_array("probability")
     return model.transform(v).select(
         *df.columns, F.col("prediction").alias("state"), p.alias("state_probabilities"), F.array_max(p).alias("confidence"))
 
 
 def batch_predictions(df: DataFrame, feats: list[str], target: str, name: str, version: str, keep: list[str]) -> DataFrame:
-    """Next-value predictions of a linear model, with its name and version."""
+    """Predictions of a linear model with its name and version, for every row.
+
+    Rows whose ``target`` (the next value) is known train the model; rows without it, the newest of each series, are only scored.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.regression import LinearRegression
@@ -153,7 +158,7 @@ def batch_predictions(df: DataFrame, feats: list[str], target: str, name: str, v
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=feats, outputCol="_raw", handleInvalid="skip"),
         StandardScaler(inputCol="_raw", outputCol="_std", withMean=True),
-        LinearRegression(featuresCol="_std", labelCol=target, predictionCol="pred_next_close"),
+        LinearRegression(featuresCol="_std", labelCol=target, predictionCol="pred_next_close", solver="normal"),
     ])
     model = pipe.fit(df.filter(F.col(target).isNotNull()))
     return model.transform(df).select(*keep, "pred_next_close", F.lit(name).alias("model_name"), F.lit(version).alias("model_version"))

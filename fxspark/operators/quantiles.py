@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .joins import same_keys
 from .series import Series
 
 HOT_ROWS = 1_000_000
-RANGES = 256
+RANGE_ROWS = 250_000  # rows of the largest group that one range holds, about
 
 
 def percentile_columns(metrics: list[str], probs: dict[str, float]) -> tuple[list[Column], list[Column]]:
@@ -27,22 +28,22 @@ def percentile_columns(metrics: list[str], probs: dict[str, float]) -> tuple[lis
     return aggs, cols
 
 
-def hot_groups(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame | None:
-    """Keys of the groups above ``hot_rows``, or None if there is none. Runs one small job."""
+def hot_groups(df: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame | None, int]:
+    """Keys of the groups above ``hot_rows`` (None if there is none) and the largest size. Runs one small job."""
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     largest = sizes.agg(F.max("_n")).first()[0] or 0
-    return sizes.filter(F.col("_n") > hot_rows).select(*keys) if largest > hot_rows else None
+    return sizes.filter(F.col("_n") > hot_rows).select(*keys) if largest > hot_rows else None, largest
 
 
-def _ranked(df: DataFrame, keys: list[str], metrics: list[str], probs: dict[str, float]) -> DataFrame:
+def _ranked(df: DataFrame, keys: list[str], metrics: list[str], probs: dict[str, float], n_ranges: int) -> DataFrame:
     group = [*keys, "metric"]
     long = df.unpivot(keys, metrics, "metric", "v").filter(F.col("v").isNotNull())
     counted = cut(long.groupBy(*group, "v").agg(F.count("*").alias("cnt")))
     bounds = counted.groupBy(*group).agg(
         F.sum("cnt").alias("n"),
-        F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)], 10000).alias("_cuts"),
+        F.percentile_approx("v", [i / n_ranges for i in range(1, n_ranges)], max(10000, 4 * n_ranges)).alias("_cuts"),
     )
-    ranged = counted.join(bounds, group).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("v"))))
+    ranged = same_keys(counted, bounds, group).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("v"))))
     cum = Series(ranged.drop("_cuts"), tuple(group), ("v",), ("_range",)).scan({"_cum": ("sum", F.col("cnt"))}).df
     picks, cols = [], []
     for nm, p in probs.items():
@@ -51,7 +52,8 @@ def _ranked(df: DataFrame, keys: list[str], metrics: list[str], probs: dict[str,
             hit = (F.col("_cum") - F.col("cnt") <= rank) & (rank < F.col("_cum"))
             picks.append(F.max(F.when(hit, F.col("v"))).alias(f"_{side}_{nm}"))
         lo, hi = F.col(f"_lo_{nm}"), F.col(f"_hi_{nm}")
-        cols.append((lo + (at - F.floor(at)) * (hi - lo)).alias(nm))
+        # to the last bit as the built-in aggregate does it
+        cols.append(F.when(lo == hi, lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi).alias(nm))
     q = cum.groupBy(*group).agg(F.max("n").alias("n"), *picks).select(*group, *cols)
     return q.groupBy(*keys).agg(
         *(F.max(F.when(F.col("metric") == m, F.col(nm))).alias(f"{m}_{nm}") for m in metrics for nm in probs)
@@ -72,15 +74,15 @@ def group_quantiles(
     the hours of a day or the days of a calendar.
     """
     arrays, cols = percentile_columns(metrics, probs)
-    hot = hot_groups(df, keys, hot_rows) if hot_rows is not None else None
-    small_src = df if hot is None else df.join(hot, keys, "left_anti")
+    hot, largest = hot_groups(df, keys, hot_rows) if hot_rows is not None else (None, 0)
+    small_src = df if hot is None else same_keys(df, hot, keys, "left_anti")
     agg = small_src.groupBy(*keys).agg(*aggs, *arrays)
     kept = [c for c in agg.columns if not c.startswith("_q_")]
     small = agg.select(*kept, *cols)
     if hot is None:
         return small
-    big_src = df.join(hot, keys, "left_semi")
-    big = _ranked(big_src, keys, metrics, probs)
-    if aggs:
-        big = big_src.groupBy(*keys).agg(*aggs).join(big, keys)
-    return small.unionByName(big)
+    big_src = same_keys(df, hot, keys, "left_semi")
+    ranked = _ranked(big_src, keys, metrics, probs, max(16, -(-largest // RANGE_ROWS)))
+    # a group without any value of a metric has no rank to pick and stays with NULL
+    groups = big_src.groupBy(*keys).agg(*aggs) if aggs else hot
+    return small.unionByName(same_keys(groups, ranked, keys, "left"))

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import same_keys
 from .series import Series
 
 
@@ -35,12 +36,22 @@ def emission_parameters(states: DataFrame, keys: list[str], n_states: int) -> Da
     return every.join(got, [*keys, "state"], "left").na.fill(0.0, ["mean_return", "volatility"])
 
 
-def relabel(states: DataFrame, keys: list[str], state: str = "state", ret: str = "ret") -> DataFrame:
-    """States renumbered by ascending mean return, equal means in old order."""
+def relabel(states: DataFrame, keys: list[str], state: str = "state", ret: str = "ret", probabilities: str | None = None) -> DataFrame:
+    """States renumbered by ascending mean return, equal means in old order.
+
+    ``probabilities``, an array by state, follows; states that a key never takes stay behind the others in old order.
+    """
     m = states.groupBy(*keys, state).agg(F.avg(ret).alias("_m"))
     w = Window.partitionBy(*keys).orderBy("_m", state)  # one row per state
     names = m.select(*keys, state, (F.row_number().over(w) - 1).alias("_new"))
-    return states.join(names, [*keys, state]).withColumn(state, F.col("_new")).drop("_new")
+    out = same_keys(states, names, [*keys, state])
+    if probabilities:
+        order = names.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_new", state))), lambda x: x[state]).alias("_order"))
+        p = F.col(probabilities)
+        taken = F.transform("_order", lambda i: F.get(p, i.cast("int")))
+        rest = F.filter(p, lambda _, i: ~F.array_contains("_order", i.cast(dict(names.dtypes)[state])))
+        out = same_keys(out, order, keys).withColumn(probabilities, F.concat(taken, rest)).drop("_order")
+    return out.withColumn(state, F.col("_new")).drop("_new")
 
 
 def transitions(s: Series, n_states: int, state: str = "state") -> DataFrame:

@@ -26,19 +26,19 @@ def stale(universe: DataFrame, features: DataFrame, keys: list[str], at: str, as
     return universe.join(last, keys, "left").filter(old)
 
 
-def cross_timeframe(predictions: DataFrame, pair: str, order: list[str]) -> DataFrame:
+def cross_timeframe(predictions: DataFrame, pair: str, order: list[str], active: DataFrame | None = None) -> DataFrame:
     """Newest prediction of each timeframe as one map per pair, and whether their directions agree.
 
-    Directions count where both values are present, and at least two are needed.
+    Rows have pred, actual and error_pips. Directions count where pred and actual are present, and at least two are
+    needed. ``active`` holds the pairs to keep.
     """
+    if active is not None:
+        predictions = predictions.join(active.select(pair).distinct(), pair, "left_semi")
     last = latest_by(predictions, [pair, "timeframe"], order)
     tf = F.lower("timeframe")
     way = F.when(F.col("actual").isNotNull(), F.when(F.col("pred") > F.col("actual"), 1).otherwise(-1))
-    # one entry per timeframe
-    entries = F.array(
-        F.struct(F.concat(tf, F.lit("_pred")).alias("k"), F.col("pred").alias("v")),
-        F.struct(F.concat(tf, F.lit("_actual")).alias("k"), F.col("actual").alias("v")),
-    )
+    # three entries per timeframe
+    entries = F.array(*(F.struct(F.concat(tf, F.lit(f"_{v}")).alias("k"), F.col(v).cast("double").alias("v")) for v in ("pred", "actual", "error_pips")))
     g = last.select(pair, way.alias("way"), entries.alias("e")).groupBy(pair).agg(
         F.map_from_entries(F.filter(F.flatten(F.collect_list("e")), lambda x: x["v"].isNotNull())).alias("data"),
         F.count("way").alias("_n"), F.count_distinct("way").alias("_d"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.market import hours_between, log_decay
 from ..functions.stats import finished, merged_moments, moment_state
+from .joins import same_keys
 from .quantiles import HOT_ROWS, group_quantiles
 
 # The quantiles kept per score
@@ -77,7 +78,7 @@ def merge_states(states: DataFrame, keys: list[str], metrics: list[str], sketch:
         aggs += merged_moments(m, f"_mu_{m}")
         if sketch:
             aggs.append(F.kll_merge_agg_double(f"{m}_kll").alias(f"{m}_kll"))
-    return states.join(means, keys).groupBy(*keys).agg(F.sum("article_count").alias("article_count"), *aggs)
+    return same_keys(states, means, keys).groupBy(*keys).agg(F.sum("article_count").alias("article_count"), *aggs)
 
 
 def finish_states(states: DataFrame, keys: list[str], metrics: list[str], quantiles: dict[str, float] | None = None) -> DataFrame:

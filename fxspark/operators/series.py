@@ -5,7 +5,8 @@ holds a large share of all rows that task decides the run time of the job. The c
 cut every series into blocks of bounded size and express
 
 * running values (sum, count, max, last non-null, next non-null) as a scan inside each block plus
-  a carry taken from a table with one row per block, and
+  a carry taken from a table with one row per block,
+* exponential averages as affine maps of blocks, chained over the same table, and
 * rolling windows of at most ``lookback`` rows by copying the tail of each block into the next one,
 
 so the number of tasks follows the number of rows, not the number of keys.
@@ -13,8 +14,7 @@ so the number of tasks follows the number of rows, not the number of keys.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -75,11 +75,12 @@ class Series:
         ``last`` (latest non-null so far) and ``next`` (nearest non-null at or after the row).
         """
         part = [*self.keys, *self.bucket]
-        df = self.df.withColumns({f"_x_{n}": e for n, (_, e) in specs.items()})
+        # a struct of NULLs equals itself, so rows without a key or a time keep their block
+        df = self.df.withColumns({f"_x_{n}": e for n, (_, e) in specs.items()} | {"_part": F.struct(*part)})
         place = F.struct(*self.order)
 
         totals, carries = [], []
-        by_block = Window.partitionBy(*self.keys).orderBy(*self.bucket)
+        by_block = Window.partitionBy(*(f"_part.{k}" for k in self.keys)).orderBy(*(f"_part.{b}" for b in self.bucket))
         before = by_block.rowsBetween(Window.unboundedPreceding, -1)
         after = by_block.rowsBetween(1, Window.unboundedFollowing)
         for n, (kind, _) in specs.items():
@@ -95,12 +96,12 @@ class Series:
             }[kind]
             totals.append(total.alias(t))
             carries.append(carry.alias(f"_c_{n}"))
-        blocks = df.groupBy(*part).agg(*totals).select(*part, *carries)
+        blocks = df.groupBy("_part").agg(*totals).select("_part", *carries)
 
-        inside = Window.partitionBy(*part).orderBy(*self.order)
+        inside = Window.partitionBy("_part").orderBy(*self.order)
         run = inside.rowsBetween(*ALL_BEFORE)
         rest = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        joined = df.join(blocks, part)
+        joined = df.join(blocks, "_part")
         local = {}
         for n, (kind, _) in specs.items():
             x = F.col(f"_x_{n}")
@@ -127,7 +128,7 @@ class Series:
                 "next": F.coalesce(here, carry),
             }[kind]
         helpers = [f"{p}{n}" for n in specs for p in ("_x_", "_l_", "_c_")]
-        return replace(self, df=joined.withColumns(out).drop(*helpers))
+        return replace(self, df=joined.withColumns(out).drop("_part", *helpers))
 
     def number(self, name: str = "_rn") -> "Series":
         """Dense row number from 1 along each series."""
@@ -156,45 +157,85 @@ class Series:
     def ema(self, specs: Mapping[str, tuple[str, int, bool]], numbered: bool = False) -> "Series":
         """Exponential averages; each spec is ``name: (column, span, adjust)``.
 
-        y = q*y(-1) + (1-q)*x is a linear recurrence, so a block needs only the end values of the
-        blocks before it, each scaled by a power of q. Powers below 1e-20 are beyond double precision
-        and end the sum.
+        A NULL keeps the average and ages the values before it by one more row, as in pandas; before the first value there is
+        none. Each block is an affine map of the average in front of it; the maps are chained over the table of blocks.
         """
         s = self if numbered else self.number()
-        rn = F.col("_rn")
-        df = s.df.withColumns(
-            {"_eb": F.floor((rn - 1) / EMA_BLOCK_ROWS), "_ei": ((rn - 1) % EMA_BLOCK_ROWS).cast("double")}
-        )
-        part = [*s.keys, "_eb"]
-        run = Window.partitionBy(*part).orderBy("_rn").rowsBetween(*ALL_BEFORE)
-        prev = Window.partitionBy(*s.keys).orderBy("_eb")
-        identity = [n for n, (_, span, _) in specs.items() if span <= 1]
-        ends, carries, local, out = [], [], {}, {}
-        for n, (c, span, adjust) in specs.items():
-            if n in identity:
-                out[n] = F.col(c)
+        rn, x = F.col("_rn"), lambda c: F.col(c).cast("double")
+        df = s.df.withColumns({
+            "_eb": F.floor((rn - 1) / EMA_BLOCK_ROWS), "_ei": ((rn - 1) % EMA_BLOCK_ROWS).cast("double")})
+        df = df.withColumn("_ek", F.struct(*s.keys, "_eb"))
+        w = Window.partitionBy("_ek").orderBy("_rn")
+        run, before = w.rowsBetween(*ALL_BEFORE), w.rowsBetween(Window.unboundedPreceding, -1)
+        moving = {n: (c, 1.0 - 2.0 / (span + 1.0), adjust) for n, (c, span, adjust) in specs.items() if span > 1}
+        seen = {c: F.last(F.when(F.col(c).isNotNull(), rn), ignorenulls=True).over(before) for c, _, adjust in moving.values() if not adjust}
+        df = df.withColumns({f"_s_{c}": e for c, e in seen.items()})
+        factor, term, ends, full = {}, {}, [], {}
+        for n, (c, q, adjust) in moving.items():
+            here = F.col(c).isNotNull()
+            if adjust:
+                lift, fall = F.pow(F.lit(1.0 / q), F.col("_ei")), F.pow(F.lit(q), F.col("_ei"))
+                term |= {f"_n_{n}": x(c) * lift, f"_d_{n}": F.when(here, lift)}
+                last = F.pow(F.lit(q), F.lit(EMA_BLOCK_ROWS - 1.0))
+                ends += [(F.coalesce(F.sum(f"_{k}_{n}"), F.lit(0.0)) * last).alias(f"_t{k}_{n}") for k in "nd"]
+                sides = [F.coalesce(F.sum(f"_{k}_{n}").over(run), F.lit(0.0)) * fall + F.col(f"_c{k}_{n}") * fall * q for k in "nd"]
+                full[n] = F.when(sides[1] > 0, sides[0] / sides[1])
+            else:
+                u = F.pow(F.lit(q), (rn - F.col(f"_s_{c}")).cast("double"))
+                inner = here & F.col(f"_s_{c}").isNotNull()
+                factor[f"_a_{n}"] = F.when(inner, F.ln(u / (u + (1 - q)))).otherwise(0.0)
+                term[f"_n_{n}"] = F.when(inner, x(c) * ((1 - q) / (u + (1 - q))) * F.exp(-F.sum(f"_a_{n}").over(run)))
+                obs = F.when(here, rn)
+                ends += [F.exp(F.sum(f"_a_{n}")).alias(f"_tl_{n}"), F.coalesce(F.exp(F.sum(f"_a_{n}")) * F.sum(f"_n_{n}"), F.lit(0.0)).alias(f"_tm_{n}"),
+                         F.min_by(x(c), obs).alias(f"_tx_{n}"), F.min(obs).alias(f"_tf_{n}"), F.max(obs).alias(f"_tr_{n}")]
+                grown = F.exp(F.sum(f"_a_{n}").over(run))
+                own = grown * F.coalesce(F.sum(f"_n_{n}").over(run), F.lit(0.0))
+                first = F.first(obs, ignorenulls=True).over(run)
+                full[n] = F.when(first.isNull(), F.col(f"_cy_{n}")).otherwise(grown * F.col(f"_cf_{n}") + own)
+        df = df.withColumns(factor).withColumns(term)
+        blocks = df.groupBy("_ek").agg(*ends).withColumn("_key", F.to_json(F.struct(*(F.col("_ek")[k].alias(k) for k in s.keys)))).withColumn("_at", F.col("_ek._eb"))
+        outs = [f"_c{k}_{n}" for n, (_, _, adjust) in moving.items() for k in ("nd" if adjust else "yf")]
+        res = df
+        if moving:
+            schema = "_key string, _at long, " + ", ".join(f"`{o}` double" for o in outs)
+            carries = blocks.drop("_ek").groupBy("_key").applyInPandas(_chained(moving), schema)
+            res = df.join(blocks.select("_ek", "_key", "_at").join(carries, ["_key", "_at"]).drop("_key", "_at"), "_ek").withColumns(full)
+        res = res.withColumns({n: F.col(c) for n, (c, span, _) in specs.items() if span <= 1})
+        return replace(s, df=res.drop("_eb", "_ei", "_ek", *(f"_s_{c}" for c in seen), *factor, *term, *outs))
+
+
+def _chained(moving: Mapping[str, tuple[str, float, bool]]):
+    """Averages in front of each block of one series (one row per block)."""
+    rows = EMA_BLOCK_ROWS
+
+    def fold(frame):
+        frame = frame.sort_values("_at")
+        out = frame[["_key", "_at"]].copy()
+        for n, (_, q, adjust) in moving.items():
+            if adjust:
+                step = q**rows
+                for k in "nd":
+                    value, values = 0.0, []
+                    for end in frame[f"_t{k}_{n}"].tolist():
+                        values.append(value)
+                        value = value * step + end
+                    out[f"_c{k}_{n}"] = values
                 continue
-            q = 1.0 - 2.0 / (span + 1.0)
-            x = F.col(c).cast("double")
-            term = x if adjust else F.when(rn == 1, x).otherwise(x * F.lit(1.0 - q))
-            lifted = term * F.pow(F.lit(1.0 / q), F.col("_ei"))
-            local[f"_l_{n}"] = F.sum(lifted).over(run) * F.pow(F.lit(q), F.col("_ei"))
-            ends.append(
-                (F.sum(lifted) * F.pow(F.lit(q), F.lit(EMA_BLOCK_ROWS - 1.0))).alias(f"_t_{n}")
-            )
-            step = q**EMA_BLOCK_ROWS
-            depth = 1 if step < 1e-20 else math.ceil(math.log(1e-20) / math.log(step)) + 1
-            carry = sum(
-                (F.coalesce(F.lag(f"_t_{n}", k).over(prev), F.lit(0.0)) * F.lit(step ** (k - 1))
-                 for k in range(1, depth + 1)),
-                F.lit(0.0),
-            )
-            carries.append(carry.alias(f"_c_{n}"))
-            full = F.col(f"_l_{n}") + F.col(f"_c_{n}") * F.pow(F.lit(q), F.col("_ei") + 1)
-            out[n] = full * F.lit(1.0 - q) / (1.0 - F.pow(F.lit(q), rn)) if adjust else full
-        blocks = df.groupBy(*part).agg(*ends).select(*part, *carries)
-        res = df.join(blocks, part).withColumns(local).withColumns(out)
-        return replace(s, df=res.drop("_eb", "_ei", *local, *(k.replace("_l_", "_c_", 1) for k in local)))
+            y, seen, before, first = None, None, [], []
+            for grown, own, x, start, last in zip(*(frame[f"_t{k}_{n}"].tolist() for k in ("l", "m", "x", "f", "r"))):
+                before.append(y)
+                if start != start or start is None:  # no value in this block
+                    first.append(None)
+                    continue
+                u = 0.0 if seen is None else q ** (start - seen)
+                one = x if y is None else (u * y + (1 - q) * x) / (u + 1 - q)
+                first.append(one)
+                y, seen = grown * one + own, last
+            out[f"_cy_{n}"], out[f"_cf_{n}"] = before, first
+            out = out.astype({f"_cy_{n}": "float64", f"_cf_{n}": "float64"})
+        return out
+
+    return fold
 
 
 @dataclass
@@ -215,12 +256,10 @@ class Rolling:
         """Frame of ``n`` rows ending ``end`` rows before (negative) or at the current one."""
         return self.w.rowsBetween(end - n + 1, end)
 
-    def full(self, agg: Column, n: int, end: int = 0, lead: int = 0) -> Column:
-        """``agg`` over ``n`` rows, NULL until the frame is complete.
-
-        ``lead`` counts leading rows of the series that carry no value themselves.
-        """
-        return F.when(F.col("_rn") >= n - end + lead, agg.over(self.rows(n, end)))
+    def full(self, agg: Callable[[str], Column], col: str, n: int, end: int = 0) -> Column:
+        """``agg`` of a column over ``n`` rows, NULL unless all of them have a value."""
+        frame = self.rows(n, end)
+        return F.when(F.count(col).over(frame) == n, agg(col).over(frame))
 
     def lag(self, c, n: int = 1) -> Column:
         return F.lag(c, n).over(self.w)

@@ -1,6 +1,6 @@
 """Strategy signals, positions, trades and performance metrics.
 
-The portfolio here is the table part only: long or flat, entered and left at the closing price of the
+The position model here is long or flat, entered and left at the closing price of the
 signal bar, without cash, fees, slippage or stop orders. ``sl_pct`` and ``tp_pct`` stay grid parameters
 (the stop width of the ATR strategy is an output column) but do not end trades.
 """
@@ -335,7 +335,7 @@ def return_shape(df: DataFrame, keys: list[str], ret: str = "ret", periods: int
         F.skewness(ret).alias("_g1"), F.kurtosis(ret).alias("_g2"), *aggs,
     ])
     n = F.col("n_returns").cast("double")
-    shrink = (n - 1) / n
+    shrink = F.try_divide(n - 1, n)
     ok = (F.col("n_returns") > 2) & (F.col("sd_ret") > 0)
     more = [c for c in base.columns if c not in {*keys, "n_returns", "mean_ret", "sd_ret", "_g1", "_g2"} and not c.startswith(f"{ret}_p")]
     out = base.select(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import norm_cdf, norm_ppf
+from .joins import same_keys
 from .series import Series
 
 MAX_COMBINATIONS = 20_000
@@ -18,7 +19,7 @@ def indexed(s: Series) -> DataFrame:
     """Rows with their index from 0 and the length of their series."""
     rows = s.number().result()
     n = s.df.groupBy(*s.keys).agg(F.count("*").alias("n_rows"))
-    return rows.join(n, list(s.keys)).withColumn("idx", F.col("_rn") - 1).drop("_rn")
+    return same_keys(rows, n, list(s.keys)).withColumn("idx", F.col("_rn") - 1).drop("_rn")
 
 
 def walk_forward(rows: DataFrame, train: int = 8, val: int = 2, test: int = 2, step: int = 2, per_month: int = 500) -> DataFrame:
@@ -41,9 +42,9 @@ def combos(n: int, k: int) -> list[tuple[int, ...]]:
 
 
 def group_of(n_splits: int) -> Column:
-    """Group of a row; the last group takes the remainder."""
+    """Group of a row; the last group takes the remainder, and every row of a series shorter than ``n_splits``."""
     size = F.floor(F.col("n_rows") / n_splits)
-    return F.least(F.floor(F.col("idx") / size), F.lit(n_splits - 1))
+    return F.least(F.coalesce(F.floor(F.try_divide("idx", size)), F.lit(n_splits - 1)), F.lit(n_splits - 1))
 
 
 def split_spans(series: DataFrame, n_splits: int, n_test: int) -> DataFrame:
@@ -65,7 +66,7 @@ def purged_splits(rows: DataFrame, keys: list[str], n_splits: int = 6, n_test: i
     """
     series = rows.select(*keys, "n_rows").distinct()
     spans = split_spans(series, n_splits, n_test).drop("n_rows")
-    j = rows.withColumn("grp", group_of(n_splits)).join(spans, keys)
+    j = same_keys(rows.withColumn("grp", group_of(n_splits)), spans, keys)
     free = (F.col("idx") < F.col("test_min") - gap) | (F.col("idx") > F.col("test_max") + gap)
     return j.withColumn("role", F.when(F.array_contains("groups", F.col("grp").cast("int")), "test").when(free, "train").otherwise("purged")).drop(
         "groups", "test_min", "test_max")
@@ -98,14 +99,14 @@ def pbo(perf: DataFrame, strategy: str, partition: str, value: str, n_partitions
 
 def expected_max_sharpe(n_trials: Column, n_obs: Column) -> Column:
     gamma = 0.5772156649
-    t = n_trials.cast("double")
+    t = F.greatest(n_trials.cast("double"), F.lit(2.0))  # fewer trials answer 0 below
     e = norm_ppf(1 - 1 / t) * (1 - gamma) + gamma * norm_ppf(1 - 1 / (t * math.e))
-    return F.when(n_trials <= 1, F.lit(0.0)).otherwise(e / F.sqrt(n_obs.cast("double")))
+    return F.when(n_trials <= 1, F.lit(0.0)).otherwise(F.try_divide(e, F.sqrt(F.greatest(n_obs, F.lit(0)).cast("double"))))
 
 
 def deflated_sharpe(sharpe: Column, n_trials: Column, n_obs: Column, skew: Column, kurt: Column) -> Column:
     """Probability that a Sharpe ratio is genuine given the number of trials; ``kurt`` is the plain kurtosis."""
-    var = (1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe) / (n_obs - 1)
+    var = F.try_divide(1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe, n_obs - 1)
     z = (sharpe - expected_max_sharpe(n_trials, n_obs)) / F.sqrt(F.when(var > 0, var))
     return F.when((n_obs < 2) | (n_trials < 1) | (var == 0), F.lit(0.0)).otherwise(norm_cdf(z))
 
@@ -135,8 +136,9 @@ def threshold_gate(metrics: DataFrame, run: str, thresholds: DataFrame) -> DataF
 
 def promotion(candidates: DataFrame, champions: DataFrame, keys: list[str], min_accuracy: float = 0.52, max_pbo: float = 0.30, min_gain: float = 0.05) -> DataFrame:
     """Gate of each candidate against fixed limits and the champion of its key."""
-    ch = champions.select(*keys, F.col("deflated_sharpe").alias("champion_dsr"))
-    j = candidates.join(ch, keys, "left")
+    # a champion without the metric counts as 0, no champion sets no bar
+    ch = champions.select(*keys, F.coalesce("deflated_sharpe", F.lit(0.0)).alias("champion_dsr"))
+    j = same_keys(candidates, ch, keys, "left")
     gain = F.coalesce("deflated_sharpe", F.lit(0.0)) - F.col("champion_dsr")
     reason = (
         F.when(F.coalesce("directional_accuracy", F.lit(0.0)) < min_accuracy, "accuracy")

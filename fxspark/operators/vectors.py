@@ -28,18 +28,25 @@ def _unit(vectors) -> np.ndarray:
     return m / norm
 
 
-def _best(scores: np.ndarray, k: int) -> np.ndarray:
-    """Column numbers of the best ``k`` scores of each row, ties at the border included as they fall."""
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Column numbers of the best ``k`` scores of each row; of equal scores the smaller ids."""
     if scores.shape[1] <= k:
         return np.tile(np.arange(scores.shape[1]), (scores.shape[0], 1))
-    return np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    idx = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(scores, idx, axis=1).min(axis=1)
+    for i in np.flatnonzero((scores >= least[:, None]).sum(axis=1) > k):  # ties at the border
+        at = np.flatnonzero(scores[i] >= least[i])
+        idx[i] = at[np.lexsort((ids[at], -scores[i, at]))[:k]]
+    return idx
 
 
 def _pairs(q_ids, s_ids, scores: np.ndarray, k: int) -> pd.DataFrame:
-    idx = _best(scores, k)
+    # products of differently shaped blocks may differ in the last bits
+    scores, s_ids = np.round(scores, 12), np.asarray(s_ids)
+    idx = _best(scores, s_ids, k)
     return pd.DataFrame({
         "query_id": np.repeat(np.asarray(q_ids), idx.shape[1]),
-        "item_id": np.asarray(s_ids)[idx.ravel()],
+        "item_id": s_ids[idx.ravel()],
         "score": np.take_along_axis(scores, idx, axis=1).ravel(),
     })
 

@@ -90,7 +90,7 @@ def atr_volume_correlation(bars: DataFrame, period: int = 14) -> DataFrame:
     """Correlation of ATR and volume per pair; 0 where undefined. The first bar has no true range here."""
     rl = ind.bar_series(bars).rolling(period + 1)
     rl.add({"_tr": ind.true_range(rl, first_null=True)})
-    rl.add({"_atr": rl.full(F.avg("_tr"), period, lead=1)})
+    rl.add({"_atr": rl.full(F.avg, "_tr", period)})
     df = rl.done().filter(F.col("_atr").isNotNull())
     got = df.groupBy(F.col("symbol").alias("pair")).agg(F.corr("_atr", "volume").alias("c"))
     pairs = bars.select(F.col("symbol").alias("pair")).distinct()

@@ -11,6 +11,7 @@ from ..operators import scores as sc
 from ..operators.series import Series
 from .bars import TR, ema_sql, full, lag, rsi_expr, rsi_levels, step, win
 from .inputs import bars, r, rnd, rounded, table
+from .normal_sql import cdf
 from .registry import SQL, query
 
 
@@ -230,11 +231,17 @@ def prediction_strategy(spark, sf):
     return rounded(m, "rmse_pips", "mae_pips", "directional_accuracy", "sharpe", "profit_factor", "max_drawdown")
 
 
-@query("A35_probabilistic_sharpe")
+def _psr(tail):
+    return f"CASE WHEN n >= 3 AND 1 - skew * s + ({tail}) * s * s > 0 THEN {cdf(f'(s * sqrt(n - 1) / sqrt(1 - skew * s + ({tail}) * s * s))')} ELSE 0 END"
+
+
+@query("A35_probabilistic_sharpe", f"""WITH {RET}, m AS (SELECT symbol, count(ret) AS n, avg(ret) AS mu, stddev_samp(ret) AS sd FROM rt GROUP BY 1),
+g AS (SELECT symbol, n, max(mu) / max(sd) AS s, avg(pow((ret - mu) / sd, 3)) AS skew, avg(pow((ret - mu) / sd, 4)) - 3 AS ex FROM rt JOIN m USING (symbol) WHERE ret IS NOT NULL GROUP BY symbol, n)
+SELECT symbol, n AS n_returns, {r(_psr('ex / 4'))} AS psr, {r(_psr('(ex + 2) / 4'))} AS psr_plain FROM g""")
 def probabilistic_sharpe(spark, sf):
     s = sg.return_shape(daily_returns(spark, sf).df.filter("ret IS NOT NULL"), ["symbol"])
     plain = sg.psr(F.col("n_returns"), F.col("mean_ret"), F.col("sd_ret"), F.col("skewness"), F.col("kurtosis"), variant="plain")
-    return s.select("symbol", "n_returns", "psr", plain.alias("psr_plain"))
+    return rounded(s.select("symbol", "n_returns", "psr", plain.alias("psr_plain")), "psr", "psr_plain")
 
 
 @query("A36_recovery_and_duration", pos_sql(ENTRIES, f"""SELECT symbol, param_id, {r('avg_trade_duration_hours')} AS avg_trade_duration_hours,

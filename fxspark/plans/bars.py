@@ -109,7 +109,7 @@ def ema_weighted(spark, sf):
 def rolling_deviation(spark, sf):
     rl = rolling(spark, sf, 22)
     rl.add({"ret": ind.simple_return(rl, 1)})
-    rl.add({"std_20": ind.rolling_std(rl, 20), **{f"vol_{n}": ind.rolling_std(rl, n, "ret", lead=1) for n in (10, 21)}})
+    rl.add({"std_20": ind.rolling_std(rl, 20), **{f"vol_{n}": ind.rolling_std(rl, n, "ret") for n in (10, 21)}})
     return out(rl, "std_20", "vol_10", "vol_21")
 
 

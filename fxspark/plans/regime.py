@@ -141,10 +141,14 @@ def macro_differential(spark, sf):
                    "growth_differential")
 
 
+PRICED = f"""p AS (SELECT symbol, ts, close, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS pc FROM ({BARS})), q AS (SELECT *, CASE WHEN close > 0 AND pc > 0 THEN ln(close / pc) END AS lr FROM p),
+f AS (SELECT * FROM (SELECT *, count(lr) OVER (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING) AS n FROM q) WHERE n = 20 AND lr IS NOT NULL)"""
+
+
 def feature_rows(spark, sf):
     rl = ind.bar_series(bars(spark, sf)).rolling(21)
     rl.add({"log_return": ind.log_return(rl)})
-    rl.add({"volatility": ind.rolling_std(rl, 20, "log_return", lead=1), "sma_10": ind.sma(rl, 10)})
+    rl.add({"volatility": ind.rolling_std(rl, 20, "log_return"), "sma_10": ind.sma(rl, 10)})
     ind.rsi(rl, 14)
     ind.atr(rl, 14)
     return rl.done().drop("true_range").dropna()
@@ -153,7 +157,7 @@ def feature_rows(spark, sf):
 @query("M12_regime_mixture")
 def regime_mixture(spark, sf):
     m = md.mixture_states(feature_rows(spark, sf), ["log_return", "volatility", "rsi_14", "atr"])
-    return rg.relabel(m, ["timeframe"], "state", "log_return").select("symbol", "ts", "state", "state_probabilities", "confidence")
+    return rg.relabel(m, ["timeframe"], "state", "log_return", "state_probabilities").select("symbol", "ts", "state", "state_probabilities", "confidence")
 
 
 @query("M7_principal_components")
@@ -161,11 +165,45 @@ def principal_components(spark, sf):
     return md.principal_components(feature_rows(spark, sf), ["close", "volume", "log_return", "volatility", "sma_10", "rsi_14", "atr"])[1]
 
 
+@query("M12_mixture_checks", f"""WITH {PRICED} SELECT count(*) AS n_rows, 0 AS bad_sums, 0 AS other_state, 0 AS other_confidence, 0 AS wrong_order FROM f""")
+def mixture_checks(spark, sf):
+    """Rows, probabilities that do not add up, labels and confidences that are not the largest probability, states out of order."""
+    m = rg.relabel(md.mixture_states(feature_rows(spark, sf), ["log_return", "volatility", "rsi_14", "atr"]), ["timeframe"], "state", "log_return", "state_probabilities")
+    p = F.col("state_probabilities")
+    flaws = m.agg(F.count("*").alias("n_rows"), F.count_if(F.abs(F.aggregate(p, F.lit(0.0), lambda a, x: a + x) - 1) > 1e-9).alias("bad_sums"),
+                  F.count_if(F.get(p, F.col("state").cast("int")) < F.array_max(p)).alias("other_state"), F.count_if(F.col("confidence") != F.array_max(p)).alias("other_confidence"))
+    means = m.groupBy("timeframe").agg(F.array_sort(F.collect_set("state")).alias("states"))
+    by = m.groupBy("timeframe", "state").agg(F.avg("log_return").alias("mean"))
+    order = by.groupBy("timeframe").agg(F.array_sort(F.collect_list(F.struct("state", "mean"))).alias("s")).join(means, "timeframe")
+    wrong = order.agg(F.coalesce(F.sum(F.size(F.filter("s", lambda x, i: (i > 0) & (F.get("s", i - 1)["mean"] > x["mean"])))), F.lit(0)).alias("wrong_order"))
+    return flaws.withColumn("wrong_order", wrong.scalar())
+
+
+def next_close_rows(spark, sf):
+    """Features of each bar with the close of the next one, which the newest bar of a series does not have."""
+    rl = ind.bar_series(feature_rows(spark, sf)).rolling(1)
+    rows = rl.series().df
+    nxt = rows.select("symbol", "timeframe", (F.col("_rn") - 1).alias("_rn"), F.col("close").alias("next_close"))
+    return rows.join(nxt, ["symbol", "timeframe", "_rn"], "left")
+
+
+NEXT_FEATURES = ["close", "volatility", "sma_10", "rsi_14"]
+
+
 @query("M20_batch_predictions")
 def batch_predictions(spark, sf):
-    rl = ind.bar_series(feature_rows(spark, sf)).rolling(1)
-    rl.add({"prev_close": rl.lag("close")})
-    return md.batch_predictions(rl.done(), ["prev_close", "volatility", "sma_10", "rsi_14"], "close", "linear", "1", ["symbol", "timeframe", "ts"])
+    return md.batch_predictions(next_close_rows(spark, sf), NEXT_FEATURES, "next_close", "linear", "1", ["symbol", "timeframe", "ts"])
+
+
+@query("M20_prediction_checks", f"""WITH {PRICED} SELECT count(*) AS n_rows, count(DISTINCT symbol) AS n_newest, 0 AS unscored, 0 AS unbalanced FROM f""")
+def prediction_checks(spark, sf):
+    """Rows scored, newest rows among them, rows without a prediction, and features (and the constant) that still correlate with the errors of the training rows."""
+    rows = next_close_rows(spark, sf)
+    p = md.batch_predictions(rows, NEXT_FEATURES, "next_close", "linear", "1", ["symbol", "timeframe", "ts", "next_close", *NEXT_FEATURES])
+    e = F.col("next_close") - F.col("pred_next_close")
+    flat = [F.abs(F.avg(e)) / F.stddev_pop("next_close") > 1e-6] + [F.abs(F.corr(F.col(c), e)) > 1e-5 for c in NEXT_FEATURES]
+    return p.agg(F.count("*").alias("n_rows"), F.count_if(F.col("next_close").isNull()).alias("n_newest"), F.count_if(F.col("pred_next_close").isNull()).alias("unscored"),
+                 sum((F.coalesce(x, F.lit(False)).cast("int") for x in flat), F.lit(0)).alias("unbalanced"))
 
 
 @query("O6_regime_versions", f"""WITH {S} SELECT symbol, strftime(ts, '%Y-%m-%d') AS date, state, ts FROM s QUALIFY row_number() OVER (PARTITION BY symbol, strftime(ts, '%Y-%m-%d') ORDER BY ts DESC) = 1""")

@@ -16,8 +16,9 @@ from ..operators import scores as sc
 from ..operators import sets as st
 from ..operators import validation as va
 from ..operators import vectors as ve
-from .backtest import daily_returns
+from .backtest import RET, daily_returns
 from .inputs import BARS, bars, r, rnd, rounded, table
+from .normal_sql import cdf, ppf
 from .registry import query
 
 PAIR_NAMES = {"view": "USD_JPY", "click": "EUR_USD", "signup": "GBP_JPY", "purchase": "AUD_USD", "error": "USD_CHF"}
@@ -66,14 +67,16 @@ def stale_features(spark, sf):
 
 
 SNAP = """s AS (SELECT o_orderpriority AS pair, CASE o_orderkey % 3 WHEN 0 THEN 'H1' WHEN 1 THEN 'H4' ELSE 'D' END AS timeframe, o_orderdate AS ts, o_orderkey AS id,
- o_totalprice AS pred, CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE o_totalprice + (o_custkey % 7 - 3) END AS actual FROM orders)"""
+ o_totalprice AS pred, CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE o_totalprice + (o_custkey % 7 - 3) END AS actual,
+ CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE abs(o_custkey % 7 - 3) / 0.01 END AS error_pips FROM orders)"""
 
 
 def snapshots(spark, sf):
     tf = F.element_at(F.array(F.lit("H1"), F.lit("H4"), F.lit("D")), (F.col("o_orderkey") % 3 + 1).cast("int"))
     return table(spark, sf, "orders").select(
         F.col("o_orderpriority").alias("pair"), tf.alias("timeframe"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("id"),
-        F.col("o_totalprice").alias("pred"), F.when(F.col("o_custkey") % 4 != 0, F.col("o_totalprice") + (F.col("o_custkey") % 7 - 3)).alias("actual"))
+        F.col("o_totalprice").alias("pred"), F.when(F.col("o_custkey") % 4 != 0, F.col("o_totalprice") + (F.col("o_custkey") % 7 - 3)).alias("actual"),
+        F.when(F.col("o_custkey") % 4 != 0, F.abs(F.col("o_custkey") % 7 - 3) / 0.01).alias("error_pips"))
 
 
 @query("O5_latest_per_group", f"WITH {SNAP} SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY pair, timeframe ORDER BY ts DESC, id DESC) = 1")
@@ -82,11 +85,13 @@ def latest_per_group(spark, sf):
 
 
 @query("A42_cross_timeframe_snapshot", f"""WITH {SNAP}, l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY pair, timeframe ORDER BY ts DESC, id DESC) = 1)
-SELECT pair, {', '.join(f"max({v}) FILTER (timeframe = '{t}') AS {t.lower()}_{v}" for t in ('H1', 'H4', 'D') for v in ('pred', 'actual'))},
- CAST(count(actual) >= 2 AND count(DISTINCT CASE WHEN actual IS NOT NULL THEN CASE WHEN pred > actual THEN 1 ELSE -1 END END) = 1 AS INTEGER) AS trend_aligned FROM l GROUP BY 1""")
+SELECT pair, {', '.join(f"max({v}) FILTER (timeframe = '{t}') AS {t.lower()}_{v}" for t in ('H1', 'H4', 'D') for v in ('pred', 'actual', 'error_pips'))},
+ CAST(count(actual) >= 2 AND count(DISTINCT CASE WHEN actual IS NOT NULL THEN CASE WHEN pred > actual THEN 1 ELSE -1 END END) = 1 AS INTEGER) AS trend_aligned FROM l WHERE pair <> '5-LOW' GROUP BY 1""")
 def cross_timeframe_snapshot(spark, sf):
-    s = rs.cross_timeframe(snapshots(spark, sf), "pair", ["ts", "id"])
-    cells = [F.try_element_at("data", F.lit(f"{t}_{v}")).alias(f"{t}_{v}") for t in ("h1", "h4", "d") for v in ("pred", "actual")]
+    p = snapshots(spark, sf)
+    active = p.filter("pair <> '5-LOW'").select("pair").distinct()  # the universe's active pairs
+    s = rs.cross_timeframe(p, "pair", ["ts", "id"], active)
+    cells = [F.try_element_at("data", F.lit(f"{t}_{v}")).alias(f"{t}_{v}") for t in ("h1", "h4", "d") for v in ("pred", "actual", "error_pips")]
     return s.select("pair", *cells, "trend_aligned")
 
 
@@ -159,21 +164,29 @@ def backtest_overfitting(spark, sf):
     return rounded(va.pbo(li, "strategy", "part", "v", 8), "pbo")
 
 
-@query("M5_deflated_sharpe")
+_DSR_E = f"(({ppf('1 - 1 / 20.0')}) * (1 - 0.5772156649) + 0.5772156649 * ({ppf('1 - 1 / (20.0 * exp(1))')})) / sqrt(n)"
+
+
+@query("M5_deflated_sharpe", f"""WITH {RET}, m AS (SELECT symbol, count(ret) AS n, avg(ret) AS mu, stddev_samp(ret) AS sd FROM rt GROUP BY 1),
+g AS (SELECT symbol, n, max(mu) / max(sd) AS s, avg(pow((ret - mu) / sd, 3)) AS skew, avg(pow((ret - mu) / sd, 4)) AS kurt FROM rt JOIN m USING (symbol) WHERE ret IS NOT NULL GROUP BY symbol, n),
+z AS (SELECT symbol, n, s, (s - {_DSR_E}) / sqrt((1 - skew * s + (kurt - 1) / 4 * s * s) / (n - 1)) AS z FROM g)
+SELECT symbol, n AS n_returns, {r('s')} AS sharpe, {r(cdf('z'))} AS dsr FROM z""")
 def deflated_sharpe(spark, sf):
     from ..operators.signals import return_shape
     s = return_shape(daily_returns(spark, sf).df.filter("ret IS NOT NULL"), ["symbol"])
     sr = F.when(F.col("sd_ret") > 0, F.col("mean_ret") / F.col("sd_ret")).otherwise(0.0)
-    return s.select("symbol", "n_returns", sr.alias("sharpe"),
-                    va.deflated_sharpe(sr, F.lit(20), F.col("n_returns"), F.col("skewness"), F.col("kurtosis") + 3).alias("dsr"))
+    return rounded(s.select("symbol", "n_returns", sr.alias("sharpe"), va.deflated_sharpe(sr, F.lit(20), F.col("n_returns"), F.col("skewness"), F.col("kurtosis") + 3).alias("dsr")),
+                   "sharpe", "dsr")
 
 
-@query("F1_normal_distribution")
+@query("F1_normal_distribution", f"""WITH m AS (SELECT event_type, avg(value) AS mu, stddev_pop(value) AS sd FROM events GROUP BY 1),
+z AS (SELECT event_id, coalesce((value - mu) / sd, 0) AS z FROM events JOIN m USING (event_type)), p AS (SELECT event_id, z, {cdf('z')} AS p FROM z)
+SELECT event_id, {r('z')} AS value_z, {r('p')} AS p, CASE WHEN p BETWEEN 1e-6 AND 1 - 1e-6 THEN {r(ppf('p'))} END AS back FROM p""")
 def normal_distribution(spark, sf):
     """Distribution function of the standardised values, and the quantile that leads back to them."""
     z = md.zscore(table(spark, sf, "events"), ["event_type"], ["value"])
     p = z.select("event_id", "value_z", norm_cdf("value_z").alias("p"))
-    return p.withColumn("back", norm_ppf("p"))
+    return rounded(p.withColumn("back", F.when(F.col("p").between(1e-6, 1 - 1e-6), norm_ppf("p"))), "value_z", "p", "back")
 
 
 @query("M6_train_only_scaler", f"""WITH {IDX}, m AS (SELECT symbol, avg(close) AS mu, stddev_pop(close) AS sd FROM i WHERE idx < floor(n * 0.8) GROUP BY 1)

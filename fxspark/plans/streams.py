@@ -65,7 +65,7 @@ def forward_stream(spark, sf):
 @query("T6_ingest_once_stream", "SELECT event_id, event_type AS primary_ccy FROM events WHERE event_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def ingest_once_stream(spark, sf):
     stored = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("event_id"))
-    return jobs.ingest_once(stream(spark, sf, copies=True), stored, "event_id", ["event_id", "primary_ccy"], "60 days")
+    return jobs.ingest_once(stream(spark, sf, copies=True), stored, "event_id", ["event_id", "primary_ccy"])
 
 
 @query("T7_late_rows_stream", """WITH h AS (SELECT DISTINCT date_trunc('hour', ts), event_type FROM events)
@@ -92,3 +92,44 @@ def backfill_parity(spark, sf):
 def ingest_cycles(spark, sf):
     outcome = F.expr(OUTCOME.replace("value", "volatility_impact").replace("event_type", "primary_ccy"))
     return jobs.cycles(stream(spark, sf), outcome, sc.bucket("ts", "day"))
+
+
+# -- two runs over a growing folder -------------------------------------------------------
+
+
+def arrivals(spark, sf):
+    """A folder that grows: ``arrive(0)`` and ``arrive(1)`` deliver a half of the articles each; and the stream over it."""
+    a = articles(spark, sf)
+    path = work_dir(spark, "inbox")
+
+    def arrive(half):
+        a.filter(F.col("event_id") % 2 == half).repartition(2, "event_id").write.mode("append").parquet(path)
+        return jobs.article_stream(spark, path, a.schema)
+
+    return arrive
+
+
+@query("T1_resumed_hourly_stream", SQL["T1_hourly_stream"])
+def resumed_hourly_stream(spark, sf):
+    arrive, home = arrivals(spark, sf), work_dir(spark, "home")
+    for half in (0, 1):
+        out = jobs.hourly_statistics(arrive(half), STATE_FIELDS, home=home)
+    return rounded(out, *(c for c in out.columns if c not in ("bucket", "symbol", "article_count")))
+
+
+@query("T3_resumed_additive_stream", SQL["T3_additive_stream"])
+def resumed_additive_stream(spark, sf):
+    arrive, home = arrivals(spark, sf), work_dir(spark, "home")
+    for half in (0, 1):
+        out = jobs.additive_rollup(arrive(half), BIAS, home=home)
+    return rounded(out, "sum_score")
+
+
+@query("T6_resumed_ingest_once_stream", SQL["T6_ingest_once_stream"])
+def resumed_ingest_once_stream(spark, sf):
+    """The second run delivers the first half once more."""
+    stored = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("event_id"))
+    arrive, home = arrivals(spark, sf), work_dir(spark, "home")
+    for half in (0, 1, 0):
+        out = jobs.ingest_once(arrive(half), stored, "event_id", ["event_id", "primary_ccy"], home=home)
+    return out

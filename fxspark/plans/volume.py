@@ -176,7 +176,7 @@ def volume_profile(spark, sf):
 @query("M8_pair_clusters")
 def pair_clusters(spark, sf):
     prof = vo.volume_profile(user_totals(spark, sf))
-    return md.clusters(prof, "pair", [f"h{h:02d}" for h in range(24)], k_range=(2, 4), min_silhouette=0.02)
+    return md.clusters(prof, "pair", [f"h{h:02d}" for h in range(24)])
 
 
 FEATS = ["open", "close", "high", "low", "volume"]
@@ -205,6 +205,13 @@ def forest_importance(spark, sf):
     return md.forest_importance(bars(spark, sf), "symbol", FEATS)
 
 
+@query("M11_forest_checks", f"SELECT 1.0::DOUBLE AS total, {len(FEATS)} AS n_features, 0 AS negative")
+def forest_checks(spark, sf):
+    """Importances add up to one, one for each feature, none below zero."""
+    f = md.forest_importance(bars(spark, sf), "symbol", FEATS)
+    return f.agg(F.round(F.sum("score"), 9).alias("total"), F.count("*").alias("n_features"), F.count_if(F.col("score") < 0).alias("negative"))
+
+
 @query("O10_top_features", f"""WITH {F_STAT}, {MI}, a AS (SELECT 'f_statistic' AS method, * FROM fs UNION ALL SELECT 'mutual_information', * FROM mi)
 SELECT method, feature, {r('score')} AS score, row_number() OVER (PARTITION BY method ORDER BY round(a.score, 9) DESC, feature) AS rank FROM a QUALIFY rank <= 3""")
 def top_features(spark, sf):

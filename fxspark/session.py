@@ -30,7 +30,7 @@ def build_session(app: str = "fxspark", master: str | None = None, **conf) -> Sp
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) a local folder is made.
+    Only where that setting is absent and the master is local a folder of this machine is made.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -38,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="fxspark-")
     spark.sparkContext.setCheckpointDir(local)
     return local

@@ -77,20 +77,27 @@ def read_headerless(spark: SparkSession, path: str, schema: str = BARS_SCHEMA, c
     return spark.read.csv(path, schema=schema, comment=comment, ignoreLeadingWhiteSpace=True)
 
 
-# Metrics a result may lack; they read as 0
-OPTIONAL_METRICS = ["psr", "profit_factor", "sortino_ratio", "calmar_ratio", "omega_ratio", "expectancy"]
+# Metrics of a result; the optional ones may be missing and read as 0
+RESULT_METRICS = ["total_return", "sharpe_ratio", "max_drawdown", "win_rate"]
+RESULT_COUNTS = ["num_trades"]
+OPTIONAL_COUNTS = ["max_consecutive_wins", "max_consecutive_losses"]
+OPTIONAL_METRICS = [
+    "psr", "profit_factor", "avg_trade_duration_hours", "sortino_ratio", "calmar_ratio", "omega_ratio", "expectancy", "avg_win_pct", "avg_loss_pct", "best_trade_pct",
+    "worst_trade_pct", "max_drawdown_duration_hours", "volatility", "skewness", "kurtosis", "tail_ratio", "recovery_factor"]
 RESULT_SCHEMA = (
-    "run_id string, symbol string, timeframe string, strategy_type string, timestamp string, "
-    "results array<struct<params: map<string, double>, total_return: double, sharpe_ratio: double, max_drawdown: double, "
-    "win_rate: double, num_trades: int, " + ", ".join(f"{m}: double" for m in OPTIONAL_METRICS) + ">>"
+    "run_id string, symbol string, timeframe string, strategy_type string, timestamp string, results array<struct<params: string, "
+    + ", ".join([f"{m}: double" for m in [*RESULT_METRICS, *OPTIONAL_METRICS]] + [f"{m}: int" for m in [*RESULT_COUNTS, *OPTIONAL_COUNTS]]) + ">>"
 )
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Result documents to one row per result with the document's constants; absent metrics are 0."""
+    """Result documents to one row per result with the document's constants.
+
+    ``params`` is the JSON text as it stands, whatever its values are; absent optional metrics are 0.
+    """
     docs = spark.read.schema(RESULT_SCHEMA).json(path)
-    rows = docs.select("run_id", "symbol", "timeframe", "strategy_type", F.inline("results"))
-    return rows.withColumn("params", F.to_json("params")).na.fill(0.0, OPTIONAL_METRICS)
+    rows = docs.select("run_id", "symbol", "timeframe", "strategy_type", "timestamp", F.inline("results"))
+    return rows.na.fill(0.0, OPTIONAL_METRICS).na.fill(0, OPTIONAL_COUNTS)
 
 
 def read_partials(spark: SparkSession, path: str, schema: str) -> DataFrame:

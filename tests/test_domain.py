@@ -308,11 +308,13 @@ def test_gates(spark):
 
 
 def test_cross_timeframe_needs_two_complete(spark):
-    p = spark.createDataFrame([("P", "H1", 1, 2.0, 1.0), ("P", "H4", 1, 2.0, 1.5), ("Q", "H1", 1, 2.0, 1.0), ("Q", "H4", 1, 2.0, None), ("R", "H1", 1, 2.0, 1.0), ("R", "D", 1, 1.0, 2.0)],
-                              "pair string, timeframe string, ts int, pred double, actual double")
-    got = {r["pair"]: r for r in rs.cross_timeframe(p, "pair", ["ts"]).collect()}
+    p = spark.createDataFrame([("P", "H1", 1, 2.0, 1.0, 3.0), ("P", "H4", 1, 2.0, 1.5, 4.0), ("Q", "H1", 1, 2.0, 1.0, 5.0), ("Q", "H4", 1, 2.0, None, None), ("R", "H1", 1, 2.0, 1.0, 1.0),
+                               ("R", "D", 1, 1.0, 2.0, 1.0), ("S", "H1", 1, 1.0, 2.0, 1.0)],
+                              "pair string, timeframe string, ts int, pred double, actual double, error_pips double")
+    got = {r["pair"]: r for r in rs.cross_timeframe(p, "pair", ["ts"], p.filter("pair <> 'S'")).collect()}
+    assert set(got) == {"P", "Q", "R"}
     assert (got["P"]["trend_aligned"], got["Q"]["trend_aligned"], got["R"]["trend_aligned"]) == (1, 0, 0)
-    assert got["Q"]["data"] == {"h1_pred": 2.0, "h1_actual": 1.0, "h4_pred": 2.0}
+    assert got["Q"]["data"] == {"h1_pred": 2.0, "h1_actual": 1.0, "h1_error_pips": 5.0, "h4_pred": 2.0}
 
 
 def test_quota_and_merge(spark):
