@@ -7,6 +7,7 @@ windows are NULL until complete, as in the usual charting definitions.
 from __future__ import annotations
 
 import sys
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,10 +124,10 @@ def crossed_below(rl: Rolling, a: str, b: str | float) -> Column:
     return F.coalesce((F.col(a) < now) & (rl.prev(a) >= before), F.lit(False))
 
 
-def macd(s: Series, fast: int = 12, slow: int = 26, signal: int = 9, adjust: bool = False, prefix: str = "macd", numbered: bool = False) -> Series:
-    s = s.ema({"_fast": ("close", fast, adjust), "_slow": ("close", slow, adjust)}, numbered)
+def macd(s: Series, fast: int = 12, slow: int = 26, signal: int = 9, adjust: bool = False, prefix: str = "macd") -> Series:
+    s = s.ema({"_fast": ("close", fast, adjust), "_slow": ("close", slow, adjust)})
     s = s.with_columns({prefix: F.col("_fast") - F.col("_slow")})
-    s = s.ema({f"{prefix}_signal": (prefix, signal, adjust)}, numbered=True)
+    s = s.ema({f"{prefix}_signal": (prefix, signal, adjust)})
     s = s.with_columns({f"{prefix}_hist": F.col(prefix) - F.col(f"{prefix}_signal")})
     return Series(s.df.drop("_fast", "_slow"), s.keys, s.order, s.bucket)
 
@@ -145,10 +146,11 @@ def fill_gaps(s: Series, cols: list[str], backward: bool = True, default: float
 
 def features(bars: DataFrame, adjust: bool = True, zero_loss: str = "inf") -> DataFrame:
     """The serving feature table of all indicators; rows before the longest window are left out."""
-    s = bar_series(cut(bar_series(bars).number().result()))
-    s = s.ema({f"ema_{n}": ("close", n, adjust) for n in (5, 10, 21, 50)}, numbered=True)
-    s = macd(s, adjust=adjust, numbered=True)
-    rl = s.rolling(51, numbered=True)
+    s = bar_series(cut(bars))
+    averages = {f"ema_{n}": ("close", n, adjust) for n in (5, 10, 21, 50)} | {"_fast": ("close", 12, adjust), "_slow": ("close", 26, adjust)}
+    s = s.ema(averages).with_columns({"macd": F.col("_fast") - F.col("_slow")})
+    s = s.ema({"macd_signal": ("macd", 9, adjust)}).with_columns({"macd_hist": F.col("macd") - F.col("macd_signal")})
+    rl = replace(s, df=s.df.drop("_fast", "_slow")).rolling(51)
     rl.add({f"return_{n}": simple_return(rl, n) for n in (1, 5, 10, 21)})
     rl.add({f"sma_{n}": sma(rl, n) for n in (5, 10, 21, 50)})
     rl.add({f"volatility_{n}": rolling_std(rl, n, "return_1") for n in (10, 21)})

@@ -17,8 +17,10 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 ALL_BEFORE = (Window.unboundedPreceding, Window.currentRow)
 BLOCK_ROWS = 4096
@@ -64,7 +66,16 @@ class Series:
         return replace(self, df=self.df.withColumns(dict(cols)))
 
     def result(self) -> DataFrame:
-        return self.df.drop(*self.bucket, *(k for k in self.keys if k == "_all"))
+        return self.df.drop("_part", *self.bucket, *(k for k in self.keys if k == "_all"))
+
+    def parted(self) -> "Series":
+        """With ``_part``, one value per key and bucket. It stays, so that scans and averages share one shuffle.
+
+        A struct of NULLs equals itself, so rows without a key or a time keep their block.
+        """
+        if "_part" in self.df.columns:
+            return self
+        return replace(self, df=self.df.withColumn("_part", F.struct(*self.keys, *self.bucket)))
 
     # -- running values ----------------------------------------------------------------
 
@@ -74,9 +85,7 @@ class Series:
         Kinds: ``sum``, ``count`` (rows where the expression is not NULL), ``max``, ``min``,
         ``last`` (latest non-null so far) and ``next`` (nearest non-null at or after the row).
         """
-        part = [*self.keys, *self.bucket]
-        # a struct of NULLs equals itself, so rows without a key or a time keep their block
-        df = self.df.withColumns({f"_x_{n}": e for n, (_, e) in specs.items()} | {"_part": F.struct(*part)})
+        df = self.parted().df.withColumns({f"_x_{n}": e for n, (_, e) in specs.items()})
         place = F.struct(*self.order)
 
         totals, carries = [], []
@@ -128,7 +137,7 @@ class Series:
                 "next": F.coalesce(here, carry),
             }[kind]
         helpers = [f"{p}{n}" for n in specs for p in ("_x_", "_l_", "_c_")]
-        return replace(self, df=joined.withColumns(out).drop("_part", *helpers))
+        return replace(self, df=joined.withColumns(out).drop(*helpers))
 
     def number(self, name: str = "_rn") -> "Series":
         """Dense row number from 1 along each series."""
@@ -154,86 +163,92 @@ class Series:
 
     # -- exponential averages ----------------------------------------------------------
 
-    def ema(self, specs: Mapping[str, tuple[str, int, bool]], numbered: bool = False) -> "Series":
+    def ema(self, specs: Mapping[str, tuple[str, int, bool]]) -> "Series":
         """Exponential averages; each spec is ``name: (column, span, adjust)``.
 
         A NULL keeps the average and ages the values before it by one more row, as in pandas; before the first value there is
-        none. Each block is an affine map of the average in front of it; the maps are chained over the table of blocks.
+        none. A block is an affine map of the average in front of it; the maps are chained over the table of blocks, which
+        has a row for each few hundred rows.
         """
-        s = self if numbered else self.number()
-        rn, x = F.col("_rn"), lambda c: F.col(c).cast("double")
-        df = s.df.withColumns({
-            "_eb": F.floor((rn - 1) / EMA_BLOCK_ROWS), "_ei": ((rn - 1) % EMA_BLOCK_ROWS).cast("double")})
-        df = df.withColumn("_ek", F.struct(*s.keys, "_eb"))
-        w = Window.partitionBy("_ek").orderBy("_rn")
+        s = self.parted()
+        x = lambda c: F.col(c).cast("double")
+        row = F.row_number().over(Window.partitionBy("_part").orderBy(*s.order)) - 1
+        df = s.df.withColumn("_ei", row).withColumns({"_sub": F.floor(F.col("_ei") / EMA_BLOCK_ROWS), "_ei": (F.col("_ei") % EMA_BLOCK_ROWS).cast("double")})
+        w = Window.partitionBy("_part", "_sub").orderBy(*s.order)
         run, before = w.rowsBetween(*ALL_BEFORE), w.rowsBetween(Window.unboundedPreceding, -1)
         moving = {n: (c, 1.0 - 2.0 / (span + 1.0), adjust) for n, (c, span, adjust) in specs.items() if span > 1}
-        seen = {c: F.last(F.when(F.col(c).isNotNull(), rn), ignorenulls=True).over(before) for c, _, adjust in moving.values() if not adjust}
+        seen = {c: F.last(F.when(F.col(c).isNotNull(), F.col("_ei")), ignorenulls=True).over(before) for c, _, adjust in moving.values() if not adjust}
         df = df.withColumns({f"_s_{c}": e for c, e in seen.items()})
-        factor, term, ends, full = {}, {}, [], {}
+        factor, term, ends, full = {}, {}, [F.count("*").alias("_rows")], {}
+        carried = lambda name: F.get("_carry", F.col("_sub").cast("int"))[name]
         for n, (c, q, adjust) in moving.items():
             here = F.col(c).isNotNull()
             if adjust:
                 lift, fall = F.pow(F.lit(1.0 / q), F.col("_ei")), F.pow(F.lit(q), F.col("_ei"))
                 term |= {f"_n_{n}": x(c) * lift, f"_d_{n}": F.when(here, lift)}
-                last = F.pow(F.lit(q), F.lit(EMA_BLOCK_ROWS - 1.0))
+                last = F.pow(F.lit(q), F.count("*") - 1)
                 ends += [(F.coalesce(F.sum(f"_{k}_{n}"), F.lit(0.0)) * last).alias(f"_t{k}_{n}") for k in "nd"]
-                sides = [F.coalesce(F.sum(f"_{k}_{n}").over(run), F.lit(0.0)) * fall + F.col(f"_c{k}_{n}") * fall * q for k in "nd"]
+                sides = [F.coalesce(F.sum(f"_{k}_{n}").over(run), F.lit(0.0)) * fall + carried(f"_c{k}_{n}") * fall * q for k in "nd"]
                 full[n] = F.when(sides[1] > 0, sides[0] / sides[1])
             else:
-                u = F.pow(F.lit(q), (rn - F.col(f"_s_{c}")).cast("double"))
+                u = F.pow(F.lit(q), F.col("_ei") - F.col(f"_s_{c}"))
                 inner = here & F.col(f"_s_{c}").isNotNull()
                 factor[f"_a_{n}"] = F.when(inner, F.ln(u / (u + (1 - q)))).otherwise(0.0)
                 term[f"_n_{n}"] = F.when(inner, x(c) * ((1 - q) / (u + (1 - q))) * F.exp(-F.sum(f"_a_{n}").over(run)))
-                obs = F.when(here, rn)
+                at = F.when(here, F.col("_ei"))
                 ends += [F.exp(F.sum(f"_a_{n}")).alias(f"_tl_{n}"), F.coalesce(F.exp(F.sum(f"_a_{n}")) * F.sum(f"_n_{n}"), F.lit(0.0)).alias(f"_tm_{n}"),
-                         F.min_by(x(c), obs).alias(f"_tx_{n}"), F.min(obs).alias(f"_tf_{n}"), F.max(obs).alias(f"_tr_{n}")]
+                         F.min_by(x(c), at).alias(f"_tx_{n}"), F.min(at).alias(f"_tf_{n}"), F.max(at).alias(f"_tr_{n}")]
                 grown = F.exp(F.sum(f"_a_{n}").over(run))
                 own = grown * F.coalesce(F.sum(f"_n_{n}").over(run), F.lit(0.0))
-                first = F.first(obs, ignorenulls=True).over(run)
-                full[n] = F.when(first.isNull(), F.col(f"_cy_{n}")).otherwise(grown * F.col(f"_cf_{n}") + own)
+                first = F.first(at, ignorenulls=True).over(run)
+                full[n] = F.when(first.isNull(), carried(f"_cy_{n}")).otherwise(grown * carried(f"_cf_{n}") + own)
         df = df.withColumns(factor).withColumns(term)
-        blocks = df.groupBy("_ek").agg(*ends).withColumn("_key", F.to_json(F.struct(*(F.col("_ek")[k].alias(k) for k in s.keys)))).withColumn("_at", F.col("_ek._eb"))
-        outs = [f"_c{k}_{n}" for n, (_, _, adjust) in moving.items() for k in ("nd" if adjust else "yf")]
         res = df
         if moving:
-            schema = "_key string, _at long, " + ", ".join(f"`{o}` double" for o in outs)
-            carries = blocks.drop("_ek").groupBy("_key").applyInPandas(_chained(moving), schema)
-            res = df.join(blocks.select("_ek", "_key", "_at").join(carries, ["_key", "_at"]).drop("_key", "_at"), "_ek").withColumns(full)
+            key = F.to_json(F.struct(*(F.col("_part")[k].alias(k) for k in s.keys)))
+            along = Window.partitionBy("_key").orderBy(*(f"_part.{b}" for b in s.bucket), "_sub")
+            ends = df.groupBy("_part", "_sub").agg(*ends).withColumn("_key", key)
+            blocks = ends.withColumn("_at", F.row_number().over(along))
+            outs = [f"_c{k}_{n}" for n, (_, _, adjust) in moving.items() for k in ("nd" if adjust else "yf")]
+            schema = StructType([blocks.schema["_part"], blocks.schema["_sub"], *(StructField(o, DoubleType()) for o in outs)])
+            carries = blocks.groupBy("_key").applyInArrow(_chained(moving, outs), schema)
+            # as many entries as a bucket has blocks
+            carries = carries.groupBy("_part").agg(F.array_sort(F.collect_list(F.struct("_sub", *outs))).alias("_carry"))
+            res = df.join(carries, "_part").withColumns(full).drop("_carry")
         res = res.withColumns({n: F.col(c) for n, (c, span, _) in specs.items() if span <= 1})
-        return replace(s, df=res.drop("_eb", "_ei", "_ek", *(f"_s_{c}" for c in seen), *factor, *term, *outs))
+        return replace(s, df=res.drop("_sub", "_ei", *(f"_s_{c}" for c in seen), *factor, *term))
 
 
-def _chained(moving: Mapping[str, tuple[str, float, bool]]):
+def _chained(moving: Mapping[str, tuple[str, float, bool]], outs: list[str]):
     """Averages in front of each block of one series (one row per block)."""
-    rows = EMA_BLOCK_ROWS
 
-    def fold(frame):
-        frame = frame.sort_values("_at")
-        out = frame[["_key", "_at"]].copy()
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_at")
+        ends = lambda name: table.column(name).to_pylist()
+        rows, out = ends("_rows"), {}
         for n, (_, q, adjust) in moving.items():
             if adjust:
-                step = q**rows
                 for k in "nd":
                     value, values = 0.0, []
-                    for end in frame[f"_t{k}_{n}"].tolist():
+                    for size, end in zip(rows, ends(f"_t{k}_{n}")):
                         values.append(value)
-                        value = value * step + end
+                        value = value * q**size + end
                     out[f"_c{k}_{n}"] = values
                 continue
-            y, seen, before, first = None, None, [], []
-            for grown, own, x, start, last in zip(*(frame[f"_t{k}_{n}"].tolist() for k in ("l", "m", "x", "f", "r"))):
+            y, since, before, first = None, 0, [], []  # since: rows behind the last value so far
+            for size, grown, own, x, start, last in zip(rows, *(ends(f"_t{k}_{n}") for k in ("l", "m", "x", "f", "r"))):
                 before.append(y)
-                if start != start or start is None:  # no value in this block
+                if start is None:  # no value in this block
                     first.append(None)
+                    since += size
                     continue
-                u = 0.0 if seen is None else q ** (start - seen)
+                u = q ** (since + start + 1)
                 one = x if y is None else (u * y + (1 - q) * x) / (u + 1 - q)
                 first.append(one)
-                y, seen = grown * one + own, last
+                y, since = grown * one + own, size - 1 - last
             out[f"_cy_{n}"], out[f"_cf_{n}"] = before, first
-            out = out.astype({f"_cy_{n}": "float64", f"_cf_{n}": "float64"})
-        return out
+        cols = [table.column("_part"), table.column("_sub"), *(pa.array(out[o], pa.float64()) for o in outs)]
+        return pa.Table.from_arrays(cols, names=["_part", "_sub", *outs])
 
     return fold
 

@@ -159,14 +159,14 @@ def signal_frame(bars: DataFrame, strategy: str, points: list[Params]) -> Rollin
         averages |= st.averages(p)
     if strategy == "macd":
         spans = sorted({p[k] for p in points for k in ("fast_window", "slow_window")})
-        s = s.ema({f"_e{n}": ("close", n, False) for n in spans}, numbered=True)
+        s = s.ema({f"_e{n}": ("close", n, False) for n in spans})
         lines = sorted({(p["fast_window"], p["slow_window"]) for p in points})
         s = s.with_columns({f"macd_{f}_{w}": F.col(f"_e{f}") - F.col(f"_e{w}") for f, w in lines})
         s = Series(s.df.drop(*(f"_e{n}" for n in spans)), s.keys, s.order, s.bucket)
         ends = sorted({(p["fast_window"], p["slow_window"], p["signal_window"]) for p in points})
-        s = s.ema({f"macd_{f}_{w}_{g}": (f"macd_{f}_{w}", g, False) for f, w, g in ends}, numbered=True)
+        s = s.ema({f"macd_{f}_{w}_{g}": (f"macd_{f}_{w}", g, False) for f, w, g in ends})
     elif averages:
-        s = s.ema(averages, numbered=True)
+        s = s.ema(averages)
     rl = s.rolling(max(st.lookback(p) for p in points) + 1, numbered=True)
     if strategy == "trend_following":
         windows = sorted({p[k] for p in points if p["ma_type"] == "sma" for k in ("fast_window", "slow_window")})
