@@ -1,8 +1,8 @@
 """Strategy signals, positions, trades and performance metrics.
 
 The position model here is long or flat, entered and left at the closing price of the
-signal bar, without cash, fees, slippage or stop orders. ``sl_pct`` and ``tp_pct`` stay grid parameters
-(the stop width of the ATR strategy is an output column) but do not end trades.
+signal bar, without cash, fees, slippage or stop orders. ``sl_pct`` and ``tp_pct`` may stand in a grid
+(the stop width of the ATR strategy is an output column) but do not end trades, so runs do not differ by them.
 """
 
 from __future__ import annotations
@@ -403,19 +403,12 @@ def grid_metrics(pos: DataFrame, keys: list[str] = PARAM_KEYS, periods: int = 25
 
 
 def backtest(bars: DataFrame, strategy: str, grid: dict[str, list]) -> DataFrame:
-    """Metric row for every point of the grid: one run per distinct signal, repeated for its stop widths."""
-    points = grid_points(strategy, grid)
+    """Metric row for every run of the grid: its points that signal alike are one run.
+
+    ``params`` names what the run depends on; stop and target widths do not end trades here and are left out.
+    """
     st = STRATEGIES[strategy]
-    runs = distinct_signals(strategy, points)
-    number = {tuple(p[k] for k in st.signal_keys): i for i, p in enumerate(runs)}
+    runs = distinct_signals(strategy, grid_points(strategy, grid))
     metrics = grid_metrics(positions(signals(bars, strategy, runs)))
-    cells: dict[int, list[Column]] = {}
-    for p in points:
-        cells.setdefault(number[tuple(p[k] for k in st.signal_keys)], []).append(
-            F.to_json(F.struct(*(F.lit(p[k]).alias(k) for k in st.keys)))
-        )
-    lists = F.array(*(F.array(*cells[i]) for i in range(len(runs))))
-    return metrics.select(
-        F.lit(strategy).alias("strategy_type"), F.explode(lists[F.col("param_id")]).alias("params"),
-        *(c for c in metrics.columns if c != "param_id"),
-    )
+    params = F.array(*(F.to_json(F.struct(*(F.lit(p[k]).alias(k) for k in st.signal_keys))) for p in runs))
+    return metrics.select(F.lit(strategy).alias("strategy_type"), params[F.col("param_id")].alias("params"), *(c for c in metrics.columns if c != "param_id"))

@@ -257,23 +257,25 @@ def recovery_and_duration(spark, sf):
 GRID_SQL = " UNION ALL ".join(f"SELECT {i} AS param_id, {n} AS donchian_period" for i, n in enumerate(PERIODS))
 
 
-@query("M21_grid_metrics", pos_sql(ENTRIES, f"g AS ({GRID_SQL})", "w AS (SELECT CAST(unnest([0.01, 0.02]) AS DOUBLE) AS sl_pct)", "v AS (SELECT CAST(unnest([0.02, 0.04]) AS DOUBLE) AS tp_pct)",
+@query("M21_grid_metrics", pos_sql(ENTRIES, f"g AS ({GRID_SQL})", 
     f"""bm AS (SELECT symbol, param_id, count(*) AS n, exp(arg_max(le, rn)) - 1 AS total_return, max(drawdown) AS max_drawdown, max(under) / 60.0 AS dd_hours,
   avg(ret) AS mu, stddev_samp(ret) AS sd, stddev_pop(ret) AS sdp, sqrt(avg(pow(least(ret, 0), 2))) AS down, sum(greatest(ret, 0)) AS up_sum, sum(greatest(-ret, 0)) AS down_sum,
   quantile_cont(ret, 0.95) AS p95, quantile_cont(ret, 0.05) AS p05 FROM b6 GROUP BY 1, 2)""",
-    "sh AS (SELECT symbol, param_id, avg(pow((ret - mu) / sd, 3)) AS skew, avg(pow((ret - mu) / sd, 4)) - 3 AS kurt FROM b6 JOIN bm USING (symbol, param_id) GROUP BY 1, 2)",
+    "sh AS (SELECT symbol, param_id, avg(pow((ret - mu) / sd, 3)) AS skew, avg(pow((ret - mu) / sd, 4)) - 3 AS ex, max(mu) / max(sd) AS s, count(ret) AS nr FROM b6 JOIN bm USING (symbol, param_id) GROUP BY 1, 2)",
+    "hd AS (SELECT symbol, param_id, avg(bars_held) / 60.0 AS held FROM tr GROUP BY 1, 2)",
     f"ts AS (SELECT symbol, param_id, {stats_sql('pnl_pct')} FROM tr GROUP BY 1, 2)",
-    f"""SELECT symbol, 'breakout' AS strategy_type, donchian_period, sl_pct, tp_pct, {r('total_return')} AS total_return,
+    f"""SELECT symbol, 'breakout' AS strategy_type, donchian_period, {r('total_return')} AS total_return,
   {r('greatest(-10, least(10, mu / sdp * sqrt(252)))')} AS sharpe_ratio, {r('max_drawdown')} AS max_drawdown, win_rate, num_trades, profit_factor,
   {r('greatest(-10, least(10, mu / down * sqrt(252)))')} AS sortino_ratio, {r('greatest(-10, least(100, up_sum / down_sum))')} AS omega_ratio, expectancy,
   avg_win_pct, avg_loss_pct, best_trade_pct, worst_trade_pct, {r('dd_hours')} AS max_drawdown_duration_hours, {r('sd * sqrt(252)')} AS volatility,
-  {r('skew')} AS skewness, {r('kurt')} AS kurtosis, {r('CASE WHEN abs(p05) > 1e-12 THEN p95 / abs(p05) ELSE 0 END')} AS tail_ratio
-FROM bm JOIN sh USING (symbol, param_id) JOIN ts USING (symbol, param_id) JOIN g USING (param_id), w, v"""))
+  {r('skew')} AS skewness, {r('ex')} AS kurtosis, {r(_psr('ex / 4').replace('n - 1', 'nr - 1').replace('n >= 3', 'nr >= 3'))} AS psr,
+  {r('greatest(-10, least(10, (pow(1 + total_return, 252.0 / n) - 1) / max_drawdown))')} AS calmar_ratio, {r('coalesce(held, 0)')} AS avg_trade_duration_hours, {r('CASE WHEN abs(p05) > 1e-12 THEN p95 / abs(p05) ELSE 0 END')} AS tail_ratio
+FROM bm JOIN sh USING (symbol, param_id) JOIN ts USING (symbol, param_id) LEFT JOIN hd USING (symbol, param_id) JOIN g USING (param_id)"""))
 def grid_metrics(spark, sf):
     m = sg.backtest(bars(spark, sf), "breakout", BREAKOUT_GRID)
     cols = ["total_return", "sharpe_ratio", "max_drawdown", *STAT_COLS, "sortino_ratio", "omega_ratio", "max_drawdown_duration_hours",
-            "volatility", "skewness", "kurtosis", "tail_ratio"]
-    par = F.from_json("params", "donchian_period int, sl_pct double, tp_pct double")
+            "volatility", "skewness", "kurtosis", "tail_ratio", "psr", "calmar_ratio", "avg_trade_duration_hours"]
+    par = F.from_json("params", "donchian_period int")
     return rounded(m.select("symbol", "strategy_type", par.alias("p"), "num_trades", *cols), *cols).select(
         "symbol", "strategy_type", "p.*", "num_trades", *cols)
 
