@@ -24,9 +24,22 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Texts may be long: Arrow batches hold so many rows and bytes, unless the session sets bounds of its own.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16m")}
+
+
+def bounded(frame: DataFrame) -> DataFrame:
+    """The frame itself; its session's Arrow batches are bounded from now on where they have Spark's own bounds."""
+    conf = frame.sparkSession.conf
+    for name, (usual, bound) in BATCHES.items():
+        if conf.get(name) == usual:
+            conf.set(name, bound)
+    return frame
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null: empty) of documents, and what else is named; other columns stay behind."""
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
+    return bounded(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
 def batches(arrays: list, names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:

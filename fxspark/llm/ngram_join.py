@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fxspark.llm.common import WordHashes, raw, stored
+from fxspark.llm.common import WordHashes, bounded, raw, stored
 from fxspark.llm.components import components
 
 N = 5
@@ -107,7 +107,7 @@ def _blocks(docs: DataFrame, buckets: int, n: int) -> DataFrame:
         if ids:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, _WIRE)
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, _WIRE)
 
 
 def _shared(frame: pd.DataFrame) -> pd.DataFrame:

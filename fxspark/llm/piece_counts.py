@@ -16,7 +16,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fxspark.llm.common import raw
+from fxspark.llm.common import bounded, raw
 
 UNKNOWN = -1
 
@@ -117,4 +117,4 @@ def counted(docs: DataFrame, model: str) -> DataFrame:
                 unknown.append(odd)
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.int64()) for x in (words, pieces, unknown))], ["doc_id", "n_words", "n_pieces", "n_unknown"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_pieces long, n_unknown long")
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_pieces long, n_unknown long")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fxspark.llm.char_tagger import Tagger, classes
-from fxspark.llm.common import texts
+from fxspark.llm.common import bounded, texts
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -275,4 +275,4 @@ def masked(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
                 cols[count] = pa.array([None if r is None else len(h) if k or n else c for r, h, k, n, c in zip(raw, hidden, known, more, cols[count].to_pylist())], cols[count].type)
             yield pa.RecordBatch.from_arrays(cols, names=own)
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

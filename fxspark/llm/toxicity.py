@@ -1,8 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A term is a word, or the first four or five characters of a longer word, hashed to 32 bits. Besides a weight each
-term has a vector, and the product of two terms' vectors is the weight of their meeting in one text, which weights of single
-terms miss. Terms are present or not, so a text's length does not thin out what is in it.
+A term is a word, or the first four to seven characters that one, two or three different words of a text begin with, hashed
+to 32 bits. Besides a weight each term has a vector, and the product of two terms' vectors is the weight of their meeting in
+one text, which weights of single terms miss. Terms are present or not, so a text's length does not thin out what is in it.
 
 Learning takes a bounded sample: about SAMPLE labelled documents of each class. Spark counts the sample's terms by
 class and keeps the TERMS most telling ones; the machine is fitted on those in numpy. Scoring covers every whole text.
@@ -15,13 +15,15 @@ labels (0 without labels). Other columns stay behind.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fxspark.llm.common import raw, stored
+from fxspark.llm.common import bounded, raw, stored
 
 SAMPLE = 6_000  # documents of each class, about, that the fit sees
 TERMS = 4_096  # terms of the machine at most
@@ -29,7 +31,8 @@ LEAST_DOCS = 3  # sampled documents that a term must be in
 FACTORS = 8
 SURE = 0.7
 TOKEN = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")  # letters, digits and what is not ASCII
-HEAD_LENGTHS = (4, 5)
+HEAD_LENGTHS = (4, 5, 6, 7)
+LEVELS = {2: 0x5BD1E995, 3: 0x27D4EB2F}  # turn a begin into "two words begin so", "three words"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -50,23 +53,29 @@ def words(text: bytes | None) -> set[bytes]:
 
 
 class Terms(dict):
-    """Terms of words, those of ``kept`` only (as places there) if given, remembered for up to ``most`` words."""
+    """Terms of words, remembered for up to ``most`` words; with ``kept`` only those, as places there."""
 
     def __init__(self, kept: np.ndarray | None = None, most: int = 300_000):
         super().__init__()
-        self.place, self.most = None if kept is None else {int(t): i for i, t in enumerate(kept)}, most
+        self.most, self.place = most, None
+        if kept is not None:
+            self.place = {int(t): i for i, t in enumerate(kept)}
+            # a word's own term matters if it, or a level of it, is kept
+            self.near = set(self.place) | {t ^ x for t in self.place for x in LEVELS.values()}
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         found = hashed(word)
-        if self.place is not None:
-            found = [self.place[t] for t in found if t in self.place]
-        value = self[word] = tuple(found)
+        value = self[word] = tuple(found if self.place is None else [t for t in found if t in self.near])
         return value
 
     def of(self, text: bytes | None) -> set[int]:
         if len(self) > self.most:
             self.clear()
-        return set().union(*map(self.__getitem__, words(text)))
+        counts = Counter(chain.from_iterable(map(self.__getitem__, words(text))))
+        terms = set(counts)
+        for level, turn in LEVELS.items():
+            terms.update(t ^ turn for t, n in counts.items() if n >= level)
+        return terms if self.place is None else {self.place[t] for t in terms if t in self.place}
 
 
 class Machine:
@@ -88,7 +97,7 @@ class Machine:
     def score(self, rows: list[np.ndarray]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.raw(rows), -40, 40)))
 
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = 25, batch: int = 256, rate: float = 0.05, decay: float = 2e-4, seed: int = 2) -> None:
+    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = 25, batch: int = 256, rate: float = 0.1, decay: float = 2e-4, seed: int = 2) -> None:
         """Logistic loss by Adagrad over shuffled batches."""
         r = np.random.default_rng(seed)
         gw, gv, gb = np.full_like(self.w, 1e-6), np.full_like(self.v, 1e-6), 1e-6
@@ -171,7 +180,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Machine]:
             rows = [sorted(cache.of(t)) for t in raw(part.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), part.column(1)], ["terms", "toxic"])
 
-    rows = sampled.mapInArrow(places, "terms array<int>, toxic int").orderBy("toxic", F.xxhash64("terms"), "terms").collect()  # about 2 * SAMPLE rows
+    found = sampled.mapInArrow(places, "terms array<int>, toxic int").collect()  # about 2 * SAMPLE rows
+    rows = sorted(found, key=lambda r: (r["toxic"], r["terms"]))  # the same fit whatever order tasks end in
     machine = Machine(len(kept))
     machine.fit([np.array(r["terms"], dtype=np.int64) for r in rows], np.array([r["toxic"] for r in rows], dtype=np.float64))
     return kept, machine
@@ -186,5 +196,5 @@ def scored(docs: DataFrame, kept: np.ndarray, machine: Machine) -> DataFrame:
             rows = [np.fromiter(cache.of(t), dtype=np.int64) for t in raw(part.column(1))]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(machine.score(rows), pa.float64())], ["doc_id", "score"])
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    found = bounded(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= SURE).cast("int").alias("predicted"))

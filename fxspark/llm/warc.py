@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fxspark.llm.common import stored
+from fxspark.llm.common import bounded, stored
 from fxspark.session import work_dir
 
 FILE = 32 << 20  # bytes after which a task opens a new file
@@ -228,7 +228,7 @@ def _responses(pages: DataFrame) -> DataFrame:
             cols, kinds = list(zip(*out)) if out else [[]] * 5, [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["page_id", "url", "payload_digest", "payload_bytes", "member"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, _MADE)
+    return bounded(pages).select("page_id", "url", "html").mapInArrow(run, _MADE)
 
 
 def write(pages: DataFrame, folder: str, file_bytes: int = FILE) -> DataFrame:
