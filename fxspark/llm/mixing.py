@@ -12,12 +12,11 @@ than ``most`` times its size. Reruns agree: orders come from hashes of doc_id, s
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fxspark.llm.common import stored
+from fxspark.llm.common import bounded, stored
 
 MOST = 3
 BLOCK = 256  # words of a block at most; smaller where a source's target has less than 200 such blocks
@@ -83,11 +82,10 @@ def plan_shard(size: int, quota: int, block: int, seed: int) -> tuple[int, np.nd
     return int(passes), takes
 
 
-def taken_before(at: np.ndarray, takes: np.ndarray, block: int) -> np.ndarray:
-    """Words that the partial pass takes in front of a place; a block gives its first words."""
-    total = np.concatenate([[0], np.cumsum(takes)])
-    k = np.minimum(at // block, len(takes) - 1)
-    return total[k] + np.minimum(at - k * block, takes[k])
+def taken_before(at: int, takes: np.ndarray, total: np.ndarray, block: int) -> int:
+    """Words that the partial pass takes in front of a place; a block gives its first words. ``total``: those of the blocks before each."""
+    k = min(at // block, len(takes) - 1)
+    return int(total[k]) + min(at - k * block, int(takes[k]))
 
 
 def sources_of(sized: DataFrame, weights=lambda i: i % 3 + 1) -> tuple[DataFrame, int]:
@@ -122,18 +120,19 @@ def mix(docs: DataFrame, row: Column, size: Column, seed: int = 11) -> DataFrame
 
     by_shard = shards(counted).groupBy("number", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
 
-    def divide(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("shard")
-        return frame.assign(quota=apportion(frame["shard_size"].to_numpy(), int(frame["source_quota"].iloc[0])))[["number", "shard", "shard_size", "quota"]]
+    def divide(table: pa.Table) -> pa.Table:
+        table = table.sort_by("shard")
+        quota = apportion(table.column("shard_size").to_numpy(), table.column("source_quota")[0].as_py())
+        return table.select(["number", "shard", "shard_size"]).append_column("quota", pa.array(quota, pa.int64()))
 
-    plans = by_shard.groupBy("number").applyInPandas(divide, "number int, shard long, shard_size long, quota long")
-    placed = shards(docs.select("doc_id", "source", row.alias("row"), size.alias("size"))).withColumn("tie", key)
+    plans = by_shard.groupBy("number").applyInArrow(divide, "number int, shard long, shard_size long, quota long")
+    placed = shards(bounded(docs).select("doc_id", "source", row.alias("row"), size.alias("size"))).withColumn("tie", key)
     joined = placed.select("row", "doc_id", "size", "number", "shard", "source_size", "target", "tie").join(plans, ["number", "shard"])
     ordered = joined.sortWithinPartitions("number", "shard", "tie", "doc_id", "size")
     kind = dict(placed.dtypes)["row"]
 
     def run(parts):
-        now, at, passes, takes = None, 0, 0, None
+        now, at, passes, takes, before = None, 0, 0, None, None
         for part in parts:
             number, shard, size_, length, quota = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("number", "shard", "size", "shard_size", "quota"))
             all_passes, all_taken, all_cuts = [], [], []
@@ -141,12 +140,11 @@ def mix(docs: DataFrame, row: Column, size: Column, seed: int = 11) -> DataFrame
                 if key_ != now:
                     now, at = key_, 0
                     passes, takes = plan_shard(total, q, block, seed * 1_000_003 + key_[0] * 65_537 + key_[1])
-                    before = np.concatenate([[0], np.cumsum(takes)])
+                    before = np.concatenate([[0], np.cumsum(takes)])  # words that the blocks before each give
                 first, last = at // block, (at + n - 1) // block if n else -1
                 cuts, got = [], 0
                 if n:
-                    ends = taken_before(np.array([at, at + n]), takes, block)
-                    got = int(ends[1] - ends[0])
+                    got = taken_before(at + n, takes, before, block) - taken_before(at, takes, before, block)
                     if got:
                         for k in (np.flatnonzero(takes[first : last + 1]) + first).tolist():
                             a, b = max(at, k * block), min(at + n, k * block + int(takes[k]))
