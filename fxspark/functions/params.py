@@ -129,7 +129,6 @@ PAIR_BANKS = {
 
 # Weight of each impact level, and the rules that raise a level to High
 IMPACT_WEIGHT = {"High": 1.0, "Medium": 0.6, "Low": 0.3, "None": 0.1}
-IMPACT_ORDER = {"None": 0, "Low": 1, "Medium": 2, "High": 3}
 HIGH_IMPACT = [
     ("US", r"core pce|pce price index"),
     ("US", r"personal spending|personal income"),

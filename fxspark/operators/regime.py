@@ -62,7 +62,7 @@ def transitions(s: Series, n_states: int, state: str = "state") -> DataFrame:
     counts = rl.done().filter(F.col("from_state").isNotNull()).groupBy(*keys, "from_state", F.col(state).alias("to_state")).agg(F.count("*").alias("n"))
     ids = F.sequence(F.lit(0), F.lit(n_states - 1))
     every = s.df.select(*keys).distinct().withColumn("from_state", F.explode(ids)).withColumn("to_state", F.explode(ids))
-    full = every.join(counts, [*keys, "from_state", "to_state"], "left").na.fill(0, ["n"])
+    full = same_keys(every, counts, [*keys, "from_state", "to_state"], "left").na.fill(0, ["n"])
     total = F.sum("n").over(Window.partitionBy(*keys, "from_state"))  # n_states rows
     return full.withColumn("p", F.when(total > 0, F.col("n") / total).otherwise(0.0))
 
@@ -75,18 +75,18 @@ def matrix_form(long: DataFrame, keys: list[str]) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("from_state", "_row"))), lambda x: x["_row"]).alias("transition_matrix"))
 
 
-def forecast(start: Column, matrix: Column, steps: int, cap: int = 100) -> Column:
-    """Distribution after some bars; the horizon ends at ``cap``."""
+def forecast(start: Column, matrix: Column, steps: int, cap: int | None = None) -> Column:
+    """Distribution after some bars; ``cap``, if given, ends the horizon."""
     n = F.size(start)
     step = lambda v: F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.aggregate(
         F.zip_with(v, matrix, lambda a, row: a * row[j]), F.lit(0.0), lambda acc, x: acc + x))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(min(steps, cap))), start, lambda v, _: step(v))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps if cap is None else min(steps, cap))), start, lambda v, _: step(v))
 
 
 def matrix_distance(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Mean absolute difference of two long matrices."""
-    j = a.select(*keys, "from_state", "to_state", F.col("p").alias("_a")).join(
-        b.select(*keys, "from_state", "to_state", F.col("p").alias("_b")), [*keys, "from_state", "to_state"])
+    cells = [*keys, "from_state", "to_state"]
+    j = same_keys(a.select(*cells, F.col("p").alias("_a")), b.select(*cells, F.col("p").alias("_b")), cells)
     return j.groupBy(*keys).agg(F.avg(F.abs(F.col("_a") - F.col("_b"))).alias("mean_abs_diff"))
 
 

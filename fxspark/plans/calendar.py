@@ -230,14 +230,16 @@ def pairs_by_country(spark, sf):
 
 
 @query("P36_pair_parts", f"""WITH {TYPED}, {PAIRS_SQL} SELECT t.event_type, pair, substr(pair, 1, 3) AS base, substr(pair, 4, 3) AS quote, list_contains(lands, country) AS affected,
- regexp_matches(upper(t.event_type), '{"|".join(pm.BANK_WORDS)}') AS central_bank, count(*) AS n FROM t CROSS JOIN pr GROUP BY ALL""")
+ regexp_matches(upper(t.event_type), '{"|".join(pm.BANK_WORDS)}') AS central_bank,
+ CASE pair {' '.join(f"WHEN '{p}' THEN '{','.join(b)}'" for p, b in pm.PAIR_BANKS.items())} END AS banks, count(*) AS n FROM t CROSS JOIN pr GROUP BY ALL""")
 def pair_parts(spark, sf):
     from ..functions.text import split_pair
     land = F.create_map(*(x for p, cs in pm.PAIR_COUNTRIES.items() for x in (F.lit(p), F.array(*map(F.lit, cs)))))
+    banks = F.create_map(*(x for p, bs in pm.PAIR_BANKS.items() for x in (F.lit(p), F.array(*map(F.lit, bs)))))
     base, quote = split_pair("pair")
     t = typed_events(spark, sf).withColumn("pair", F.explode(F.array(*map(F.lit, pm.PAIRS))))
     return t.groupBy("event_type", "pair", base.alias("base"), quote.alias("quote"), F.array_contains(land[F.col("pair")], F.col("country")).alias("affected"),
-                     cal.is_central_bank("event_type").alias("central_bank")).agg(F.count("*").alias("n"))
+                     cal.is_central_bank("event_type").alias("central_bank"), F.array_join(banks[F.col("pair")], ",").alias("banks")).agg(F.count("*").alias("n"))
 
 
 @query("A38_weighted_surprise", f"""WITH {TYPED}, z AS (SELECT country, event_type AS indicator, avg({SURPRISE}) AS z FROM t WHERE actual IS NOT NULL GROUP BY 1, 2),
