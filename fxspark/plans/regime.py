@@ -162,7 +162,24 @@ def regime_mixture(spark, sf):
 
 @query("M7_principal_components")
 def principal_components(spark, sf):
-    return md.principal_components(feature_rows(spark, sf), ["close", "volume", "log_return", "volatility", "sma_10", "rsi_14", "atr"])[1]
+    return md.principal_components(feature_rows(spark, sf), COMPONENT_FEATURES)[1]
+
+
+COMPONENT_FEATURES = ["close", "volume", "log_return", "volatility", "sma_10", "rsi_14", "atr"]
+
+
+@query("M7_component_checks", f"""WITH {PRICED} SELECT count(*) AS n_rows, 0 AS correlated, 0 AS wrong_share, 0 AS rising, true AS reaches_threshold FROM f""")
+def component_checks(spark, sf):
+    """Rows scored, pairs of scores that correlate, scores whose variance is not their share, shares that rise, and whether the shares reach 95 %."""
+    scores, parts = md.principal_components(feature_rows(spark, sf), COMPONENT_FEATURES)
+    rows = parts.orderBy("component").collect()  # one row for each component
+    pcs = [f"pc{r['component']}" for r in rows]
+    off = [F.abs(F.corr(a, b)) > 1e-6 for i, a in enumerate(pcs) for b in pcs[i + 1 :]]
+    share = [F.abs(F.var_samp(p) / len(COMPONENT_FEATURES) - r["explained"]) > 1e-6 for p, r in zip(pcs, rows)]
+    count = lambda flags: sum((x.cast("int") for x in flags), F.lit(0))
+    rising = sum(b["explained"] > a["explained"] + 1e-12 for a, b in zip(rows, rows[1:]))
+    return scores.agg(F.count("*").alias("n_rows"), count(off).alias("correlated"), count(share).alias("wrong_share"), F.lit(rising).alias("rising"),
+                      F.lit(rows[-1]["cumulative"] >= 0.95).alias("reaches_threshold"))
 
 
 @query("M12_mixture_checks", f"""WITH {PRICED} SELECT count(*) AS n_rows, 0 AS bad_sums, 0 AS other_state, 0 AS other_confidence, 0 AS wrong_order FROM f""")

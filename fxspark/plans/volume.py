@@ -179,6 +179,16 @@ def pair_clusters(spark, sf):
     return md.clusters(prof, "pair", [f"h{h:02d}" for h in range(24)])
 
 
+@query("M8_cluster_checks", f"""WITH {PROFILE}, t AS (SELECT pair FROM u GROUP BY 1 HAVING sum(total_volume) > 0)
+SELECT count(*) AS n_pairs, 0 AS unnumbered, true AS one_silhouette, true AS split_is_earned FROM t""")
+def cluster_checks(spark, sf):
+    """Pairs labelled, gaps in the numbers of clusters, whether all rows show the same silhouette, and whether more than one cluster reached 0.3."""
+    c = md.clusters(vo.volume_profile(user_totals(spark, sf)), "pair", [f"h{h:02d}" for h in range(24)])
+    k = F.count_distinct("cluster")
+    return c.agg(F.count("*").alias("n_pairs"), (F.max("cluster") + 1 - k).cast("int").alias("unnumbered"), (F.count_distinct("silhouette") == 1).alias("one_silhouette"),
+                 ((k == 1) | (F.max("silhouette") >= 0.3)).alias("split_is_earned"))
+
+
 FEATS = ["open", "close", "high", "low", "volume"]
 F_SQL = " UNION ALL ".join(f"SELECT symbol, '{f}' AS feature, {f} AS x FROM ({BARS})" for f in FEATS)
 F_STAT = f"""l AS ({F_SQL}), g AS (SELECT feature, symbol, count(*) AS n, avg(x) AS m, var_pop(x) * count(*) AS ssw FROM l GROUP BY 1, 2),
