@@ -116,5 +116,6 @@ def counted(docs: DataFrame, model: str) -> DataFrame:
                 pieces.append(sum(found) + 2 * odd)
                 unknown.append(odd)
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.int64()) for x in (words, pieces, unknown))], ["doc_id", "n_words", "n_pieces", "n_unknown"])
+        counts.clear()  # the worker may go on to other work
 
     return bounded(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_pieces long, n_unknown long")

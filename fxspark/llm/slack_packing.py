@@ -57,6 +57,10 @@ class Ids(dict):
         self.merges = self.tokenizer.model
         self.packed = [i.to_bytes(4, "little") for i in range(1 + max(self.tokenizer.get_vocab().values()))]
 
+    def forget(self) -> None:
+        self.clear()
+        self.letters.clear()
+
     def _whole(self, word: str) -> bytes:
         return b"".join(map(self.packed.__getitem__, self.tokenizer.encode(word, add_special_tokens=False).ids))
 
@@ -76,8 +80,7 @@ class Ids(dict):
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.most:
-            self.clear()
-            self.letters.clear()
+            self.forget()
         run = word.rstrip(self.SIGNS)
         if run.isalpha() and not SIGMAS & set(run):
             tail = word[len(run) :]
@@ -119,6 +122,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
             cols = list(zip(*out)) if out else [[]] * 7
             kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "place"])
+        ids.forget()  # the worker may go on to other work
 
     return texts(docs).mapInArrow(run, PIECES)
 
