@@ -106,7 +106,7 @@ def mix(docs: DataFrame, row: Column, size: Column, seed: int = 11) -> DataFrame
     """``row`` (any column: an id, or the whole document) with size, source_size, target, passes, taken and cuts.
 
     ``passes`` whole copies are taken, and the words of ``cuts`` (start and end, counted from 0) once more.
-    Texts are not moved more than once: documents meet the plan of their shard, sorted by hash, and stream through.
+    Texts are not moved more than once: documents meet the plan of their shard, are dealt out by shard, sorted by hash, and stream through.
     """
     key = F.xxhash64("doc_id", F.lit(seed))
     sized = docs.select("doc_id", "source", size.alias("size"))
@@ -127,8 +127,11 @@ def mix(docs: DataFrame, row: Column, size: Column, seed: int = 11) -> DataFrame
 
     plans = by_shard.groupBy("number").applyInArrow(divide, "number int, shard long, shard_size long, quota long")
     placed = shards(bounded(docs).select("doc_id", "source", row.alias("row"), size.alias("size"))).withColumn("tie", key)
-    joined = placed.select("row", "doc_id", "size", "number", "shard", "source_size", "target", "tie").join(plans, ["number", "shard"])
-    ordered = joined.sortWithinPartitions("number", "shard", "tie", "doc_id", "size")
+    joined = placed.select("row", "doc_id", "size", "number", "shard", "source_size", "target", "tie").join(F.broadcast(plans), ["number", "shard"])  # a row for each SHARD documents
+    # A shard must lie whole in one task. Only a stated number of partitions keeps adaptive plans from reading the shuffle by mapper or splitting
+    # it; behind a shuffled join Spark would drop this one as a repetition, so the plans are broadcast.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = joined.repartition(parts, "number", "shard").sortWithinPartitions("number", "shard", "tie", "doc_id", "size")
     kind = dict(placed.dtypes)["row"]
 
     def run(parts):

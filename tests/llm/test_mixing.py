@@ -73,3 +73,35 @@ def test_mixed_texts_hold_what_was_taken(docs, clash):
         assert out.columns == frame.columns
         taken = sum(r.taken for r in mx.mix(frame, F.col("doc_id"), mx.words(F.col("text"))).collect())
         assert sum(len(r.text.split()) for r in out.collect()) == taken
+
+
+def test_each_shard_keeps_its_quota_over_many_files(spark, tmp_path, monkeypatch):
+    """Adaptive plans must not spread a shard over tasks, whatever the number of shuffle partitions is."""
+    monkeypatch.setattr(mx, "SHARD", 100)
+    data = [(i, long_text(20 + i % 90), "en", ("a", "b", "c", None)[min(3, i % 7)], 0) for i in range(1200)]
+    spark.createDataFrame(data, DOCS).repartition(12).write.parquet(str(tmp_path / "docs"))
+    frame = spark.read.parquet(str(tmp_path / "docs"))
+    sources, block = mx.sources_of(frame.select("doc_id", "source", mx.words(F.col("text")).alias("size")))
+    found = {r["source"]: r for r in sources.collect()}
+    size = {}
+    for r in frame.select("source", F.xxhash64("doc_id", F.lit(11)).alias("k"), mx.words(F.col("text")).alias("size"), "doc_id").collect():
+        own = found[r["source"]]
+        size.setdefault(own.number, {}).setdefault(r["k"] % own.shards, {})[r["doc_id"]] = r["size"]
+    usual = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.autoBroadcastJoinThreshold",
+                                            "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")  # less than the documents, more than the plans of shards
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with more than one task's worth of rows
+        for n in ("4", "7", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            taken = {r["row"]: r["taken"] for r in mx.mix(frame, F.col("doc_id"), mx.words(F.col("text"))).collect()}
+            for own in found.values():
+                shards = size[own.number]
+                assert len(shards) > 1
+                votes = [sum(shards[k].values()) for k in sorted(shards)]
+                for k, total, quota in zip(sorted(shards), votes, mx.apportion(np.array(votes), own.source_quota)):
+                    assert sum(taken[i] for i in shards[k]) == min(quota * block, 3 * total), (n, own.number, k)
+    finally:
+        for k, v in usual.items():
+            spark.conf.set(k, v)
