@@ -5,8 +5,8 @@ level above the call whose result it follows), ``errors`` checks arguments again
 one canonical JSON text per call: keys in order, no blanks.
 
 Rows that share an identifier are one call (the earliest turn, then the least arguments) with their number in ``copies``; results
-likewise. Calls without a result and results without a call stay, marked by ``state``. Rows without conversation or
-identifier cannot be linked: they stay as ``no id``. Arguments that are no JSON object fail with ``not an object``. A parent that
+likewise. Calls without a result and results without a call stay, marked by ``state``. Calls and results without conversation or
+identifier cannot be linked: each row stays as ``no id`` (a result has no turn, errors or copies of a call). Arguments that are no JSON object fail with ``not an object``. A parent that
 does not exist ends the chain; calls on or behind a cycle get no level. Other columns stay behind.
 """
 
@@ -78,7 +78,9 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
                          F.coalesce("copies", F.lit(0)).cast("long").alias("copies"), state.alias("state"))
     loose = calls.filter(~whole).select(*KEY, "turn", "name", "arguments", "parent_id", F.lit(None).cast("long").alias("result_turn"),
                                         F.lit(None).cast("string").alias("result"), F.lit(1).cast("long").alias("copies"), F.lit("no id").alias("state"))
-    return linked.unionByName(loose)
+    lost = results.filter(~whole).select(*KEY, F.lit(None).cast("long").alias("turn"), *[F.lit(None).cast("string").alias(c) for c in ("name", "arguments", "parent_id")],
+                                         F.col("turn").alias("result_turn"), F.col("content").alias("result"), F.lit(0).cast("long").alias("copies"), F.lit("no id").alias("state"))
+    return linked.unionByName(loose).unionByName(lost)
 
 
 def levels(linked: DataFrame) -> DataFrame:
@@ -107,7 +109,7 @@ def records(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> D
     linked = stored(link(calls, results), "linked")
     placed = linked.join(levels(linked), KEY, "left")
     parsed = placed.withColumn("parsed", F.try_parse_json("arguments"))
-    checked = parsed.withColumn("errors", F.when(F.col("state") != "no call", errors(F.col("name"), F.col("parsed"), schemas)))
+    checked = parsed.withColumn("errors", F.when(F.col("copies") > 0, errors(F.col("name"), F.col("parsed"), schemas)))
     body = F.struct(F.col("parsed").alias("arguments"), F.col("call_id"), F.col("level"), F.col("name"), F.col("parent_id"), F.col("result"))
     return checked.select(*KEY, "turn", "result_turn", "state", "copies", "level", "errors", F.to_json(body).alias("record"))
 
@@ -122,7 +124,7 @@ SCHEMAS = {"answer": {"required": ["prompt", "turn"], "additionalProperties": Fa
 def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of plain conversations: a user's turn is a call, the assistant's turn after it the result.
 
-    A call follows the result that stands just before it. Identifiers are built from turn numbers, so no conversation has
+    A call follows the result that stands just before it. Turns of other roles (system, null) are neither. Identifiers are built from turn numbers, so no conversation has
     to be gathered in one place.
     """
     named = lambda t: F.concat(F.lit("call-"), t.cast("string"))

@@ -54,3 +54,18 @@ def test_plain_turns_and_no_python(spark):
     assert by[2, "call--1"].state == "no call" and by[None, "call-0"].state == "no id"
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_results_without_id_stay(spark):
+    calls = [(1, "a", 1, "free", "{}", None), (None, "n", 1, "free", "{}", None)]
+    c = spark.createDataFrame([(*x, "z", "z") for x in calls], CALLS)
+    r = spark.createDataFrame([(1, "a", 2, "r", "z"), (None, "n", 1, "t", "z"), (None, "n", 1, "t", "z"), (7, None, 3, "u", "z"), (None, None, None, None, "z")], RESULTS)
+    got = [(x.conv_id, x.call_id, x.turn, x.result_turn, x.state, x.copies, x.errors, json.loads(x.record).get("result")) for x in tc.records(c, r, SCHEMA).collect()]
+    assert sorted(got, key=str) == sorted([(1, "a", 1, 2, "linked", 1, [], "r"), (None, "n", 1, None, "no id", 1, [], None), (None, "n", None, 1, "no id", 0, None, "t"),
+                                           (None, "n", None, 1, "no id", 0, None, "t"), (7, None, None, 3, "no id", 0, None, "u"), (None, None, None, None, "no id", 0, None, None)], key=str)
+
+
+def test_assistant_turns_without_conversation_or_turn_stay(spark):
+    turns = spark.createDataFrame([(None, 1, "assistant", "x"), (1, None, "assistant", "y"), (1, 0, "system", "s"), (1, 1, None, "n")], "conv_id long, turn long, role string, text string")
+    got = tc.records(*tc.from_turns(turns), tc.SCHEMAS).collect()
+    assert sorted([(x.conv_id, x.call_id, x.result_turn, x.state) for x in got], key=str) == sorted([(None, "call-0", 1, "no id"), (1, None, None, "no id")], key=str)
