@@ -73,12 +73,11 @@ def plan_shard(size: int, quota: int, block: int, seed: int) -> tuple[int, np.nd
     """Whole passes over the shard, and how many words of each block the last, partial pass takes."""
     wanted = min(quota * block, MOST * size)
     passes, rest = divmod(wanted, size) if size else (0, 0)
-    n = size // block
-    takes = np.zeros(n + 1, dtype=np.int64)
+    n = -(-size // block)
+    takes = np.zeros(max(1, n), dtype=np.int64)
     order = np.random.default_rng(seed).permutation(n)
-    whole = min(n, rest // block)
-    takes[order[:whole]] = block
-    takes[order[whole] if whole < n else n] += rest - whole * block
+    length = np.minimum(block, size - order * block)  # the last block may be shorter
+    takes[order] = np.clip(rest - (np.cumsum(length) - length), 0, length)
     return int(passes), takes
 
 
@@ -170,17 +169,24 @@ def mix(docs: DataFrame, row: Column, size: Column, seed: int = 11) -> DataFrame
 
 
 def mixed(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """The mix itself: whole copies, and a last copy of the words in ``cuts``, joined by blanks; columns as before.
+    """The mix itself: whole copies, and a row for each of the ``cuts``, with the text between its first and last word; columns as before.
 
-    ``n_chars``, where there is one, follows a cut copy.
+    A cut over all words is a whole copy. ``n_chars``, where there is one, follows a cut.
     """
     own = docs.columns
     chosen = mix(docs, F.struct(*own), words(F.col("text")), seed)
-    parts = F.filter(F.split("row.text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    piece = F.array_join(F.flatten(F.transform("cuts", lambda c: F.slice("w", c["start"].cast("int") + 1, (c["end"] - c["start"]).cast("int")))), " ")
+    gap = r"\x20\x09-\x0D"
+    parts = F.regexp_extract_all("row.text", F.lit(f"[^{gap}]+[{gap}]*"), F.lit(0))  # words, each with the white space behind it
+
+    def piece(c: Column) -> Column:
+        start, end = c["start"].cast("int"), c["end"].cast("int")
+        front = F.array_join(F.slice("w", start + 1, end - start - 1), "")
+        text = F.concat(front, F.regexp_extract(F.element_at("w", end), f"^[^{gap}]+", 0))
+        cut = (start > 0) | (end < F.col("size"))
+        return F.struct(F.when(cut, text).otherwise(F.col("row.text")).alias("text"), cut.alias("cut"))
+
     whole = F.array_repeat(F.struct(F.col("row.text").alias("text"), F.lit(False).alias("cut")), F.col("passes").cast("int"))
-    last = F.when(F.size("cuts") > 0, F.array(F.struct(piece.alias("text"), F.lit(True).alias("cut")))).otherwise(F.filter(whole, lambda _: F.lit(False)))
-    each = chosen.filter("size > 0").withColumn("w", F.when(F.size("cuts") > 0, parts)).select("row", F.explode(F.concat(whole, last)).alias("copy"))
+    each = chosen.filter("size > 0").withColumn("w", F.when(F.size("cuts") > 0, parts)).select("row", F.explode(F.concat(whole, F.transform("cuts", piece))).alias("copy"))
     now = {"text": F.col("copy.text"), "n_chars": F.when(F.col("copy.cut"), F.length("copy.text")).otherwise(F.col("row")["n_chars"]) if "n_chars" in own else None}
     kinds = dict(docs.dtypes)
     return each.select(*[(now[c].cast(kinds[c]) if c in now else F.col("row")[c]).alias(c) for c in own])

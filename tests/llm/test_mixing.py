@@ -105,3 +105,31 @@ def test_each_shard_keeps_its_quota_over_many_files(spark, tmp_path, monkeypatch
     finally:
         for k, v in usual.items():
             spark.conf.set(k, v)
+
+
+def test_the_shorter_last_block_takes_part():
+    """Each block, the last one too, is the first of the order for some seed and then comes before the others."""
+    firsts = set()
+    for seed in range(40):
+        passes, takes = mx.plan_shard(70, 1, 20, seed)  # blocks of 20, 20, 20 and 10 words; one quota
+        assert passes == 0 and takes.sum() == 20
+        firsts.add(tuple(np.flatnonzero(takes)))
+    assert any(3 in f for f in firsts) and {0, 1, 2} <= {i for f in firsts for i in f}
+
+
+def test_cuts_keep_white_space_and_stand_alone(spark, monkeypatch):
+    monkeypatch.setattr(mx, "BLOCK", 8)
+    texts = [f" \t{i}" + "".join(f"x{i}y{j}" + ("\n", "\t ", "  ")[j % 3] for j in range(3 + i * 5 % 37)) for i in range(150)]
+    data = [(i, t, "en", ("a", "b")[i % 7 == 0], len(t)) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(data, DOCS)
+    chosen = {r["row"]: r for r in mx.mix(frame, F.col("doc_id"), mx.words(F.col("text"))).collect()}
+    got = {}
+    for r in mx.mixed(frame).collect():
+        assert r.text in texts[r.doc_id] and r.n_chars == len(r.text)
+        got.setdefault(r.doc_id, []).append(r.text)
+    for i, r in chosen.items():
+        whole = r.passes + sum(c.end - c.start == r["size"] for c in r.cuts)
+        assert got.get(i, []).count(texts[i]) == whole
+        assert len(got.get(i, [])) == r.passes + len(r.cuts)
+        assert sorted(t.split() for t in got.get(i, []) if t != texts[i]) == sorted(texts[i].split()[c.start : c.end] for c in r.cuts if c.end - c.start < r["size"])
+    assert any(len(r.cuts) > 1 for r in chosen.values()) and any(c.end - c.start == r["size"] for r in chosen.values() for c in r.cuts)
