@@ -42,12 +42,21 @@ def event_type(name, country) -> Column:
 
 def impact_level(impact, country, name) -> Column:
     """Impact with the known corrections; a level is only ever raised. Missing impact is Low."""
+    return raised(impact, high_impact(country, name))
+
+
+def raised(impact, high) -> Column:
     base = F.coalesce(F.nullif(_c(impact), F.lit("")), F.lit("Low"))
+    return F.when(high, F.lit("High")).otherwise(base)
+
+
+def high_impact(country, name) -> Column:
+    """Whether one of the known corrections applies."""
     raised = None
     for land, pattern in pm.HIGH_IMPACT:
         hit = (_c(country) == land) & _c(name).rlike(f"(?i){pattern}")
         raised = hit if raised is None else raised | hit
-    return F.when(F.coalesce(raised, F.lit(False)), F.lit("High")).otherwise(base)
+    return F.coalesce(raised, F.lit(False))
 
 
 def impact_weight(impact) -> Column:

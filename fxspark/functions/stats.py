@@ -31,6 +31,13 @@ def _once(x: Column | str, fn) -> Column:
     return F.transform(F.array((F.col(x) if isinstance(x, str) else x).cast("double")), fn)[0]
 
 
+def correlation(a, b) -> Column:
+    """Correlation over the rows with both values; NULL where a side never changes, also under ANSI."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    both = a.isNotNull() & b.isNotNull()
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b)))
+
+
 def norm_cdf(x: Column | str) -> Column:
     """Standard normal distribution function."""
     return _once(x, _cdf)

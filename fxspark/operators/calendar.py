@@ -9,10 +9,24 @@ from ..functions import calendar as cal
 from ..functions import params as pm
 from ..functions.text import two_places
 from ..functions.market import seconds
+from .joins import same_keys
 from .ranking import dedup_events
 from .scores import bucket
 
 
+def named(events: DataFrame, name: str = "event_name", country: str = "country", impact: str | None = None) -> DataFrame:
+    """Events with ``event_type`` and, where a raw ``impact`` column is named, the corrected ``impact``.
+
+    Names repeat far more often than they are coined: the patterns are matched once for each distinct (name, country), and the
+    dictionary is joined back by key. A NULL name or country is a key like any other.
+    """
+    key = [name, country]
+    raised = {} if impact is None else {"_high": cal.high_impact(country, name)}
+    names = events.select(*key).distinct().withColumns({"event_type": cal.event_type(name, country), **raised})
+    out = same_keys(events, names, key)
+    return out if impact is None else out.withColumn("impact", cal.raised(impact, F.col("_high"))).drop("_high")
+
+
 def normalize(raw: DataFrame) -> DataFrame:
     """Raw calendar rows (event, date, country, currency, impact, actual, estimate, previous) to events.
 
@@ -20,13 +34,14 @@ def normalize(raw: DataFrame) -> DataFrame:
     """
     at = F.try_to_timestamp("date", F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
     land = F.coalesce("country", F.lit("US"))
-    name = F.coalesce("event", F.lit(""))
-    kind = cal.event_type(name, land)
-    return raw.withColumn("event_datetime", at).filter("event_datetime IS NOT NULL").select(
+    rows = raw.withColumns({"event_datetime": at, "_land": land, "_name": F.coalesce("event", F.lit(""))}).filter("event_datetime IS NOT NULL")
+    land, kind = F.col("_land"), F.col("_kind")
+    rows = named(rows.withColumnRenamed("impact", "_impact").drop("event_type"), "_name", "_land", "_impact").withColumnRenamed("event_type", "_kind")
+    return rows.select(
         F.concat_ws("-", land, kind, F.date_format("event_datetime", "yyyy-MM-dd'T'HH:mm:ss")).alias("event_id"),
         F.coalesce("event", F.lit("Unknown")).alias("event_name"),
         kind.alias("event_type"), land.alias("country"), F.coalesce("currency", F.lit("USD")).alias("currency"),
-        "event_datetime", cal.impact_level("impact", land, name).alias("impact"), "actual", "estimate", "previous",
+        "event_datetime", "impact", "actual", "estimate", "previous",
     )
 
 

@@ -12,7 +12,6 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
 from .series import Rolling, Series
 
 BAR_KEYS = ["symbol", "timeframe"]
@@ -146,7 +145,7 @@ def fill_gaps(s: Series, cols: list[str], backward: bool = True, default: float
 
 def features(bars: DataFrame, adjust: bool = True, zero_loss: str = "inf") -> DataFrame:
     """The serving feature table of all indicators; rows before the longest window are left out."""
-    s = bar_series(cut(bars))
+    s = bar_series(bars)
     averages = {f"ema_{n}": ("close", n, adjust) for n in (5, 10, 21, 50)} | {"_fast": ("close", 12, adjust), "_slow": ("close", 26, adjust)}
     s = s.ema(averages).with_columns({"macd": F.col("_fast") - F.col("_slow")})
     s = s.ema({"macd_signal": ("macd", 9, adjust)}).with_columns({"macd_hist": F.col("macd") - F.col("macd_signal")})

@@ -43,10 +43,7 @@ def quota(df: DataFrame, source: str, cap: str, priority: str, order: str, total
 
 def dedup_events(df: DataFrame, keys: list[Column], actual: str, name: str, arrival: str) -> DataFrame:
     """One event per key: with a released value first, then the longer name, then the earlier arrival."""
-    best = F.struct(F.col(actual).isNotNull(), F.length(name), -F.col(arrival))
-    cols = df.columns
-    return (
-        df.groupBy(*(k.alias(f"_k{i}") for i, k in enumerate(keys)))
-        .agg(F.max_by(F.struct(*cols), best).alias("_row"), F.count("*").alias("copies"))
-        .select("_row.*", "copies")
-    )
+    named = {f"_k{i}": k for i, k in enumerate(keys)}
+    best = {"_known": F.col(actual).isNotNull(), "_long": F.length(name), "_early": -F.col(arrival)}
+    rows = df.withColumns(named | best)
+    return latest_by(rows, list(named), list(best), [F.count("*").alias("copies")]).drop(*named, *best)

@@ -33,7 +33,7 @@ def emission_parameters(states: DataFrame, keys: list[str], n_states: int) -> Da
     """Mean and population deviation of the return per state; states never seen have zeros."""
     got = states.groupBy(*keys, "state").agg(F.avg("ret").alias("mean_return"), F.stddev_pop("ret").alias("volatility"))
     every = states.select(*keys).distinct().withColumn("state", F.explode(F.sequence(F.lit(0), F.lit(n_states - 1))))
-    return every.join(got, [*keys, "state"], "left").na.fill(0.0, ["mean_return", "volatility"])
+    return same_keys(every, got, [*keys, "state"], "left").na.fill(0.0, ["mean_return", "volatility"])
 
 
 def relabel(states: DataFrame, keys: list[str], state: str = "state", ret: str = "ret", probabilities: str | None = None) -> DataFrame:
@@ -99,7 +99,7 @@ def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], ts: str, valu
     """
     r = right.select(*keys, ts, *values)
     if exact_then_fill:
-        r = r.join(left.select(*keys, ts).distinct(), [*keys, ts], "left_semi")
+        r = same_keys(r, left.select(*keys, ts).distinct(), [*keys, ts], "left_semi")
     both = left.withColumn("_side", F.lit(1)).unionByName(
         r.withColumnsRenamed({v: f"_r_{v}" for v in values}).withColumn("_side", F.lit(0)), allowMissingColumns=True)
     s = Series.of(both, keys, [ts, "_side"], bucket)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.market import hours_between, log_decay
@@ -142,14 +144,56 @@ def symbol_snapshots(df: DataFrame, symbols: str, score: str, minutes: int = 60,
     )
 
 
-def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The newest row per key. One aggregate with map-side merging, so a hot key costs no more than others."""
-    rest = [c for c in df.columns if c not in keys]
-    return (
-        df.groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
-        .select(*keys, "_row.*")
-    )
+#: Bits of the order columns that fit into one number beside a place for NULL.
+WIDTHS = {"tinyint": 8, "smallint": 16, "int": 32, "date": 32, "bigint": 64, "timestamp": 64, "timestamp_ntz": 64, "boolean": 1}
+ROOM = 19 * 10**37  # different values that a decimal(38, 0) surely holds around 0
+
+
+def order_key(df: DataFrame, order: list[str]) -> Column:
+    """A fixed-width value that never falls while (order, ...) grows; NULLs come first.
+
+    Whole numbers, times and flags are digits of one decimal until its room is used up: what is left of the room goes to the leading
+    bits of the next column, later ones do not count. A first column of another kind is its own key. Rows with equal keys may
+    therefore still differ in their order.
+    """
+    kinds = dict(df.dtypes)
+    if kinds[order[0]] not in WIDTHS:
+        return F.col(order[0])
+    key, used = F.lit(0).cast("decimal(38,0)"), 1
+    for c in order:
+        if kinds[c] not in WIDTHS:
+            break
+        bits, x = WIDTHS[kinds[c]], F.col(c)
+        if kinds[c].startswith("timestamp"):
+            x = F.unix_micros(x.cast("timestamp"))
+        elif kinds[c] == "date":
+            x = F.unix_date(x)
+        drop = 0
+        while drop < bits and used * (2 ** (bits - drop) + 1) > ROOM:
+            drop += 1
+        if drop == bits:
+            break
+        least = -1 if bits == 1 else -(2 ** (bits - drop - 1)) - 1  # NULL
+        size = 2 ** (bits - drop) + 1
+        digit = F.coalesce(F.shiftright(x.cast("bigint"), drop).cast("decimal(38,0)"), F.lit(Decimal(least)))
+        key, used = (key * F.lit(Decimal(size)) + digit).cast("decimal(38,0)"), used * size
+        if drop:
+            break
+    return key
+
+
+def latest_by(df: DataFrame, keys: list[str], order: list[str], aggs: list[Column] | tuple = ()) -> DataFrame:
+    """The newest row per key, with ``aggs`` over all rows of the key; NULL keys are one key, NULLs in the order are oldest.
+
+    Late materialisation: a hash aggregate with map-side merging finds the greatest :func:`order_key` of each key from the narrow columns
+    alone, and a join brings back only the winning rows. Rows that tie are cut to one by the whole order, in each task before any shuffle.
+    """
+    own = df.columns
+    keyed = df.withColumn("_order", order_key(df, order))
+    best = keyed.groupBy(*keys).agg(F.max("_order").alias("_order"), *aggs)
+    more = [c for c in best.columns if c not in (*keys, "_order")]
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order)))
+    return same_keys(keyed, best, [*keys, "_order"]).withColumn("_first", first).filter("_first = 1").select(*own, *more)
 
 
 def trend_frames(hourly: DataFrame, as_of: Column, frames: list[int] = [24, 48, 72], **decay) -> DataFrame:

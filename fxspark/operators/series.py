@@ -14,17 +14,19 @@ so the number of tasks follows the number of rows, not the number of keys.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+
+from ..session import kept
 
 ALL_BEFORE = (Window.unboundedPreceding, Window.currentRow)
 BLOCK_ROWS = 4096
-EMA_BLOCK_ROWS = 512
+LIFT = 600.0  # weights inside a block span at most exp(LIFT)
+STRETCH = 300.0  # a sum along the blocks reaches back by exp(-STRETCH) at least
 
 
 @dataclass(frozen=True)
@@ -167,90 +169,97 @@ class Series:
         """Exponential averages; each spec is ``name: (column, span, adjust)``.
 
         A NULL keeps the average and ages the values before it by one more row, as in pandas; before the first value there is
-        none. A block is an affine map of the average in front of it; the maps are chained over the table of blocks, which
-        has a row for each few hundred rows.
+        none. Inside a block (a bucket, or the part of it whose weights stay within a double) the average is a sum of lifted
+        values; a block as a whole is an affine map of the average in front of it. :func:`_chained` runs the maps of all
+        averages along the blocks, and their results come back to the rows by one join.
         """
         s = self.parted()
         x = lambda c: F.col(c).cast("double")
+        moving = {n: (c, 1.0 - 2.0 / (span + 1.0), adjust) for n, (c, span, adjust) in specs.items() if span > 1}
+        if not moving:
+            return s.with_columns({n: F.col(c) for n, (c, _, _) in specs.items()})
+        block = math.floor(LIFT / -math.log(min(q for _, q, _ in moving.values())))
         row = F.row_number().over(Window.partitionBy("_part").orderBy(*s.order)) - 1
-        df = s.df.withColumn("_ei", row).withColumns({"_sub": F.floor(F.col("_ei") / EMA_BLOCK_ROWS), "_ei": (F.col("_ei") % EMA_BLOCK_ROWS).cast("double")})
+        df = s.df.withColumn("_ei", row).withColumns({"_sub": F.floor(F.col("_ei") / block), "_ei": (F.col("_ei") % block).cast("double")})
         w = Window.partitionBy("_part", "_sub").orderBy(*s.order)
         run, before = w.rowsBetween(*ALL_BEFORE), w.rowsBetween(Window.unboundedPreceding, -1)
-        moving = {n: (c, 1.0 - 2.0 / (span + 1.0), adjust) for n, (c, span, adjust) in specs.items() if span > 1}
-        seen = {c: F.last(F.when(F.col(c).isNotNull(), F.col("_ei")), ignorenulls=True).over(before) for c, _, adjust in moving.values() if not adjust}
-        df = df.withColumns({f"_s_{c}": e for c, e in seen.items()})
-        factor, term, ends, full = {}, {}, [F.count("*").alias("_rows")], {}
-        carried = lambda name: F.get("_carry", F.col("_sub").cast("int"))[name]
+        plain = dict.fromkeys(c for c, _, adjust in moving.values() if not adjust)
+        at = {c: F.when(F.col(c).isNotNull(), F.col("_ei")) for c in plain}
+        total = lambda c: F.coalesce(F.sum(c).over(run), F.lit(0.0))
+        fall = {n: F.pow(F.lit(q), F.col("_ei")) for n, (_, q, _) in moving.items()}
+        # what a block makes of its own rows alone
+        df = df.withColumns({f"_s_{c}": F.last(at[c], ignorenulls=True).over(before) for c in plain} | {f"_f_{c}": F.first(at[c], ignorenulls=True).over(run) for c in plain})
+        factor, local, last = {}, {}, [F.count("*").alias("_rows")]
+        for c in plain:
+            last += [F.min_by(x(c), at[c]).alias(f"_tx_{c}"), F.min(at[c]).alias(f"_tf_{c}"), F.max(at[c]).alias(f"_tr_{c}")]
         for n, (c, q, adjust) in moving.items():
-            here = F.col(c).isNotNull()
             if adjust:
-                lift, fall = F.pow(F.lit(1.0 / q), F.col("_ei")), F.pow(F.lit(q), F.col("_ei"))
-                term |= {f"_n_{n}": x(c) * lift, f"_d_{n}": F.when(here, lift)}
-                last = F.pow(F.lit(q), F.count("*") - 1)
-                ends += [(F.coalesce(F.sum(f"_{k}_{n}"), F.lit(0.0)) * last).alias(f"_t{k}_{n}") for k in "nd"]
-                sides = [F.coalesce(F.sum(f"_{k}_{n}").over(run), F.lit(0.0)) * fall + carried(f"_c{k}_{n}") * fall * q for k in "nd"]
-                full[n] = F.when(sides[1] > 0, sides[0] / sides[1])
+                lift = F.pow(F.lit(1.0 / q), F.col("_ei"))
+                local |= {f"_n_{n}": total(x(c) * lift) * fall[n], f"_d_{n}": total(F.when(F.col(c).isNotNull(), lift)) * fall[n]}
             else:
                 u = F.pow(F.lit(q), F.col("_ei") - F.col(f"_s_{c}"))
-                inner = here & F.col(f"_s_{c}").isNotNull()
-                factor[f"_a_{n}"] = F.when(inner, F.ln(u / (u + (1 - q)))).otherwise(0.0)
-                term[f"_n_{n}"] = F.when(inner, x(c) * ((1 - q) / (u + (1 - q))) * F.exp(-F.sum(f"_a_{n}").over(run)))
-                at = F.when(here, F.col("_ei"))
-                ends += [F.exp(F.sum(f"_a_{n}")).alias(f"_tl_{n}"), F.coalesce(F.exp(F.sum(f"_a_{n}")) * F.sum(f"_n_{n}"), F.lit(0.0)).alias(f"_tm_{n}"),
-                         F.min_by(x(c), at).alias(f"_tx_{n}"), F.min(at).alias(f"_tf_{n}"), F.max(at).alias(f"_tr_{n}")]
-                grown = F.exp(F.sum(f"_a_{n}").over(run))
-                own = grown * F.coalesce(F.sum(f"_n_{n}").over(run), F.lit(0.0))
-                first = F.first(at, ignorenulls=True).over(run)
-                full[n] = F.when(first.isNull(), carried(f"_cy_{n}")).otherwise(grown * carried(f"_cf_{n}") + own)
-        df = df.withColumns(factor).withColumns(term)
-        res = df
-        if moving:
-            key = F.to_json(F.struct(*(F.col("_part")[k].alias(k) for k in s.keys)))
-            along = Window.partitionBy("_key").orderBy(*(f"_part.{b}" for b in s.bucket), "_sub")
-            ends = df.groupBy("_part", "_sub").agg(*ends).withColumn("_key", key)
-            blocks = ends.withColumn("_at", F.row_number().over(along))
-            outs = [f"_c{k}_{n}" for n, (_, _, adjust) in moving.items() for k in ("nd" if adjust else "yf")]
-            schema = StructType([blocks.schema["_part"], blocks.schema["_sub"], *(StructField(o, DoubleType()) for o in outs)])
-            carries = blocks.groupBy("_key").applyInArrow(_chained(moving, outs), schema)
-            # as many entries as a bucket has blocks
-            carries = carries.groupBy("_part").agg(F.array_sort(F.collect_list(F.struct("_sub", *outs))).alias("_carry"))
-            res = df.join(carries, "_part").withColumns(full).drop("_carry")
-        res = res.withColumns({n: F.col(c) for n, (c, span, _) in specs.items() if span <= 1})
-        return replace(s, df=res.drop("_sub", "_ei", *(f"_s_{c}" for c in seen), *factor, *term))
-
-
-def _chained(moving: Mapping[str, tuple[str, float, bool]], outs: list[str]):
-    """Averages in front of each block of one series (one row per block)."""
-
-    def fold(table: pa.Table) -> pa.Table:
-        table = table.sort_by("_at")
-        ends = lambda name: table.column(name).to_pylist()
-        rows, out = ends("_rows"), {}
-        for n, (_, q, adjust) in moving.items():
+                inner = F.col(c).isNotNull() & F.col(f"_s_{c}").isNotNull()
+                factor[f"_a_{n}"] = F.when(inner, F.ln(u / (u + (1 - q))))
+                factor[f"_u_{n}"] = F.when(inner, x(c) * ((1 - q) / (u + (1 - q))))
+                local |= {f"_l_{n}": total(f"_a_{n}"), f"_m_{n}": F.col(f"_u_{n}")}
+        df = df.withColumns(factor).withColumns(local)
+        df = df.withColumns({f"_m_{n}": F.exp(f"_l_{n}") * total(F.col(f"_m_{n}") * F.exp(-F.col(f"_l_{n}"))) for n, (_, _, adjust) in moving.items() if not adjust})
+        # one pass makes them: the maps of the blocks and the rows below both read what is stored
+        df = kept(df.drop(*factor, *(f"_s_{c}" for c in plain)), "averages")
+        carries = _chained(df.groupBy("_part", "_sub").agg(*last, *(F.max_by(c, "_ei").alias(f"_t{c}") for c in local)), s.keys, s.bucket, moving)
+        carried = lambda state, what: F.get(f"_carry_{state}", F.col("_sub").cast("int"))[what]
+        full = {}
+        for n, (c, q, adjust) in moving.items():
             if adjust:
-                for k in "nd":
-                    value, values = 0.0, []
-                    for size, end in zip(rows, ends(f"_t{k}_{n}")):
-                        values.append(value)
-                        value = value * q**size + end
-                    out[f"_c{k}_{n}"] = values
-                continue
-            y, since, before, first = None, 0, [], []  # since: rows behind the last value so far
-            for size, grown, own, x, start, last in zip(rows, *(ends(f"_t{k}_{n}") for k in ("l", "m", "x", "f", "r"))):
-                before.append(y)
-                if start is None:  # no value in this block
-                    first.append(None)
-                    since += size
-                    continue
-                u = q ** (since + start + 1)
-                one = x if y is None else (u * y + (1 - q) * x) / (u + 1 - q)
-                first.append(one)
-                y, since = grown * one + own, size - 1 - last
-            out[f"_cy_{n}"], out[f"_cf_{n}"] = before, first
-        cols = [table.column("_part"), table.column("_sub"), *(pa.array(out[o], pa.float64()) for o in outs)]
-        return pa.Table.from_arrays(cols, names=["_part", "_sub", *outs])
-
-    return fold
+                sides = [F.col(f"_{k}_{n}") + carried(f"{k}_{n}", "y") * fall[n] * q for k in "nd"]
+                full[n] = F.when(sides[1] > 0, sides[0] / sides[1])
+            else:
+                inside = F.exp(f"_l_{n}") * carried(f"y_{n}", "first") + F.col(f"_m_{n}")
+                full[n] = F.when(F.col(f"_f_{c}").isNull(), carried(f"y_{n}", "y")).otherwise(inside)
+        helpers = ["_sub", "_ei", *(f"_f_{c}" for c in plain), *local, *(c for c in carries.columns if c != "_part")]
+        res = df.join(carries, "_part").withColumns(full).drop(*helpers)
+        return replace(s, df=res.withColumns({n: F.col(c) for n, (c, span, _) in specs.items() if span <= 1}))
+
+
+def _chained(blocks: DataFrame, keys: tuple[str, ...], bucket: tuple[str, ...], moving: Mapping[str, tuple[str, float, bool]]) -> DataFrame:
+    """For each bucket and state an array over its blocks: the average in front of the block and that at its first value.
+
+    Each block maps a state y to ``exp(-d) y + b``. With D, the sum of d so far, the state in front of a block is the sum over the
+    blocks before it of ``b exp(-(D_here - D_there))``. To stay within doubles the sum is taken in stretches of D: a stretch also holds
+    a copy of the one before it, and what lies further back weighs less than exp(-``STRETCH``). All states are rows of one table, so
+    that the number of windows does not depend on how many averages there are. A window sees a row for each block of a series.
+    """
+    of, when = [f"_k_{k}" for k in keys], [*(f"_b_{b}" for b in bucket), "_sub"]
+    df = blocks.withColumns({f"_k_{k}": F.col(f"_part.{k}") for k in keys} | {f"_b_{b}": F.col(f"_part.{b}") for b in bucket})
+    earlier = Window.partitionBy(*of).orderBy(*when).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_n0", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    plain = dict.fromkeys(c for c, _, adjust in moving.values() if not adjust)
+    if plain:
+        df = df.withColumns({f"_g_{c}": F.last(F.col("_n0") + F.col(f"_tr_{c}"), ignorenulls=True).over(earlier) for c in plain})
+    zero, none = F.lit(0.0), F.lit(None).cast("double")
+    states = []
+    for n, (c, q, adjust) in moving.items():
+        if adjust:
+            states += [(f"{k}_{n}", F.col("_rows") * -math.log(q), F.col(f"_t_{k}_{n}"), none, none, F.lit(True)) for k in "nd"]
+            continue
+        u = F.pow(F.lit(q), F.col("_n0") + F.col(f"_tf_{c}") - F.col(f"_g_{c}"))  # the first value is so many rows behind the last one before
+        share, first, grown = u / (u + (1 - q)), F.col(f"_tx_{c}"), F.exp(f"_t_l_{n}")
+        old, any_ = F.col(f"_g_{c}").isNotNull(), F.col(f"_tf_{c}").isNotNull()
+        d = F.when(any_ & old, -F.col(f"_t_l_{n}") - F.ln(share)).otherwise(zero)
+        b = F.when(any_, grown * first * F.when(old, 1 - share).otherwise(1.0) + F.col(f"_t_m_{n}")).otherwise(zero)
+        states.append((f"y_{n}", d, b, F.when(any_ & old, share), first, old))
+    each = [F.struct(F.lit(name).alias("state"), d.alias("d"), b.alias("b"), a.alias("a"), x.alias("x"), known.alias("known")) for name, d, b, a, x, known in states]
+    # the state in front of a block comes from the rows before it
+    by_state = Window.partitionBy(*of, "state").orderBy(*when)
+    long = df.select("_part", *of, *when, F.inline(F.array(*each)))
+    long = long.withColumns({"at": F.coalesce(F.sum("d").over(by_state.rowsBetween(Window.unboundedPreceding, -1)), zero), "b": F.coalesce(F.lag("b").over(by_state), zero)})
+    long = long.withColumn("own", F.floor(F.col("at") / STRETCH)).withColumn("stretch", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    inside = Window.partitionBy(*of, "state", "stretch").orderBy(*when).rowsBetween(*ALL_BEFORE)
+    rise = F.col("at") - (F.col("stretch") - 1) * STRETCH
+    long = long.withColumn("y", F.sum(F.col("b") * F.exp(rise)).over(inside) * F.exp(-rise)).filter("stretch = own")
+    y = F.when(F.col("known"), F.col("y"))
+    found = F.struct("_sub", y.alias("y"), F.when(F.col("a").isNull(), F.col("x")).otherwise(F.col("a") * y + (1 - F.col("a")) * F.col("x")).alias("first"))
+    return long.groupBy("_part").agg(*(F.array_sort(F.collect_list(F.when(F.col("state") == name, found))).alias(f"_carry_{name}") for name, *_ in states))
 
 
 @dataclass

@@ -19,6 +19,7 @@ from ..functions.market import TIMEFRAME_HOURS, finite
 from ..functions.stats import norm_cdf
 from . import indicators as ind
 from ..session import cut
+from .joins import same_keys
 from .quantiles import HOT_ROWS, group_quantiles
 from .series import ALL_BEFORE, BLOCK_ROWS, Rolling, Series
 
@@ -201,9 +202,10 @@ def positions(long: DataFrame, keys: list[str] = PARAM_KEYS) -> DataFrame:
     only until its first signal, so each block keeps its results for "entered flat" and "entered long",
     and the block table picks one of the two per block.
     """
-    df = long.withColumn("_blk", F.floor((F.col("_rn") - 1) / BLOCK_ROWS))
-    part = [*keys, "_blk"]
-    w = Window.partitionBy(*part).orderBy("_rn")
+    # a struct of NULLs equals itself, so series without a key keep their blocks
+    df = long.withColumn("_part", F.struct(*keys, F.floor((F.col("_rn") - 1) / BLOCK_ROWS).alias("_blk")))
+    part = ["_part"]
+    w = Window.partitionBy("_part").orderBy("_rn")
     run, before = w.rowsBetween(*ALL_BEFORE), w.rowsBetween(Window.unboundedPreceding, -1)
     local = df.withColumn("_prev", F.last("signal", ignorenulls=True).over(before)).withColumn(
         "_last", F.last("signal", ignorenulls=True).over(run)
@@ -230,7 +232,7 @@ def positions(long: DataFrame, keys: list[str] = PARAM_KEYS) -> DataFrame:
     )
     kept = ["_last", "_known", "_open", "_v0", "_v1", "_a0", "_a1", *(f"_e{i}_{k}" for i in (0, 1) for k in entry)]
     ends = local.groupBy(*part).agg(*(F.max_by(c, "_rn").alias(f"b{c}") for c in kept))
-    by_block = Window.partitionBy(*keys).orderBy("_blk")
+    by_block = Window.partitionBy(*(f"_part.{k}" for k in keys)).orderBy("_part._blk")
     earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.withColumn("_in", F.coalesce(F.last("b_last", ignorenulls=True).over(earlier), F.lit(-1)) == 1)
     pick = lambda yes, no: F.when(F.col("_in"), F.col(yes)).otherwise(F.col(no))
@@ -374,11 +376,9 @@ def grid_metrics(pos: DataFrame, keys: list[str] = PARAM_KEYS, periods: int = 25
         F.sum(F.greatest(r, F.lit(0.0))).alias("_up_sum"),
         F.sum(F.greatest(-r, F.lit(0.0))).alias("_down_sum"),
     ]
-    out = (
-        return_shape(pos, keys, "ret", periods, bar)
-        .join(trade_statistics(tr, keys, aggs=[F.avg("bars_held").alias("_held")]), keys, "left")
-        .join(streaks(tr, keys, "exit_bar", "pnl_pct"), keys, "left")
-    )
+    out = return_shape(pos, keys, "ret", periods, bar)
+    out = same_keys(out, trade_statistics(tr, keys, aggs=[F.avg("bars_held").alias("_held")]), keys, "left")
+    out = same_keys(out, streaks(tr, keys, "exit_bar", "pnl_pct"), keys, "left")
     root = F.sqrt(F.lit(float(periods)))
     annual = F.pow(1 + F.col("total_return"), F.lit(float(periods)) / F.col("n_bars")) - 1
     clip = lambda c, lo, hi: F.greatest(F.lit(lo), F.least(F.lit(hi), finite(c, 0.0)))

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.market import SESSION_HOURS, session_of
+from ..functions.stats import correlation
 from . import indicators as ind
 from ..session import cut
+from .joins import same_keys
 from .quantiles import group_quantiles
 from .series import Series
 
@@ -66,7 +68,7 @@ def session_statistics(hourly: DataFrame) -> DataFrame:
     )
     # every pair shows every session, also those without bars
     every = hourly.select("pair").distinct().withColumn("session", F.explode(F.array(*map(F.lit, SESSION_HOURS))))
-    full = every.join(got, ["pair", "session"], "left").na.fill(0)
+    full = same_keys(every, got, ["pair", "session"], "left").na.fill(0)
     avg = F.when(F.col("bar_count") > 0, F.col("volume") / F.col("bar_count")).otherwise(0.0)
     return full.withColumn("avg_volume", avg).withColumn(
         "cv", F.when(F.col("avg_volume") != 0, F.col("std_volume") / F.col("avg_volume")).otherwise(0.0)
@@ -92,9 +94,9 @@ def atr_volume_correlation(bars: DataFrame, period: int = 14) -> DataFrame:
     rl.add({"_tr": ind.true_range(rl, first_null=True)})
     rl.add({"_atr": rl.full(F.avg, "_tr", period)})
     df = rl.done().filter(F.col("_atr").isNotNull())
-    got = df.groupBy(F.col("symbol").alias("pair")).agg(F.corr("_atr", "volume").alias("c"))
+    got = df.groupBy(F.col("symbol").alias("pair")).agg(correlation("_atr", "volume").alias("c"))
     pairs = bars.select(F.col("symbol").alias("pair")).distinct()
-    return pairs.join(got, "pair", "left").select("pair", F.coalesce(F.nanvl("c", F.lit(0.0)), F.lit(0.0)).alias("correlation"))
+    return same_keys(pairs, got, ["pair"], "left").select("pair", F.coalesce(F.nanvl("c", F.lit(0.0)), F.lit(0.0)).alias("correlation"))
 
 
 def session_baselines(bars: DataFrame, period: int = 14) -> DataFrame:
@@ -105,7 +107,7 @@ def session_baselines(bars: DataFrame, period: int = 14) -> DataFrame:
         F.col("symbol").alias("pair"), session_of(hour_of()).alias("session")
     ).agg(F.avg("atr").alias("mean_atr"), F.stddev_samp("atr").alias("std_atr"), F.count("*").alias("_n"))
     some = F.col("_n") > 1
-    return vol.join(atr, ["pair", "session"], "left").select(
+    return same_keys(vol, atr, ["pair", "session"], "left").select(
         "pair", "session", "mean_volume", "std_volume",
         F.when(some, F.col("mean_atr")).otherwise(0.0).alias("mean_atr"),
         F.when(some, F.col("std_atr")).otherwise(0.0).alias("std_atr"),
@@ -121,15 +123,15 @@ def _robust_flags(df: DataFrame, keys: list[str], scope: list[str], feats: list[
     # at most one row per hour of the calendar and pair; read by several branches below
     df = cut(df)
     med = group_quantiles(df, keys, feats, {"med": 0.5}, None)
-    d = df.join(med, keys).withColumns({f"_d_{f}": F.abs(F.col(f) - F.col(f"{f}_med")) for f in feats})
+    d = same_keys(df, med, keys).withColumns({f"_d_{f}": F.abs(F.col(f) - F.col(f"{f}_med")) for f in feats})
     mad = group_quantiles(d, keys, [f"_d_{f}" for f in feats], {"mad": 0.5}, None)
-    d = d.join(mad, keys)
+    d = same_keys(d, mad, keys)
     parts = [
         F.col(f"_d_{f}") / F.when(F.col(f"_d_{f}_mad") == 0, F.lit(1.0)).otherwise(F.col(f"_d_{f}_mad")) for f in feats
     ]
     d = d.withColumn("anomaly_score", sum(parts[1:], parts[0]))
     limit = group_quantiles(d, scope, ["anomaly_score"], {"cut": 1 - contamination}, None)
-    return d.join(limit, scope).withColumn("is_anomaly", (F.col("anomaly_score") > F.col("anomaly_score_cut")).cast("int"))
+    return same_keys(d, limit, scope).withColumn("is_anomaly", (F.col("anomaly_score") > F.col("anomaly_score_cut")).cast("int"))
 
 
 def daily_anomalies(daily: DataFrame, contamination: float = 0.1) -> DataFrame:
@@ -138,7 +140,7 @@ def daily_anomalies(daily: DataFrame, contamination: float = 0.1) -> DataFrame:
     rl.add({"v": F.col("daily_volume"), "lag1": rl.lag("daily_volume"), "lag2": rl.lag("daily_volume", 2)})
     rows = cut(rl.done())
     long_enough = rows.groupBy("pair").agg(F.count("*").alias("_n")).filter("_n >= 3").select("pair")
-    rows = rows.join(long_enough, "pair", "left_semi")
+    rows = same_keys(rows, long_enough, ["pair"], "left_semi")
     flagged = _robust_flags(rows.filter(F.col("lag2").isNotNull()), ["pair"], ["pair"], ["v", "lag1", "lag2"], contamination)
     first = rows.filter(F.col("lag2").isNull()).select(
         "pair", "date", "daily_volume", F.lit(0).alias("is_anomaly"), F.lit(0.0).alias("anomaly_score"))
@@ -151,7 +153,7 @@ def hourly_anomalies(totals: DataFrame, contamination: float = 0.1) -> DataFrame
     rl.add({"v": F.col("hourly_volume"), "lag1": rl.lag("hourly_volume"), "dow": F.weekday("date")})
     rows = cut(rl.done().filter(F.col("lag1").isNotNull()))
     long_enough = rows.groupBy("pair").agg(F.count("*").alias("_n")).filter("_n >= 3").select("pair")
-    flagged = _robust_flags(rows.join(long_enough, "pair", "left_semi"), ["pair", "dow"], ["pair"], ["v", "lag1"], contamination)
+    flagged = _robust_flags(same_keys(rows, long_enough, ["pair"], "left_semi"), ["pair", "dow"], ["pair"], ["v", "lag1"], contamination)
     return flagged.select("pair", "date", "hour_gmt", "hourly_volume", "is_anomaly", "anomaly_score")
 
 
@@ -167,7 +169,7 @@ def next_volume_forecast(totals: DataFrame, train_share: float = 0.8, min_points
     rl.add({"_lag": rl.lag("hourly_volume")})
     rows = cut(rl.series().df)
     size = rows.groupBy(*keys).agg(F.count("*").alias("n_points")).filter(F.col("n_points") >= min_points)
-    rows = rows.join(size, keys).withColumn("_train", F.col("_rn") <= F.floor(F.col("n_points") * train_share))
+    rows = same_keys(rows, size, keys).withColumn("_train", F.col("_rn") <= F.floor(F.col("n_points") * train_share))
     y, x = F.col("hourly_volume"), F.col("_lag")
     on = lambda c: F.when(F.col("_train"), c)
     fit = rows.groupBy(*keys).agg(
@@ -177,9 +179,9 @@ def next_volume_forecast(totals: DataFrame, train_share: float = 0.8, min_points
         F.max_by(y, "_rn").alias("_last"),
     )
     guess = F.coalesce(F.col("_at") + F.col("_bt") * x, F.col("_mt"))
-    err = rows.filter(~F.col("_train")).join(fit.select(*keys, "_at", "_bt", "_mt"), keys).groupBy(*keys).agg(
+    err = same_keys(rows.filter(~F.col("_train")), fit.select(*keys, "_at", "_bt", "_mt"), keys).groupBy(*keys).agg(
         F.avg(F.abs(y - guess)).alias("holdout_mae"))
-    return fit.join(err, keys, "left").select(
+    return same_keys(fit, err, keys, "left").select(
         *keys, "n_points", F.coalesce(F.col("_a") + F.col("_b") * F.col("_last"), F.col("_m")).alias("next_volume_forecast"), "holdout_mae")
 
 
@@ -188,7 +190,7 @@ def run_summary(anomalies: DataFrame, forecasts: DataFrame) -> DataFrame:
     a = anomalies.groupBy("pair").agg(F.count("*").alias("days"), F.count_if(F.col("is_anomaly") == 1).alias("anomalies"))
     f = forecasts.groupBy("pair").agg(
         F.count("*").alias("forecasts"), F.count_distinct("hour_gmt").alias("hours"), F.avg("next_volume_forecast").alias("avg_forecast"))
-    return a.join(f, "pair", "left").na.fill(0, ["forecasts", "hours"])
+    return same_keys(a, f, ["pair"], "left").na.fill(0, ["forecasts", "hours"])
 
 
 def volume_signal(current: DataFrame, hourly: DataFrame, forecasts: DataFrame, hist: float = 1.2, ahead: float = 1.0, floor: float = 1e6) -> DataFrame:
@@ -197,7 +199,7 @@ def volume_signal(current: DataFrame, hourly: DataFrame, forecasts: DataFrame, h
     h = hourly.filter("bar_count > 0").select(*keys, (F.col("total_volume") / F.col("bar_count")).alias("hist_avg"))
     f = forecasts.select(*keys, "next_volume_forecast")
     limit = F.greatest(F.col("hist_avg") * hist, F.coalesce("next_volume_forecast", F.lit(0.0)) * ahead, F.lit(float(floor)))
-    return current.join(h, keys, "left").join(f, keys, "left").withColumn(
+    return same_keys(same_keys(current, h, keys, "left"), f, keys, "left").withColumn(
         "is_good", F.when(F.col("hist_avg").isNull(), F.lit(False)).otherwise(F.col("volume") > limit))
 
 

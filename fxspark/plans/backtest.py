@@ -10,7 +10,7 @@ from ..operators import signals as sg
 from ..operators import scores as sc
 from ..operators.series import Series
 from .bars import TR, ema_sql, full, lag, rsi_expr, rsi_levels, step, win
-from .inputs import bars, r, rnd, rounded, table
+from .inputs import bars, r, rnd, rounded, table, unnamed, unnamed_bars
 from .normal_sql import cdf
 from .registry import SQL, query
 
@@ -272,7 +272,11 @@ GRID_SQL = " UNION ALL ".join(f"SELECT {i} AS param_id, {n} AS donchian_period"
   {r('greatest(-10, least(10, (pow(1 + total_return, 252.0 / n) - 1) / max_drawdown))')} AS calmar_ratio, {r('coalesce(held, 0)')} AS avg_trade_duration_hours, {r('CASE WHEN abs(p05) > 1e-12 THEN p95 / abs(p05) ELSE 0 END')} AS tail_ratio
 FROM bm JOIN sh USING (symbol, param_id) JOIN ts USING (symbol, param_id) LEFT JOIN hd USING (symbol, param_id) JOIN g USING (param_id)"""))
 def grid_metrics(spark, sf):
-    m = sg.backtest(bars(spark, sf), "breakout", BREAKOUT_GRID)
+    return _grid(bars(spark, sf))
+
+
+def _grid(b):
+    m = sg.backtest(b, "breakout", BREAKOUT_GRID)
     cols = ["total_return", "sharpe_ratio", "max_drawdown", *STAT_COLS, "sortino_ratio", "omega_ratio", "max_drawdown_duration_hours",
             "volatility", "skewness", "kurtosis", "tail_ratio", "psr", "calmar_ratio", "avg_trade_duration_hours"]
     par = F.from_json("params", "donchian_period int")
@@ -280,6 +284,11 @@ def grid_metrics(spark, sf):
         "symbol", "strategy_type", "p.*", "num_trades", *cols)
 
 
+@query("M21_grid_null_symbol", unnamed(SQL["M21_grid_metrics"], "symbol"))
+def grid_metrics_without_name(spark, sf):
+    return _grid(unnamed_bars(spark, sf))
+
+
 @query("J10_parameter_grid", f"""
 WITH s AS (SELECT DISTINCT event_type AS symbol FROM events), f AS (SELECT unnest([5, 10, 20, 40]) AS fast_window), w AS (SELECT unnest([20, 40, 60]) AS slow_window)
 SELECT symbol, fast_window, slow_window FROM s, f, w WHERE fast_window < slow_window""")

@@ -61,8 +61,7 @@ def raw_events(spark, sf):
 
 
 def typed_events(spark, sf):
-    return raw_events(spark, sf).withColumns({
-        "event_type": cal.event_type("event_name", "country"), "impact": cal.impact_level("raw_impact", "country", "event_name")}).drop("raw_impact")
+    return oc.named(raw_events(spark, sf), impact="raw_impact").drop("raw_impact")
 
 
 def as_of():

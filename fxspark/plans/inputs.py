@@ -55,6 +55,16 @@ def place(ts: str, id_col: str) -> Column:
     return micros * F.lit(Decimal(10**19)) + F.col(id_col).cast("decimal(19,0)")
 
 
+def unnamed(sql: str, column: str) -> str:
+    """The rows of ``sql`` where ``view`` has lost its name, as in :func:`unnamed_bars`."""
+    return f"SELECT nullif({column}, 'view') AS {column}, * EXCLUDE ({column}) FROM ({sql})"
+
+
+def unnamed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars whose largest series has a NULL symbol."""
+    return bars(spark, sf_dir).withColumn("symbol", F.nullif("symbol", F.lit("view")))
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minute bars: symbol = event type, prices = value, volume = sum of props.k."""
     e = table(spark, sf_dir, "events")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.stats import correlation
 from ..operators import indicators as ind
 from ..operators import models as md
 from ..operators import regime as rg
@@ -174,7 +175,7 @@ def component_checks(spark, sf):
     scores, parts = md.principal_components(feature_rows(spark, sf), COMPONENT_FEATURES)
     rows = parts.orderBy("component").collect()  # one row for each component
     pcs = [f"pc{r['component']}" for r in rows]
-    off = [F.abs(F.corr(a, b)) > 1e-6 for i, a in enumerate(pcs) for b in pcs[i + 1 :]]
+    off = [F.abs(correlation(a, b)) > 1e-6 for i, a in enumerate(pcs) for b in pcs[i + 1 :]]
     share = [F.abs(F.var_samp(p) / len(COMPONENT_FEATURES) - r["explained"]) > 1e-6 for p, r in zip(pcs, rows)]
     count = lambda flags: sum((x.cast("int") for x in flags), F.lit(0))
     rising = sum(b["explained"] > a["explained"] + 1e-12 for a, b in zip(rows, rows[1:]))
@@ -218,7 +219,7 @@ def prediction_checks(spark, sf):
     rows = next_close_rows(spark, sf)
     p = md.batch_predictions(rows, NEXT_FEATURES, "next_close", "linear", "1", ["symbol", "timeframe", "ts", "next_close", *NEXT_FEATURES])
     e = F.col("next_close") - F.col("pred_next_close")
-    flat = [F.abs(F.avg(e)) / F.stddev_pop("next_close") > 1e-6] + [F.abs(F.corr(F.col(c), e)) > 1e-5 for c in NEXT_FEATURES]
+    flat = [F.abs(F.avg(e)) / F.stddev_pop("next_close") > 1e-6] + [F.abs(correlation(c, e)) > 1e-5 for c in NEXT_FEATURES]
     return p.agg(F.count("*").alias("n_rows"), F.count_if(F.col("next_close").isNull()).alias("n_newest"), F.count_if(F.col("pred_next_close").isNull()).alias("unscored"),
                  sum((F.coalesce(x, F.lit(False)).cast("int") for x in flat), F.lit(0)).alias("unbalanced"))
 

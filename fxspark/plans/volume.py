@@ -10,8 +10,8 @@ from ..operators import quality as ql
 from ..operators import ranking as rk
 from ..operators import volume as vo
 from .bars import TR, fr, full, step, win
-from .inputs import BARS, bars, r, rnd, rounded, table
-from .registry import query
+from .inputs import BARS, bars, r, rnd, rounded, table, unnamed, unnamed_bars
+from .registry import SQL, query
 
 SESSION_SQL = "CASE " + " ".join(f"WHEN hour_gmt IN ({', '.join(map(str, h))}) THEN '{s}'" for s, h in mk.SESSION_HOURS.items()) + " END"
 B = f"b AS (SELECT symbol AS pair, hour(ts) AS hour_gmt, strftime(ts, '%Y-%m-%d') AS date, ts, volume, close, high, low FROM ({BARS}))"
@@ -65,6 +65,11 @@ def session_statistics(spark, sf):
     return rounded(vo.session_statistics(vo.hourly_totals(bars(spark, sf))), "avg_volume", "std_volume", "cv")
 
 
+@query("A22_null_pair", unnamed(SQL["A22_session_statistics"], "pair"))
+def session_statistics_without_name(spark, sf):
+    return rounded(vo.session_statistics(vo.hourly_totals(unnamed_bars(spark, sf))), "avg_volume", "std_volume", "cv")
+
+
 @query("A23_session_summary", f"""WITH {B}, {HOURLY}, {SESSIONS}, g AS (SELECT session, sum(volume) AS total_volume, count(*) AS pair_count FROM s WHERE volume > 0 GROUP BY 1)
 SELECT session, total_volume, pair_count, {r('total_volume / pair_count')} AS average_per_pair, row_number() OVER (ORDER BY total_volume DESC, session) AS rank,
  {r('100 * total_volume / sum(total_volume) OVER ()', 2)} AS pct_of_total FROM g""")
@@ -86,6 +91,13 @@ def atr_volume_correlation(spark, sf):
     return rounded(vo.atr_volume_correlation(bars(spark, sf)), "correlation")
 
 
+@query("A25_constant_pair", f"SELECT pair, CASE WHEN pair = 'view' THEN 0 ELSE correlation END AS correlation FROM ({SQL['A25_atr_volume_correlation']})")
+def correlation_of_a_constant(spark, sf):
+    """One pair never moves: its range has no deviation to correlate."""
+    still = {c: F.when(F.col("symbol") == "view", F.lit(1.0)).otherwise(F.col(c)) for c in ("high", "low", "close")}
+    return rounded(vo.atr_volume_correlation(bars(spark, sf).withColumns(still)), "correlation")
+
+
 @query("A26_session_baselines", win(step(0, tr=TR, pair="symbol", hour_gmt="hour(ts)"), step(1, atr=full("avg(tr)", 14)), f"""
 SELECT pair, session, {r('mean_volume')} AS mean_volume, {r('std_volume')} AS std_volume, {r('mean_atr')} AS mean_atr, {r('std_atr')} AS std_atr FROM (
  SELECT pair, {SESSION_SQL} AS session, avg(atr) AS mean_atr, stddev_samp(atr) AS std_atr FROM b2 WHERE atr IS NOT NULL GROUP BY 1, 2)
@@ -123,6 +135,11 @@ def hourly_anomalies(spark, sf):
     return as_text(rounded(vo.hourly_anomalies(vo.date_hour_totals(bars(spark, sf))), "anomaly_score"))
 
 
+@query("M9_null_pair", unnamed(SQL["M9_hourly_anomalies"], "pair"))
+def hourly_anomalies_without_name(spark, sf):
+    return as_text(rounded(vo.hourly_anomalies(vo.date_hour_totals(unnamed_bars(spark, sf))), "anomaly_score"))
+
+
 FORECAST = """n AS (SELECT *, lag(hourly_volume) OVER w AS x, row_number() OVER w AS rn, count(*) OVER (PARTITION BY pair, hour_gmt) AS n FROM t
   WINDOW w AS (PARTITION BY pair, hour_gmt ORDER BY date)), k AS (SELECT *, rn <= floor(n * 0.8) AS train FROM n WHERE n >= 5),
 f AS (SELECT pair, hour_gmt, max(n) AS n_points, coalesce(regr_intercept(hourly_volume, x) + regr_slope(hourly_volume, x) * arg_max(hourly_volume, rn), avg(hourly_volume)) AS next_volume_forecast,
@@ -136,6 +153,11 @@ def next_volume_forecast(spark, sf):
     return rounded(vo.next_volume_forecast(vo.date_hour_totals(bars(spark, sf))), "next_volume_forecast", "holdout_mae")
 
 
+@query("M10_null_pair", unnamed(SQL["M10_next_volume_forecast"], "pair"))
+def forecast_without_name(spark, sf):
+    return rounded(vo.next_volume_forecast(vo.date_hour_totals(unnamed_bars(spark, sf))), "next_volume_forecast", "holdout_mae")
+
+
 @query("A48_run_summary", f"""WITH {DAILY_ANOMALY}, {TOTALS}, {FORECAST},
 p AS (SELECT pair, count(*) AS days, count(*) FILTER (is_anomaly = 1) AS anomalies FROM a GROUP BY 1),
 q AS (SELECT pair, count(*) AS forecasts, count(DISTINCT hour_gmt) AS hours, {r('avg(next_volume_forecast)')} AS avg_forecast FROM f GROUP BY 1)

@@ -60,3 +60,10 @@ def cut(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """The frame as a Parquet table of the shared folder, read back: like :func:`cut`, with columns that readers can leave out."""
+    path = work_dir(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -37,7 +37,8 @@ def gaps():
 @pytest.fixture(autouse=True)
 def small_blocks(monkeypatch):
     monkeypatch.setattr(sr, "BLOCK_ROWS", 16)
-    monkeypatch.setattr(sr, "EMA_BLOCK_ROWS", 16)
+    monkeypatch.setattr(sr, "LIFT", 18.0)  # 16 rows at span 2
+    monkeypatch.setattr(sr, "STRETCH", 40.0)
 
 
 def compare(spark, gaps, frame, want):
