@@ -45,7 +45,7 @@ def op6_quality_rules(spark, sf_dir):
 @query("op7_sainte_lague_mix")
 def op7_sainte_lague_mix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    chosen = mixing.mix(docs, F.col("doc_id"), mixing.words(F.col("text")))
+    chosen = mixing.mix(docs, F.col("doc_id"), mixing.words(F.col("text")), keep=True)
     return chosen.select(F.col("row").alias("doc_id"), "size", "source_size", "target", "taken", "passes", F.size("cuts").cast("long").alias("n_cuts"))
 
 

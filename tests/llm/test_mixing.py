@@ -81,10 +81,10 @@ def test_each_shard_keeps_its_quota_over_many_files(spark, tmp_path, monkeypatch
     data = [(i, long_text(20 + i % 90), "en", ("a", "b", "c", None)[min(3, i % 7)], 0) for i in range(1200)]
     spark.createDataFrame(data, DOCS).repartition(12).write.parquet(str(tmp_path / "docs"))
     frame = spark.read.parquet(str(tmp_path / "docs"))
-    sources, block = mx.sources_of(frame.select("doc_id", "source", mx.words(F.col("text")).alias("size")))
+    sources, block = mx.sources_of(frame.select("doc_id", "source", mx.words(F.col("text")).alias("size"))), mx.BLOCK
     found = {r["source"]: r for r in sources.collect()}
     size = {}
-    for r in frame.select("source", F.xxhash64("doc_id", F.lit(11)).alias("k"), mx.words(F.col("text")).alias("size"), "doc_id").collect():
+    for r in frame.select("source", mx.tie(11).alias("k"), mx.words(F.col("text")).alias("size"), "doc_id").collect():
         own = found[r["source"]]
         size.setdefault(own.number, {}).setdefault(r["k"] % own.shards, {})[r["doc_id"]] = r["size"]
     usual = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.autoBroadcastJoinThreshold",
@@ -100,8 +100,9 @@ def test_each_shard_keeps_its_quota_over_many_files(spark, tmp_path, monkeypatch
                 shards = size[own.number]
                 assert len(shards) > 1
                 votes = [sum(shards[k].values()) for k in sorted(shards)]
-                for k, total, quota in zip(sorted(shards), votes, mx.apportion(np.array(votes), own.source_quota)):
-                    assert sum(taken[i] for i in shards[k]) == min(quota * block, 3 * total), (n, own.number, k)
+                for i, (k, total, quota) in enumerate(zip(sorted(shards), votes, mx.apportion(np.array(votes), own.quota))):
+                    more = own.more if i == int(np.argmax(votes)) else 0
+                    assert sum(taken[i] for i in shards[k]) == min(quota * block + more, 3 * total), (n, own.number, k)
     finally:
         for k, v in usual.items():
             spark.conf.set(k, v)
@@ -133,3 +134,38 @@ def test_cuts_keep_white_space_and_stand_alone(spark, monkeypatch):
         assert len(got.get(i, [])) == r.passes + len(r.cuts)
         assert sorted(t.split() for t in got.get(i, []) if t != texts[i]) == sorted(texts[i].split()[c.start : c.end] for c in r.cuts if c.end - c.start < r["size"])
     assert any(len(r.cuts) > 1 for r in chosen.values()) and any(c.end - c.start == r["size"] for r in chosen.values() for c in r.cuts)
+
+
+def test_a_tiny_source_leaves_the_others_alone(spark):
+    """Sources keep runs of whole blocks beside a source far smaller than a block, and each source's words come to its target."""
+    data = [(i, long_text(300), "en", "ab"[i % 2], 0) for i in range(200)]
+    alone = mx.mixed(spark.createDataFrame(data, DOCS)).count()
+    frame = spark.createDataFrame([*data, (999, "five words and no more", "en", "c", 0)], DOCS)
+    chosen = mx.mix(frame, F.col("doc_id"), mx.words(F.col("text")), keep=True).collect()
+    runs = [c.end - c.start for r in chosen for c in r.cuts if r["row"] != 999]
+    assert np.mean(runs) > 100 and max(len(r.cuts) for r in chosen) <= 3
+    assert mx.mixed(frame).count() <= alone + 3
+    taken = {}
+    for r in chosen:
+        taken.setdefault(r.target, []).append(r.taken)
+    assert all(abs(sum(v) - goal) < 1 for goal, v in taken.items())
+
+
+def test_regions_divide_as_one_large_source(spark, monkeypatch):
+    monkeypatch.setattr(mx, "SHARD", 3)
+    monkeypatch.setattr(mx, "REGION", 4)
+    monkeypatch.setattr(mx, "BLOCK", 8)
+    data = [(i, long_text(400 + i % 50), "en", "ab"[i % 5 == 0], 0) for i in range(200)]
+    got = check(spark.createDataFrame(data, DOCS), data)
+    taken = {}
+    for r in got:
+        taken.setdefault(r.target, []).append(r.taken)
+    assert all(abs(sum(v) - goal) <= 0.01 * goal for goal, v in taken.items())
+
+
+def test_rows_without_or_with_equal_doc_id_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(mx, "SHARD", 20)
+    data = [(None if i % 2 else 7, f"text {i} " * 30, "en", "a", 0) for i in range(400)]
+    frame = spark.createDataFrame(data, DOCS)
+    assert frame.select((F.pmod(mx.tie(11), F.lit(20))).alias("s")).groupBy("s").count().agg(F.max("count")).first()[0] < 60
+    assert len(check(frame, data)) == 400
