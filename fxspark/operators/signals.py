@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.market import TIMEFRAME_HOURS, finite
 from ..functions.stats import norm_cdf
 from . import indicators as ind
-from ..session import cut
-from .joins import same_keys
+from .grid import run_statistics
 from .quantiles import HOT_ROWS, group_quantiles
 from .series import ALL_BEFORE, BLOCK_ROWS, Rolling, Series
 
@@ -183,13 +182,18 @@ def signal_value(up: Column, down: Column) -> Column:
 
 def signals(bars: DataFrame, strategy: str, points: list[Params]) -> DataFrame:
     """Long rows (series, param_id, _rn, ts, close, log_ret, signal): 1 enters, -1 leaves, NULL holds."""
+    s = signal_rows(bars, strategy, points)
+    return s.df.select(*s.keys, "_rn", "ts", "close", "log_ret", F.posexplode_outer("_signals").alias("param_id", "signal"))
+
+
+def signal_rows(bars: DataFrame, strategy: str, points: list[Params]) -> Series:
+    """Bars with the array ``_signals``: for each point 1 where it enters, -1 where it leaves, else NULL."""
     st = STRATEGIES[strategy]
     rl = signal_frame(bars, strategy, points)
     # entries and exits read the row before through shared columns, so one window serves all points
     flags = [signal_value(*st.signal(rl, p)) for p in points]
     rl.waiting["log_ret"] = F.coalesce(ind.log_return(rl), F.lit(0.0))
-    s = rl.flush().add({"_signals": F.array(*flags)}).series()
-    return s.df.select(*s.keys, "_rn", "ts", "close", "log_ret", F.posexplode_outer("_signals").alias("param_id", "signal"))
+    return rl.flush().add({"_signals": F.array(*flags)}).series()
 
 
 PARAM_KEYS = [*ind.BAR_KEYS, "param_id"]
@@ -336,12 +340,17 @@ def return_shape(df: DataFrame, keys: list[str], ret: str = "ret", periods: int
         F.count(ret).alias("n_returns"), F.avg(ret).alias("mean_ret"), F.stddev_samp(ret).alias("sd_ret"),
         F.skewness(ret).alias("_g1"), F.kurtosis(ret).alias("_g2"), *aggs,
     ])
+    return _shape(base, periods, ret)
+
+
+def _shape(base: DataFrame, periods: int, ret: str = "ret") -> DataFrame:
+    """The shape of returns from their moments and tails; other columns stay."""
     n = F.col("n_returns").cast("double")
     shrink = F.try_divide(n - 1, n)
     ok = (F.col("n_returns") > 2) & (F.col("sd_ret") > 0)
-    more = [c for c in base.columns if c not in {*keys, "n_returns", "mean_ret", "sd_ret", "_g1", "_g2"} and not c.startswith(f"{ret}_p")]
+    more = [c for c in base.columns if c not in {"_g1", "_g2"} and not c.startswith(f"{ret}_p")]
     out = base.select(
-        *keys, "n_returns", "mean_ret", "sd_ret", *more,
+        *more,
         F.when(ok, F.col("sd_ret") * F.sqrt(F.lit(float(periods)))).otherwise(0.0).alias("volatility"),
         F.when(ok, F.col("_g1") * F.pow(shrink, F.lit(1.5))).otherwise(0.0).alias("skewness"),
         F.when(ok, (F.col("_g2") + 3) * shrink * shrink - 3).otherwise(0.0).alias("kurtosis"),
@@ -360,25 +369,13 @@ def profit_factor(ret: Column) -> Column:
     return F.when(losses > 0, gains / losses).when(gains > 0, F.lit(float("inf"))).otherwise(0.0)
 
 
-def grid_metrics(pos: DataFrame, keys: list[str] = PARAM_KEYS, periods: int = 252) -> DataFrame:
-    """The metric row of every parameter point."""
-    r = F.col("ret")
+def grid_metrics(bars: DataFrame, strategy: str, runs: list[Params], periods: int = 252, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The metric row of every run, numbered by ``param_id``; :mod:`grid` says how bars and runs meet."""
+    s = signal_rows(bars, strategy, runs)
+    keys = PARAM_KEYS
+    flags = s.with_columns({"_signals": F.transform("_signals", lambda x: F.coalesce(x, F.lit(0)).cast("tinyint"))})
+    out = _shape(run_statistics(flags.df, list(s.keys), hot_rows), periods)
     hours = F.create_map(*(F.lit(v) for kv in TIMEFRAME_HOURS.items() for v in kv))[F.col("timeframe")]
-    pos = cut(pos)  # read by the bar metrics and by the trades
-    tr = cut(trades(pos, keys))
-    bar = [
-        F.count("*").alias("n_bars"),
-        F.expm1(F.max_by("log_equity", "_rn")).alias("total_return"),
-        F.max("drawdown").alias("max_drawdown"),
-        F.max("bars_under_peak").alias("_dd_bars"),
-        F.stddev_pop(r).alias("_sdp"),
-        F.sqrt(F.avg(F.pow(F.least(r, F.lit(0.0)), F.lit(2)))).alias("_down"),
-        F.sum(F.greatest(r, F.lit(0.0))).alias("_up_sum"),
-        F.sum(F.greatest(-r, F.lit(0.0))).alias("_down_sum"),
-    ]
-    out = return_shape(pos, keys, "ret", periods, bar)
-    out = same_keys(out, trade_statistics(tr, keys, aggs=[F.avg("bars_held").alias("_held")]), keys, "left")
-    out = same_keys(out, streaks(tr, keys, "exit_bar", "pnl_pct"), keys, "left")
     root = F.sqrt(F.lit(float(periods)))
     annual = F.pow(1 + F.col("total_return"), F.lit(float(periods)) / F.col("n_bars")) - 1
     clip = lambda c, lo, hi: F.greatest(F.lit(lo), F.least(F.lit(hi), finite(c, 0.0)))
@@ -409,6 +406,6 @@ def backtest(bars: DataFrame, strategy: str, grid: dict[str, list]) -> DataFrame
     """
     st = STRATEGIES[strategy]
     runs = distinct_signals(strategy, grid_points(strategy, grid))
-    metrics = grid_metrics(positions(signals(bars, strategy, runs)))
+    metrics = grid_metrics(bars, strategy, runs)
     params = F.array(*(F.to_json(F.struct(*(F.lit(p[k]).alias(k) for k in st.signal_keys))) for p in runs))
     return metrics.select(F.lit(strategy).alias("strategy_type"), params[F.col("param_id")].alias("params"), *(c for c in metrics.columns if c != "param_id"))

@@ -249,7 +249,8 @@ def probabilistic_sharpe(spark, sf):
 FROM (SELECT symbol, param_id, exp(arg_max(le, rn)) - 1 AS total, max(drawdown) AS mdd, max(under) / 60.0 AS dd_hours FROM b6 GROUP BY 1, 2)
 LEFT JOIN (SELECT symbol, param_id, avg(bars_held) / 60.0 AS avg_trade_duration_hours FROM tr GROUP BY 1, 2) USING (symbol, param_id)"""))
 def recovery_and_duration(spark, sf):
-    m = sg.grid_metrics(breakout_positions(spark, sf))
+    pts = sg.distinct_signals("breakout", sg.grid_points("breakout", BREAKOUT_GRID))
+    m = sg.grid_metrics(bars(spark, sf), "breakout", pts)
     cols = ["avg_trade_duration_hours", "max_drawdown_duration_hours", "recovery_factor"]
     return rounded(m.select("symbol", "param_id", *cols), *cols)
 
