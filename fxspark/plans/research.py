@@ -15,6 +15,7 @@ from ..operators import research as rs
 from ..operators import scores as sc
 from ..operators import sets as st
 from ..operators import validation as va
+from ..operators import vector_lists as vl
 from ..operators import vectors as ve
 from .backtest import RET, daily_returns
 from .inputs import BARS, bars, r, rnd, rounded, table
@@ -329,6 +330,31 @@ def nearest_vectors(spark, sf):
     return rounded(ve.nearest(label_queries(spark, sf), store, 10), "score")
 
 
+# every hundredth vector against all of them
+HUNDREDTH = """s AS (SELECT vec_id AS item_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+c AS (SELECT q.item_id AS query_id, s.item_id, round(list_dot_product(q.v, s.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(s.v, s.v)), 12) AS score FROM s q, s WHERE q.item_id % 100 = 0)"""
+
+
+def hundredth(spark, sf):
+    store = vector_store(spark, sf)
+    return store.filter("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "vector"), store
+
+
+@query("J13_certified_lists", f"""WITH {HUNDREDTH} SELECT query_id, item_id, {r('score')} AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM c QUALIFY rank <= 10""")
+def certified_lists(spark, sf):
+    queries, store = hundredth(spark, sf)
+    return rounded(vl.search(queries, vl.build(store), 10, certify=True), "score")
+
+
+@query("J13_list_recall", "SELECT count(*) AS n_queries, true AS nine_in_ten FROM embeddings WHERE vec_id % 100 = 0")
+def list_recall(spark, sf):
+    """Probing alone, held against the exact search of all queries."""
+    queries, store = hundredth(spark, sf)
+    index = vl.build(store)
+    found = vl.recall(vl.search(queries, index, 10, probes=vl.calibrated(index, 10)), ve.nearest(queries, store, 10))
+    return found.select("n_queries", (F.col("recall") >= 0.9).alias("nine_in_ten"))
+
+
 @query("M18_novelty", f"WITH {VEC} SELECT query_id, {r('1 - max(score)')} AS novelty FROM c GROUP BY 1")
 def novelty(spark, sf):
     return rounded(ve.novelty(label_queries(spark, sf), vector_store(spark, sf)), "novelty")
