@@ -170,6 +170,8 @@ def records(file, size: int, start: int = 0, end: int | None = None):
                 break
             except ValueError:
                 place += 1
+        if place is None or place >= end:
+            return  # no record opens here, so damage in this range is an earlier range's to log
     while place is not None and place < end:
         try:
             record, following = _take(source, place)

@@ -86,3 +86,21 @@ def test_gaps_reach_the_log(spark, tmp_path):
     assert sorted(r.page_id for r in got if r.kind == "record") == [0, 1, 3, 4]
     assert sorted(r.ends - r.place for r in got if r.kind == "gap") == sorted([50, len(parts[2]) - 9, 4])
     assert all(r.reason for r in got if r.kind == "gap")
+
+
+def test_each_gap_is_logged_once_over_ranges():
+    """Damage that spans several ranges belongs to the range of the record in front of it."""
+    members = archive(40, True)
+    broken = [m if i < 5 or i >= 30 else m[:12] + b"\x00" * (len(m) - 12) for i, m in enumerate(members)]
+    data = b"".join(broken)
+    whole = list(warc.records(warc.io.BytesIO(data), len(data)))
+    gaps = [x[1:3] for x in whole if x[0] == "gap"]
+    assert len(gaps) == 1 and gaps[0] == (sum(map(len, broken[:5])), sum(map(len, broken[:30])))
+    for size in (50, 333, 1000, 5000, len(data)):
+        ranged = [x for a in range(0, len(data), size) for x in warc.records(warc.io.BytesIO(data), len(data), a, a + size)]
+        assert [x[1:3] for x in ranged if x[0] == "gap"] == gaps
+        assert [x[1] for x in ranged if x[0] == "record"] == [x[1] for x in whole if x[0] == "record"]
+    lead = b"".join(broken[6:20])  # nothing opens at all
+    for size in (100, 1500):
+        ranged = [x for a in range(0, len(lead), size) for x in warc.records(warc.io.BytesIO(lead), len(lead), a, a + size)]
+        assert [x[:3] for x in ranged] == [("gap", 0, len(lead))]
