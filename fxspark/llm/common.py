@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fxspark.session import work_dir
@@ -24,6 +24,12 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drawn(share: float | Column, *by: str | Column) -> Column:
+    """Whether a row belongs to a sample of about this share, by the 64-bit hash of ``by``; no share is too small to draw."""
+    share = F.lit(float(share)) if isinstance(share, (int, float)) else share
+    return (F.xxhash64(*by).cast("double") / 2.0**64 + 0.5) < share
+
+
 #: Texts may be long: Arrow batches hold so many rows and bytes, unless the session sets bounds of its own.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16m")}
 

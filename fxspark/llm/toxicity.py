@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fxspark.llm.common import bounded, raw, stored
+from fxspark.llm.common import bounded, drawn, raw, stored
 
 SAMPLE = 6_000  # documents of each class, about, that the fit sees
 TERMS = 4_096  # terms of the machine at most
@@ -131,9 +131,8 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, seed: int = 2
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = lambda c: int(1_000_000 * min(1.0, size / max(1, counts.get(c, 1))))
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000))
-    ids = known.filter(F.col("toxic").isin(0, 1)).filter(chance < F.when(F.col("toxic") == 1, share(1)).otherwise(share(0)))
+    share = lambda c: 2.0 if counts.get(c, 0) <= size else size / counts[c]
+    ids = known.filter(F.col("toxic").isin(0, 1)).filter(drawn(F.when(F.col("toxic") == 1, share(1)).otherwise(share(0)), "doc_id", F.lit(seed)))
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")  # about 2 * size ids
 
 

@@ -1,10 +1,15 @@
 import hashlib
+import time
 import re
 
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from fxspark.llm import private_data as pd_
 from fxspark.llm.char_tagger import Tagger, classes
+from fxspark.llm.common import drawn
 from tests.llm.conftest import DOCS, PROSE, rows
 
 CARD = "4532015112830366"
@@ -103,3 +108,40 @@ def test_long_stretches_are_reconciled(spark):
     whole = pd_._emissions(tagger, [classes(text)])[0]
     assert whole.shape == (len(text), tagger.k) and np.isfinite(whole).all()
     assert len(pd_.decoded(tagger, [text, "", "no digits"])) == 3
+
+
+def by_patterns(text):
+    return sorted((m.start(), i, m.end()) for i, k in enumerate(pd_.KINDS) for m in pd_.PATTERNS[k].finditer(text) if pd_.valid(k, m[0]))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="a@.-_1 2+(9%\né0", max_size=60))
+def test_linear_matching_equals_the_patterns(text):
+    assert pd_.base(text) == by_patterns(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a@b.c", "x_y@z-w.org", "1.2.3.4", "1.2.3.4.5.6.7.8.9", "256.1.1.1", "@", ".", "4524132264652876", " ", "+1 (269) 555-3296", "q@q", "_", "..", "7"]), max_size=12))
+def test_linear_matching_of_parts_that_touch(parts):
+    text = "".join(parts)
+    assert pd_.base(text) == by_patterns(text)
+
+
+def test_long_unbroken_runs_take_linear_time():
+    for text in ("1" * 1_000_000, "a" * 1_000_000 + " @", "1." * 400_000, "a@" * 300_000, "+" + " " * 1_000_000, "@" + "b" * 1_000_000, "a@" + "b." * 300_000 + "-"):
+        began = time.perf_counter()
+        found = pd_.base(text)
+        assert time.perf_counter() - began < 4, text[:10]
+        if text.startswith("1."):
+            assert len(found) == 100_000  # four parts each
+
+
+def test_small_shares_still_draw(spark):
+    rows = spark.range(0, 400_000, numPartitions=8)
+    for share in (1.0, 0.25, 1e-3):
+        n = rows.filter(drawn(share, "id")).count()
+        assert abs(n - 400_000 * share) <= 6 * (400_000 * share) ** 0.5
+    # hashes just above the least one: shares far below one in a million keep their size
+    for share in (1e-7, 6e-11):
+        edge = spark.range(1).select((F.lit(-(2**63) + int(0.5 * share * 2**64)).cast("double") / 2.0**64 + 0.5 < share).alias("in"), (F.lit(-(2**63) + int(1.5 * share * 2**64)).cast("double") / 2.0**64 + 0.5 < share).alias("out"))
+        assert tuple(edge.first()) == (True, False)
