@@ -4,8 +4,11 @@ A term is a word, or the first four to seven characters that one, two or three d
 to 32 bits. Besides a weight each term has a vector, and the product of two terms' vectors is the weight of their meeting in
 one text, which weights of single terms miss. Terms are present or not, so a text's length does not thin out what is in it.
 
-Learning takes a bounded sample: about SAMPLE labelled documents of each class. Spark counts the sample's terms by
-class and keeps the TERMS most telling ones; the machine is fitted on those in numpy. Scoring covers every whole text.
+Learning takes a bounded sample: about SAMPLE labelled documents of each class. Two machines are fitted on it in numpy. The wide one has a place
+for every term, in a table of 2 ** BITS hashed places, so that terms which tell nothing alone can meet. The narrow one has the TERMS terms
+whose presence differs most between the classes, as Spark counts them; with few labels it keeps the noise of thousands of
+single words out. Each learns from four fifths of the sample, and the one with the less loss on the rest is fitted again on all and scores.
+Scoring covers every whole text.
 
 Null and empty texts have no terms and get the score of the bias. Documents with several labels count as toxic if one label
 is 1; null labels are ignored. Repeated rows are scored each. Without both classes every score is the share of toxic
@@ -26,7 +29,10 @@ from pyspark.sql import functions as F
 from fxspark.llm.common import bounded, drawn, raw, stored
 
 SAMPLE = 6_000  # documents of each class, about, that the fit sees
-TERMS = 4_096  # terms of the machine at most
+TERMS = 4_096  # terms of the narrow machine at most
+BITS = 18  # the wide machine has 2 ** BITS places
+WIDE = dict(epochs=40, decay=1e-3)  # how the wide machine learns; it stops when the fifth that it does not see gets worse
+PATIENCE = 4  # epochs without a better loss
 LEAST_DOCS = 3  # sampled documents that a term must be in
 FACTORS = 8
 SURE = 0.7
@@ -53,11 +59,11 @@ def words(text: bytes | None) -> set[bytes]:
 
 
 class Terms(dict):
-    """Terms of words, remembered for up to ``most`` words; with ``kept`` only those, as places there."""
+    """Terms of words, remembered for up to ``most`` words; with ``kept`` only those, as places there, with ``wide`` as hashed places."""
 
-    def __init__(self, kept: np.ndarray | None = None, most: int = 300_000):
+    def __init__(self, kept: np.ndarray | None = None, most: int = 300_000, wide: bool = False):
         super().__init__()
-        self.most, self.place = most, None
+        self.most, self.place, self.wide = most, None, wide
         if kept is not None:
             self.place = {int(t): i for i, t in enumerate(kept)}
             # a word's own term matters if it, or a level of it, is kept
@@ -75,6 +81,8 @@ class Terms(dict):
         terms = set(counts)
         for level, turn in LEVELS.items():
             terms.update(t ^ turn for t, n in counts.items() if n >= level)
+        if self.wide:
+            return {t >> 32 - BITS for t in terms}
         return terms if self.place is None else {self.place[t] for t in terms if t in self.place}
 
 
@@ -89,41 +97,48 @@ class Machine:
         index = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
         own = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         single = np.bincount(own, self.w[index], minlength=len(rows))
-        total = np.zeros((len(rows), self.v.shape[1]))
-        np.add.at(total, own, self.v[index])
+        total = np.stack([np.bincount(own, self.v[index, j], minlength=len(rows)) for j in range(self.v.shape[1])], axis=1)
         square = np.bincount(own, (self.v[index] ** 2).sum(1), minlength=len(rows))
         return self.bias + single + 0.5 * ((total**2).sum(1) - square)
 
     def score(self, rows: list[np.ndarray]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.raw(rows), -40, 40)))
 
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = 25, batch: int = 256, rate: float = 0.1, decay: float = 2e-4, seed: int = 2) -> None:
-        """Logistic loss by Adagrad over shuffled batches."""
+    def loss(self, rows: list[np.ndarray], y: np.ndarray) -> float:
+        p = np.clip(self.score(rows), 1e-12, 1 - 1e-12)
+        return float(-np.where(y > 0, np.log(p), np.log(1 - p)).mean())
+
+    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = 25, batch: int = 256, rate: float = 0.1, decay: float = 2e-4, seed: int = 2, unseen: tuple | None = None) -> tuple[float, int]:
+        """Logistic loss by Adagrad over shuffled batches; the least loss on ``unseen`` (rows, y) and its epoch, where learning ends PATIENCE epochs later."""
+        best = (np.inf, 0)
         r = np.random.default_rng(seed)
         gw, gv, gb = np.full_like(self.w, 1e-6), np.full_like(self.v, 1e-6), 1e-6
         p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
         self.bias = float(np.log(p / (1 - p)))
-        for _ in range(epochs):
+        for epoch in range(1, epochs + 1):
             order = r.permutation(len(y))
             for at in range(0, len(y), batch):
                 pick = order[at : at + batch]
                 some = [rows[i] for i in pick]
                 error = (self.score(some) - y[pick]) / len(pick)
                 index, own = np.concatenate(some).astype(np.int64), np.repeat(np.arange(len(some)), [len(s) for s in some])
-                total = np.zeros((len(some), self.v.shape[1]))
-                np.add.at(total, own, self.v[index])
-                dw, dv = np.zeros_like(self.w), np.zeros_like(self.v)
-                np.add.at(dw, index, error[own])
-                np.add.at(dv, index, error[own][:, None] * (total[own] - self.v[index]))
-                seen = np.unique(index)
-                dw[seen] += decay * self.w[seen]
-                dv[seen] += decay * self.v[seen]
-                gw += dw**2
-                gv += dv**2
+                seen, at_seen = np.unique(index, return_inverse=True)  # only these change
+                v = self.v[index]
+                total = np.stack([np.bincount(own, v[:, j], minlength=len(some)) for j in range(v.shape[1])], axis=1)
+                back = error[own][:, None] * (total[own] - v)
+                dw = np.bincount(at_seen, error[own]) + decay * self.w[seen]
+                dv = np.stack([np.bincount(at_seen, back[:, j]) for j in range(v.shape[1])], axis=1) + decay * self.v[seen]
+                gw[seen] += dw**2
+                gv[seen] += dv**2
                 gb += error.sum() ** 2
-                self.w -= rate * dw / np.sqrt(gw)
-                self.v -= rate * dv / np.sqrt(gv)
+                self.w[seen] -= rate * dw / np.sqrt(gw[seen])
+                self.v[seen] -= rate * dv / np.sqrt(gv[seen])
                 self.bias -= rate * error.sum() / np.sqrt(gb)
+            if unseen:
+                best = min(best, (self.loss(*unseen), epoch))
+                if epoch - best[1] >= PATIENCE:
+                    break
+        return best
 
 
 def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, seed: int = 23) -> DataFrame:
@@ -163,8 +178,8 @@ def telling(sampled: DataFrame, terms: int = TERMS) -> np.ndarray:
     return np.array(sorted(r["term"] for r in found), dtype=np.int64)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Machine]:
-    """Kept terms and the fitted machine."""
+def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray | None, Machine]:
+    """The fitted machine and its terms: those kept by the narrow machine, None for the wide one."""
     sampled = stored(sample(docs, labels), "toxicity-sample")
     sizes = {r["toxic"]: r["n"] for r in sampled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
@@ -174,23 +189,38 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Machine]:
     kept = telling(sampled)
 
     def places(parts):
-        cache = Terms(kept)
+        few, all_ = Terms(kept), Terms(wide=True)
         for part in parts:
-            rows = [sorted(cache.of(t)) for t in raw(part.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), part.column(1)], ["terms", "toxic"])
-
-    found = sampled.mapInArrow(places, "terms array<int>, toxic int").collect()  # about 2 * SAMPLE rows
-    rows = sorted(found, key=lambda r: (r["toxic"], r["terms"]))  # the same fit whatever order tasks end in
+            cols = [pa.array([np.array(sorted(terms.of(t)), "<i4").tobytes() for t in raw(part.column(0))], pa.binary()) for terms in (few, all_)]
+            yield pa.RecordBatch.from_arrays([*cols, part.column(1)], ["few", "every", "toxic"])
+
+    found = sampled.mapInArrow(places, "few binary, every binary, toxic int").collect()  # about 2 * SAMPLE rows
+    found = sorted(found, key=lambda r: (r["toxic"], bytes(r["every"]), bytes(r["few"])))  # the same fit whatever order tasks end in
+    y = np.array([r["toxic"] for r in found], dtype=np.float64)
+    narrow, wide = ([np.frombuffer(r[c], "<i4").astype(np.int64) for r in found] for c in ("few", "every"))
+    fold = np.arange(len(y)) % 5 == 4
+    learnt, unseen = (lambda rows, at: [rows[i] for i in np.flatnonzero(at)]), {}
+    for name, rows, machine, how in (("narrow", narrow, Machine(len(kept)), {}), ("wide", wide, Machine(1 << BITS), WIDE)):
+        check = learnt(rows, fold), y[fold]
+        unseen[name] = machine.fit(learnt(rows, ~fold), y[~fold], unseen=check if how else None, **how) if fold.any() and len(set(y[~fold])) == 2 else (np.inf, 0)
+        if not how and fold.any():
+            unseen[name] = machine.loss(*check), 0
+    loss, epochs = unseen["wide"]
+    if loss < unseen["narrow"][0]:
+        machine = Machine(1 << BITS)
+        machine.fit(wide, y, **{**WIDE, "epochs": epochs})
+        machine.w, machine.v = machine.w.astype(np.float32), machine.v.astype(np.float32)
+        return None, machine
     machine = Machine(len(kept))
-    machine.fit([np.array(r["terms"], dtype=np.int64) for r in rows], np.array([r["toxic"] for r in rows], dtype=np.float64))
+    machine.fit(narrow, y)
     return kept, machine
 
 
-def scored(docs: DataFrame, kept: np.ndarray, machine: Machine) -> DataFrame:
+def scored(docs: DataFrame, kept: np.ndarray | None, machine: Machine) -> DataFrame:
     """doc_id, held_out, score and predicted of every whole text."""
 
     def run(parts):
-        cache = Terms(kept)
+        cache = Terms(kept, wide=kept is None)
         for part in parts:
             rows = [np.fromiter(cache.of(t), dtype=np.int64) for t in raw(part.column(1))]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(machine.score(rows), pa.float64())], ["doc_id", "score"])

@@ -71,3 +71,20 @@ def test_held_out_accuracy(spark):
     n = {(r.toxic, r.predicted): r["count"] for r in rows_}
     assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) > 0.8
     assert n.get((0, 1), 0) / (n[0, 0] + n.get((0, 1), 0)) < 0.01
+
+
+def test_pairs_are_learnt_from_documents(spark):
+    """Labels follow only from whether two words stand together or not at all: neither tells anything alone."""
+    r = np.random.default_rng(1)
+    data, labels = [], []
+    for i in range(6000):
+        k = int(r.integers(4))
+        words = [f"word{j}x" for j in r.choice(300, 10, replace=False)] + ["harmless"] * (k & 1) + ["innocent"] * (k >> 1)
+        r.shuffle(words)
+        data.append((i, " ".join(words), "en", "s", 0))
+        labels.append((i, 1, int(k in (0, 3))))
+    docs, marks = spark.createDataFrame(data, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept, machine = tx.train(docs, marks)
+    assert kept is None and len(machine.w) == 2**18
+    got = [(r.score > 0.5) == (labels[r.doc_id][2] == 1) for r in tx.scored(docs, kept, machine).collect() if r.held_out]
+    assert np.mean(got) > 0.9
