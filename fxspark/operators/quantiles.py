@@ -3,8 +3,8 @@
 The built-in ``percentile`` keeps one map of all distinct values of a group in one task. That is the
 fastest way for groups of ordinary size and impossible for a group holding a large share of all rows.
 So the largest group is measured first, with a count over the key columns only. Groups above
-``hot_rows`` take a second path: values are counted, cut into ranges, ranked by a block scan and picked
-by rank, all of it spread over the cluster. Both paths are exact.
+``hot_rows`` take a second path: distinct values are counted, dealt out by range over all groups together, ranked by a block
+scan and picked by rank. What a row costs does not depend on how large its group is. Both paths are exact.
 """
 
 from __future__ import annotations
@@ -12,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import kept
 from .joins import same_keys
 from .series import Series
 
 HOT_ROWS = 1_000_000
-RANGE_ROWS = 250_000  # rows of the largest group that one range holds, about
+RANGE_ROWS = 250_000  # rows of the large groups that one range holds, about
 
 
 def percentile_columns(metrics: list[str], probs: dict[str, float]) -> tuple[list[Column], list[Column]]:
@@ -29,22 +29,20 @@ def percentile_columns(metrics: list[str], probs: dict[str, float]) -> tuple[lis
 
 
 def hot_groups(df: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame | None, int]:
-    """Keys of the groups above ``hot_rows`` (None if there is none) and the largest size. Runs one small job."""
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
-    return sizes.filter(F.col("_n") > hot_rows).select(*keys) if largest > hot_rows else None, largest
+    """Keys of the groups above ``hot_rows`` (None if there is none) and how many rows these have together. Runs one small job."""
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
+    rows = sizes.agg(F.sum("_n")).first()[0] or 0
+    return sizes.select(*keys) if rows else None, rows
 
 
 def _ranked(df: DataFrame, keys: list[str], metrics: list[str], probs: dict[str, float], n_ranges: int) -> DataFrame:
     group = [*keys, "metric"]
     long = df.unpivot(keys, metrics, "metric", "v").filter(F.col("v").isNotNull())
-    counted = cut(long.groupBy(*group, "v").agg(F.count("*").alias("cnt")))
-    bounds = counted.groupBy(*group).agg(
-        F.sum("cnt").alias("n"),
-        F.percentile_approx("v", [i / n_ranges for i in range(1, n_ranges)], max(10000, 4 * n_ranges)).alias("_cuts"),
-    )
-    ranged = same_keys(counted, bounds, group).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("v"))))
-    cum = Series(ranged.drop("_cuts"), tuple(group), ("v",), ("_range",)).scan({"_cum": ("sum", F.col("cnt"))}).df
+    counted = long.groupBy(*group, "v").agg(F.count("*").alias("cnt"))
+    # Spark samples the bounds of the ranges and finds each value's range by halving; stored, because other runs may draw other bounds
+    ranged = kept(counted.repartitionByRange(n_ranges, *group, "v").withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy(*group).agg(F.sum("cnt").alias("n"))
+    cum = Series(same_keys(ranged, totals, group), tuple(group), ("v",), ("_range",)).scan({"_cum": ("sum", F.col("cnt"))}).df
     picks, cols = [], []
     for nm, p in probs.items():
         at = F.lit(float(p)) * (F.col("n") - 1)
@@ -74,7 +72,7 @@ def group_quantiles(
     the hours of a day or the days of a calendar.
     """
     arrays, cols = percentile_columns(metrics, probs)
-    hot, largest = hot_groups(df, keys, hot_rows) if hot_rows is not None else (None, 0)
+    hot, rows = hot_groups(df, keys, hot_rows) if hot_rows is not None else (None, 0)
     small_src = df if hot is None else same_keys(df, hot, keys, "left_anti")
     agg = small_src.groupBy(*keys).agg(*aggs, *arrays)
     kept = [c for c in agg.columns if not c.startswith("_q_")]
@@ -82,7 +80,7 @@ def group_quantiles(
     if hot is None:
         return small
     big_src = same_keys(df, hot, keys, "left_semi")
-    ranked = _ranked(big_src, keys, metrics, probs, max(16, -(-largest // RANGE_ROWS)))
+    ranked = _ranked(big_src, keys, metrics, probs, max(16, -(-rows * len(metrics) // RANGE_ROWS)))
     # a group without any value of a metric has no rank to pick and stays with NULL
     groups = big_src.groupBy(*keys).agg(*aggs) if aggs else hot
     return small.unionByName(same_keys(groups, ranked, keys, "left"))
