@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.market import SESSION_HOURS, session_of
 from ..functions.stats import correlation
 from . import indicators as ind
-from ..session import cut
+from ..session import cut, kept
+from .isolation import anomalies
 from .joins import same_keys
 from .quantiles import group_quantiles
 from .series import Series
@@ -147,6 +148,28 @@ def daily_anomalies(daily: DataFrame, contamination: float = 0.1) -> DataFrame:
     return flagged.select("pair", "date", "daily_volume", "is_anomaly", "anomaly_score").unionByName(first)
 
 
+def isolated_days(daily: DataFrame, contamination: float = 0.1, **forest) -> DataFrame:
+    """Unusual days per pair by isolation trees over [volume, lag 1, lag 2]; days without both lags are never flagged."""
+    rl = Series.of(daily, ["pair"], ["date"], {"_year": F.trunc("date", "year")}).rolling(2)
+    rl.add({"lag1": rl.lag("daily_volume"), "lag2": rl.lag("daily_volume", 2)})
+    return _isolated(rl.done(), ["date"], "lag2", ["daily_volume", "lag1", "lag2"], contamination, **forest)
+
+
+def isolated_hours(totals: DataFrame, contamination: float = 0.1, **forest) -> DataFrame:
+    """Unusual (date, hour) per pair by isolation trees over [volume, lag 1, weekday]; the first hour of a pair is never flagged."""
+    rl = Series.of(totals, ["pair"], ["date", "hour_gmt"], {"_month": F.trunc("date", "month")}).rolling(1)
+    rl.add({"lag1": rl.lag("hourly_volume"), "dow": F.weekday("date")})
+    return _isolated(rl.done(), ["date", "hour_gmt"], "lag1", ["hourly_volume", "lag1", "dow"], contamination, **forest)
+
+
+def _isolated(rows: DataFrame, order: list[str], lag: str, feats: list[str], contamination: float, **forest) -> DataFrame:
+    rows = kept(rows, "lags")
+    own = ["pair", *order, feats[0]]
+    found = anomalies(rows.filter(F.col(lag).isNotNull()), ["pair"], feats, order, contamination, **forest)
+    first = rows.filter(F.col(lag).isNull()).select(*own, F.lit(0).alias("is_anomaly"), F.lit(None).cast("double").alias("anomaly_score"))
+    return found.select(*own, "is_anomaly", "anomaly_score").unionByName(first)
+
+
 def hourly_anomalies(totals: DataFrame, contamination: float = 0.1) -> DataFrame:
     """Unusual (date, hour) per pair by [volume, lag 1] against rows of the same weekday."""
     rl = Series.of(totals, ["pair"], ["date", "hour_gmt"], {"_month": F.trunc("date", "month")}).rolling(1)

@@ -9,6 +9,7 @@ from ..operators import models as md
 from ..operators import quality as ql
 from ..operators import ranking as rk
 from ..operators import volume as vo
+from ..operators.series import Series
 from .bars import TR, fr, full, step, win
 from .inputs import BARS, bars, r, rnd, rounded, table, unnamed, unnamed_bars
 from .registry import SQL, query
@@ -135,6 +136,24 @@ def hourly_anomalies(spark, sf):
     return as_text(rounded(vo.hourly_anomalies(vo.date_hour_totals(bars(spark, sf))), "anomaly_score"))
 
 
+# each 29th hour of a pair is planted: a hundred times its volume and more
+PLANTED = f"""{B}, {TOTALS}, n AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY date, hour_gmt) AS rn FROM t)"""
+
+
+def planted_hours(spark, sf):
+    rl = Series.of(vo.date_hour_totals(bars(spark, sf)), ["pair"], ["date", "hour_gmt"], {"_month": F.trunc("date", "month")}).number().result()
+    high = F.when(F.col("_rn") % 29 == 0, 100 * F.col("hourly_volume") + 10_000).otherwise(F.col("hourly_volume"))
+    return rl.withColumns({"planted": F.col("_rn") % 29 == 0, "hourly_volume": high}).drop("_rn")
+
+
+@query("M9_isolated_hours", f"""WITH {PLANTED} SELECT pair, count(*) AS n_hours, count(*) FILTER (rn % 29 = 0) AS planted, count(*) FILTER (rn % 29 = 0) AS caught FROM n GROUP BY 1""")
+def isolated_hours(spark, sf):
+    """Planted hours that isolation trees flag at a share of a tenth. The hour behind a planted one has an unusual lag and may be flagged too."""
+    p = planted_hours(spark, sf)
+    found = vo.isolated_hours(p.drop("planted")).join(p.select("pair", "date", "hour_gmt", "planted"), ["pair", "date", "hour_gmt"])
+    return found.groupBy("pair").agg(F.count("*").alias("n_hours"), F.count_if("planted").alias("planted"), F.count_if(F.col("planted") & (F.col("is_anomaly") == 1)).alias("caught"))
+
+
 @query("M9_null_pair", unnamed(SQL["M9_hourly_anomalies"], "pair"))
 def hourly_anomalies_without_name(spark, sf):
     return as_text(rounded(vo.hourly_anomalies(vo.date_hour_totals(unnamed_bars(spark, sf))), "anomaly_score"))
