@@ -208,6 +208,39 @@ def next_volume_forecast(totals: DataFrame, train_share: float = 0.8, min_points
         *keys, "n_points", F.coalesce(F.col("_a") + F.col("_b") * F.col("_last"), F.col("_m")).alias("next_volume_forecast"), "holdout_mae")
 
 
+def autoregression(totals: DataFrame, max_order: int = 3, min_points: int = 5) -> DataFrame:
+    """One-step forecast per (pair, hour) by the autoregression whose order, up to ``max_order``, has the least AIC.
+
+    One pass over blocks of rows gives the products of centred volumes at each lag; Levinson and Durbin's recursion turns their
+    sums into the coefficients of every order, column by column, and ``n ln(error) + 2 (order + 1)`` picks one. A series that never
+    changes has order 0 and forecasts its mean; of equal criteria the smaller order wins. Series with fewer than ``min_points`` days are left out.
+    """
+    keys = ["pair", "hour_gmt"]
+    totals = kept(totals.select(*keys, "date", F.col("hourly_volume").cast("double").alias("_x")).filter(F.col("_x").isNotNull()), "totals")
+    mean = totals.groupBy(*keys).agg(F.avg("_x").alias("mean"), F.count("*").alias("n_points"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")).filter(F.col("n_points") >= min_points)
+    rows = same_keys(totals, mean, keys).withColumn("_x", F.when(F.col("_lo") < F.col("_hi"), F.col("_x") - F.col("mean")).otherwise(0.0))
+    rl = Series.of(rows, keys, ["date"], {"_year": F.trunc("date", "year")}).rolling(max_order)
+    rl.add({f"_x{k}": rl.lag("_x", k) for k in range(1, max_order + 1)})
+    fit = rl.series().df.groupBy(*keys).agg(
+        F.max("n_points").alias("n_points"), F.max("mean").alias("mean"), F.sum(F.col("_x") * F.col("_x")).alias("_r0"),
+        *(F.coalesce(F.sum(F.col("_x") * F.col(f"_x{k}")), F.lit(0.0)).alias(f"_r{k}") for k in range(1, max_order + 1)),
+        F.max_by("_x", "_rn").alias("_last0"), *(F.max_by(f"_x{k}", "_rn").alias(f"_last{k}") for k in range(1, max_order)))
+    zero = F.lit(0.0)
+    fit = fit.withColumn("_e0", F.col("_r0") / F.col("n_points"))
+    for m in range(1, max_order + 1):
+        a = lambda j, m=m: F.col(f"_a{m - 1}_{j}")
+        gap = F.col(f"_r{m}") - sum((a(j) * F.col(f"_r{m - j}") for j in range(1, m)), zero)
+        fit = fit.withColumn("_k", F.coalesce(F.try_divide(gap, F.col(f"_e{m - 1}") * F.col("n_points")), zero))
+        fit = fit.withColumns({f"_a{m}_{m}": F.col("_k"), f"_e{m}": F.col(f"_e{m - 1}") * (1 - F.col("_k") * F.col("_k")), **{f"_a{m}_{j}": a(j) - F.col("_k") * a(m - j) for j in range(1, m)}})
+    orders = range(max_order + 1)
+    aic = F.array_sort(F.array(*(F.struct((F.col("n_points") * F.ln(F.when(F.col(f"_e{m}") > 0, F.col(f"_e{m}"))) + 2 * (m + 1)).alias("aic"), F.lit(m).alias("order")) for m in orders)))
+    best = F.filter(aic, lambda s: s["aic"].isNotNull())
+    fit = fit.withColumn("ar_order", F.coalesce(F.get(best, F.lit(0))["order"], F.lit(0)))
+    chosen = F.get(F.array(*(F.array(*(F.col(f"_a{m}_{j}") for j in range(1, m + 1))).cast("array<double>") for m in orders)), F.col("ar_order"))
+    ahead = F.get(F.array(*(sum((F.col(f"_a{m}_{j}") * F.coalesce(f"_last{j - 1}", zero) for j in range(1, m + 1)), zero) for m in orders)), F.col("ar_order"))
+    return fit.select(*keys, "n_points", "ar_order", chosen.alias("coefficients"), (F.col("mean") + ahead).alias("next_volume_forecast"))
+
+
 def run_summary(anomalies: DataFrame, forecasts: DataFrame) -> DataFrame:
     """Per pair: days, flagged days, forecast count and mean forecast."""
     a = anomalies.groupBy("pair").agg(F.count("*").alias("days"), F.count_if(F.col("is_anomaly") == 1).alias("anomalies"))

@@ -172,6 +172,19 @@ def next_volume_forecast(spark, sf):
     return rounded(vo.next_volume_forecast(vo.date_hour_totals(bars(spark, sf))), "next_volume_forecast", "holdout_mae")
 
 
+@query("M10_autoregression", f"""WITH {B}, {TOTALS}, m AS (SELECT pair, hour_gmt, avg(hourly_volume) AS mean, count(*) AS n FROM t GROUP BY 1, 2 HAVING count(*) >= 5),
+x AS (SELECT pair, hour_gmt, n, mean, hourly_volume - mean AS x, lag(hourly_volume - mean) OVER w AS x1, lag(hourly_volume - mean, 2) OVER w AS x2, row_number() OVER w AS rn FROM t JOIN m USING (pair, hour_gmt)
+  WINDOW w AS (PARTITION BY pair, hour_gmt ORDER BY date)),
+s AS (SELECT pair, hour_gmt, max(n) AS n, max(mean) AS mean, sum(x * x) AS r0, coalesce(sum(x * x1), 0) AS r1, coalesce(sum(x * x2), 0) AS r2, arg_max(x, rn) AS l0, arg_max(x1, rn) AS l1 FROM x GROUP BY 1, 2),
+c AS (SELECT *, r1 / r0 AS k1, (r1 * r0 - r1 * r2) / (r0 * r0 - r1 * r1) AS b1, (r0 * r2 - r1 * r1) / (r0 * r0 - r1 * r1) AS b2 FROM s),
+e AS (SELECT *, n * ln(r0 / n) + 2 AS c0, n * ln(r0 / n * (1 - k1 * k1)) + 4 AS c1, n * ln(r0 / n * (1 - k1 * k1) * (1 - b2 * b2)) + 6 AS c2 FROM c)
+SELECT pair, hour_gmt, n AS n_points, CASE WHEN c0 <= c1 AND c0 <= c2 THEN 0 WHEN c1 <= c2 THEN 1 ELSE 2 END AS ar_order,
+  {r('CASE WHEN c0 <= c1 AND c0 <= c2 THEN mean WHEN c1 <= c2 THEN mean + k1 * l0 ELSE mean + b1 * l0 + b2 * l1 END')} AS next_volume_forecast FROM e""")
+def autoregression(spark, sf):
+    """Orders up to two, whose coefficients SQL has in closed form from the normal equations."""
+    return rounded(vo.autoregression(vo.date_hour_totals(bars(spark, sf)), max_order=2).drop("coefficients"), "next_volume_forecast")
+
+
 @query("M10_null_pair", unnamed(SQL["M10_next_volume_forecast"], "pair"))
 def forecast_without_name(spark, sf):
     return rounded(vo.next_volume_forecast(vo.date_hour_totals(unnamed_bars(spark, sf))), "next_volume_forecast", "holdout_mae")
