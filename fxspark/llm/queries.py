@@ -59,7 +59,19 @@ def op10_minimum_slack_packing(spark, sf_dir):
     return slack_packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-@query("op5_ngram_join")
+OP5_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM g a JOIN g b USING (s) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 75 * (a.n + b.n - k)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id WHERE r.root < e.y)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id"""
+
+
+@query("op5_ngram_join", OP5_SQL)
 def op5_ngram_join(spark, sf_dir):
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
@@ -168,3 +180,47 @@ def op13_fill_middle(spark, sf_dir):
     back = fill_middle.restored(F.col("output"), F.col("form"))
     return made.select("doc_id", "n", "form", F.col("a").alias("prefix_chars"), (F.col("b") - F.col("a")).alias("middle_chars"),
                        F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+# What SQL can say of operators that it cannot express whole.
+
+PRIVATE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) AS n_email, regexp_extract_all(t, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)') AS ips,
+             list_transform(regexp_extract_all(t, '[0-9](?:[\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[\x20-]', '', 'g')) AS cards,
+             list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g'))) AS phones FROM d),
+c AS (SELECT *, list_transform(list_filter(cards, lambda x: length(x) BETWEEN 14 AND 19), lambda x: list_transform(string_split(reverse(x), ''), lambda y, i: CAST(y AS INTEGER) * (1 + (i - 1) % 2))) AS doubled FROM m)
+SELECT doc_id, n_email, len(list_filter(ips, lambda x: len(list_filter(string_split(x, '.'), lambda p: CAST(p AS HUGEINT) > 255)) = 0)) AS n_ip,
+       len(list_filter(doubled, lambda x: list_sum(list_transform(x, lambda y: CASE WHEN y > 9 THEN y - 9 ELSE y END)) % 10 = 0)) AS n_card, len(list_filter(phones, lambda n: n BETWEEN 10 AND 15)) AS n_phone FROM c"""
+
+
+@query("private_data_counts", PRIVATE_SQL)
+def private_data_counts(spark, sf_dir):
+    """Base spans by kind, without a tagger."""
+    return private_data.found(table(spark, sf_dir, "documents"), None).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+TARGETS_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, sum(size) AS size, 1 + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 AS w FROM d GROUP BY source),
+o AS (SELECT *, 3.0 * size / w AS stop, row_number() OVER (ORDER BY 3.0 * size / w, source) AS k FROM s),
+u AS (SELECT k, stop, (sum(size) OVER () - 3 * coalesce(sum(size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+             / sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit FROM o),
+f AS (SELECT arg_min(unit, k) AS unit FROM u WHERE unit <= stop)
+SELECT doc_id, d.size, CAST(o.size AS BIGINT) AS source_size, CAST(floor(least(3.0 * o.size, unit * w) + 0.5) AS BIGINT) AS target FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source, f"""
+
+
+@query("mixing_targets", TARGETS_SQL)
+def mixing_targets(spark, sf_dir):
+    chosen = op7_sainte_lague_mix(spark, sf_dir)
+    return chosen.select("doc_id", "size", "source_size", F.floor(F.col("target") + 0.5).alias("target"))
+
+
+EDITS_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC) AS following, first_value(coalesce(text, '')) OVER (ORDER BY doc_id DESC) AS first FROM documents)
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(substr(text, 1, length(text) - length(text) // 2) || substr(coalesce(following, first), 1, length(text) // 2)) AS edited_sha256 FROM d"""
+
+
+@query("piecewise_hash_edits", EDITS_SQL)
+def piecewise_hash_edits(spark, sf_dir):
+    return op8_piecewise_hash(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
