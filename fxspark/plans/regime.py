@@ -183,6 +183,12 @@ def component_checks(spark, sf):
                       F.lit(rows[-1]["cumulative"] >= 0.95).alias("reaches_threshold"))
 
 
+@query("M7_two_components", f"""WITH c AS (SELECT abs(corr(close, volume)) AS c FROM ({BARS})) SELECT 1 AS component, {r('(1 + c) / 2')} AS explained FROM c UNION ALL SELECT 2, {r('(1 - c) / 2')} FROM c""")
+def two_components(spark, sf):
+    """Two columns, whose components SQL has in closed form: the shares are (1 + |correlation|) / 2 and the rest."""
+    return rounded(md.principal_components(bars(spark, sf), ["close", "volume"], threshold=1.0)[1].select("component", "explained"), "explained")
+
+
 @query("M12_mixture_checks", f"""WITH {PRICED} SELECT count(*) AS n_rows, 0 AS bad_sums, 0 AS other_state, 0 AS other_confidence, 0 AS wrong_order FROM f""")
 def mixture_checks(spark, sf):
     """Rows, probabilities that do not add up, labels and confidences that are not the largest probability, states out of order."""
@@ -213,6 +219,14 @@ def batch_predictions(spark, sf):
     return md.batch_predictions(next_close_rows(spark, sf), NEXT_FEATURES, "next_close", "linear", "1", ["symbol", "timeframe", "ts"])
 
 
+@query("M20_single_feature", f"""WITH b AS ({BARS}), m AS (SELECT regr_slope(volume, close) AS s, regr_intercept(volume, close) AS i FROM b)
+SELECT symbol, ts, {r('i + s * close')} AS pred_volume FROM b, m""")
+def single_feature(spark, sf):
+    """One feature: SQL has the same line by its aggregates."""
+    p = md.batch_predictions(bars(spark, sf), ["close"], "volume", "linear", "1", ["symbol", "ts"])
+    return rounded(p.select("symbol", "ts", F.col("pred_next_close").alias("pred_volume")), "pred_volume")
+
+
 @query("M20_prediction_checks", f"""WITH {PRICED} SELECT count(*) AS n_rows, count(DISTINCT symbol) AS n_newest, 0 AS unscored, 0 AS unbalanced FROM f""")
 def prediction_checks(spark, sf):
     """Rows scored, newest rows among them, rows without a prediction, and features (and the constant) that still correlate with the errors of the training rows."""

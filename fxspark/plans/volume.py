@@ -276,6 +276,14 @@ def forest_checks(spark, sf):
     return f.agg(F.round(F.sum("score"), 9).alias("total"), F.count("*").alias("n_features"), F.count_if(F.col("score") < 0).alias("negative"))
 
 
+@query("M11_planted_feature", f"SELECT 'planted' AS best, count(*) AS n_rows, count(DISTINCT symbol) AS n_classes FROM ({BARS})")
+def planted_feature(spark, sf):
+    """A feature that follows from the class must be the most important one."""
+    b = bars(spark, sf).withColumn("planted", F.crc32(F.col("symbol").cast("binary")).cast("double"))
+    best = md.forest_importance(b, "symbol", [*FEATS, "planted"], trees=20).agg(F.max_by("feature", "score").alias("best"))
+    return b.agg(F.count("*").alias("n_rows"), F.count_distinct("symbol").alias("n_classes")).withColumn("best", best.scalar())
+
+
 @query("O10_top_features", f"""WITH {F_STAT}, {MI}, a AS (SELECT 'f_statistic' AS method, * FROM fs UNION ALL SELECT 'mutual_information', * FROM mi)
 SELECT method, feature, {r('score')} AS score, row_number() OVER (PARTITION BY method ORDER BY round(a.score, 9) DESC, feature) AS rank FROM a QUALIFY rank <= 3""")
 def top_features(spark, sf):
