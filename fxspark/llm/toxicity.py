@@ -18,6 +18,7 @@ labels (0 without labels). Other columns stay behind.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from itertools import chain
 
@@ -178,6 +179,21 @@ def telling(sampled: DataFrame, terms: int = TERMS) -> np.ndarray:
     return np.array(sorted(r["term"] for r in found), dtype=np.int64)
 
 
+def wide_is_better(narrow: list[np.ndarray], wide: list[np.ndarray], y: np.ndarray, n_kept: int) -> tuple[bool, int]:
+    """Whether the wide machine has the less loss on a fifth of the rows that neither has seen, and after how many epochs.
+
+    Rows with the same telling terms are on the same side, so that copies do not vouch for a machine that has seen them.
+    """
+    fold = np.array([zlib.crc32((a if len(a) else b).tobytes()) % 5 == 4 for a, b in zip(narrow, wide)], dtype=bool)
+    if not fold.any() or len(set(y[~fold])) < 2:
+        return False, 0
+    part = lambda rows, at: ([rows[i] for i in np.flatnonzero(at)], y[at])
+    few = Machine(n_kept)
+    few.fit(*part(narrow, ~fold))
+    loss, epochs = Machine(1 << BITS).fit(*part(wide, ~fold), unseen=part(wide, fold), **WIDE)
+    return loss < few.loss(*part(narrow, fold)), epochs
+
+
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray | None, Machine]:
     """The fitted machine and its terms: those kept by the narrow machine, None for the wide one."""
     sampled = stored(sample(docs, labels), "toxicity-sample")
@@ -198,15 +214,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray | None, Machin
     found = sorted(found, key=lambda r: (r["toxic"], bytes(r["every"]), bytes(r["few"])))  # the same fit whatever order tasks end in
     y = np.array([r["toxic"] for r in found], dtype=np.float64)
     narrow, wide = ([np.frombuffer(r[c], "<i4").astype(np.int64) for r in found] for c in ("few", "every"))
-    fold = np.arange(len(y)) % 5 == 4
-    learnt, unseen = (lambda rows, at: [rows[i] for i in np.flatnonzero(at)]), {}
-    for name, rows, machine, how in (("narrow", narrow, Machine(len(kept)), {}), ("wide", wide, Machine(1 << BITS), WIDE)):
-        check = learnt(rows, fold), y[fold]
-        unseen[name] = machine.fit(learnt(rows, ~fold), y[~fold], unseen=check if how else None, **how) if fold.any() and len(set(y[~fold])) == 2 else (np.inf, 0)
-        if not how and fold.any():
-            unseen[name] = machine.loss(*check), 0
-    loss, epochs = unseen["wide"]
-    if loss < unseen["narrow"][0]:
+    better, epochs = wide_is_better(narrow, wide, y, len(kept))
+    if better:
         machine = Machine(1 << BITS)
         machine.fit(wide, y, **{**WIDE, "epochs": epochs})
         machine.w, machine.v = machine.w.astype(np.float32), machine.v.astype(np.float32)
