@@ -34,6 +34,7 @@ TERMS = 4_096  # terms of the narrow machine at most
 BITS = 18  # the wide machine has 2 ** BITS places
 WIDE = dict(epochs=40, decay=1e-3)  # how the wide machine learns; it stops when the fifth that it does not see gets worse
 PATIENCE = 4  # epochs without a better loss
+TRIAL, FAR = 5, 1.5  # a machine whose loss is FAR times the other's after TRIAL epochs is given up
 LEAST_DOCS = 3  # sampled documents that a term must be in
 FACTORS = 8
 SURE = 0.7
@@ -109,8 +110,11 @@ class Machine:
         p = np.clip(self.score(rows), 1e-12, 1 - 1e-12)
         return float(-np.where(y > 0, np.log(p), np.log(1 - p)).mean())
 
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = 25, batch: int = 256, rate: float = 0.1, decay: float = 2e-4, seed: int = 2, unseen: tuple | None = None) -> tuple[float, int]:
-        """Logistic loss by Adagrad over shuffled batches; the least loss on ``unseen`` (rows, y) and its epoch, where learning ends PATIENCE epochs later."""
+    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = 25, batch: int = 256, rate: float = 0.1, decay: float = 2e-4, seed: int = 2, unseen: tuple | None = None, rival: float = np.inf) -> tuple[float, int]:
+        """Logistic loss by Adagrad over shuffled batches; the least loss on ``unseen`` (rows, y) and its epoch.
+
+        With ``unseen`` learning ends PATIENCE epochs behind the best, or after TRIAL epochs if it is far behind ``rival``.
+        """
         best = (np.inf, 0)
         r = np.random.default_rng(seed)
         gw, gv, gb = np.full_like(self.w, 1e-6), np.full_like(self.v, 1e-6), 1e-6
@@ -137,7 +141,7 @@ class Machine:
                 self.bias -= rate * error.sum() / np.sqrt(gb)
             if unseen:
                 best = min(best, (self.loss(*unseen), epoch))
-                if epoch - best[1] >= PATIENCE:
+                if epoch - best[1] >= PATIENCE or epoch >= TRIAL and best[0] > FAR * rival:
                     break
         return best
 
@@ -190,8 +194,9 @@ def wide_is_better(narrow: list[np.ndarray], wide: list[np.ndarray], y: np.ndarr
     part = lambda rows, at: ([rows[i] for i in np.flatnonzero(at)], y[at])
     few = Machine(n_kept)
     few.fit(*part(narrow, ~fold))
-    loss, epochs = Machine(1 << BITS).fit(*part(wide, ~fold), unseen=part(wide, fold), **WIDE)
-    return loss < few.loss(*part(narrow, fold)), epochs
+    rival = few.loss(*part(narrow, fold))
+    loss, epochs = Machine(1 << BITS).fit(*part(wide, ~fold), unseen=part(wide, fold), rival=rival, **WIDE)
+    return loss < rival, epochs
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray | None, Machine]:
