@@ -104,7 +104,8 @@ class Machine:
         return self.bias + single + 0.5 * ((total**2).sum(1) - square)
 
     def score(self, rows: list[np.ndarray]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.raw(rows), -40, 40)))
+        raw_ = [self.raw(rows[i : i + 256]) for i in range(0, len(rows), 256)]  # few rows' vectors at a time
+        return 1 / (1 + np.exp(-np.clip(np.concatenate(raw_) if raw_ else np.zeros(0), -40, 40)))
 
     def loss(self, rows: list[np.ndarray], y: np.ndarray) -> float:
         p = np.clip(self.score(rows), 1e-12, 1 - 1e-12)
