@@ -34,25 +34,42 @@ def _vector(df: DataFrame, feats: list[str], out: str = "features") -> DataFrame
     return VectorAssembler(inputCols=feats, outputCol=out, handleInvalid="skip").transform(df)
 
 
+CLUSTER_ROWS = 10_000  # rows of a task of a K-means step
+FITS = 4  # K-means models that are fitted side by side
+
+
 def clusters(df: DataFrame, key: str, feats: list[str], k_range: tuple[int, int] = (2, 10), min_silhouette: float = 0.3, seed: int = 42) -> DataFrame:
-    """K-means with k chosen by silhouette; one cluster when no k reaches ``min_silhouette``."""
+    """K-means with k chosen by silhouette; one cluster when no k reaches ``min_silhouette``.
+
+    A fit takes up to 300 short steps over all rows, so these are dealt into as many tasks as they need, not into those of a shuffle.
+    The tasks follow from the rows alone: the same rows give the same clusters on any cluster. Of equal silhouettes the smaller k wins.
+    """
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import vector_to_array
+
+    rows = cut(_vector(df, feats).select(key, "features"))
+    n = rows.count()
+    data = rows.repartition(max(1, -(-n // CLUSTER_ROWS)), key).sortWithinPartitions(key, vector_to_array("features")).persist()
+
+    def fit(k: int):
+        model = KMeans(k=k, seed=seed, maxIter=300, tol=1e-4).fit(data)
+        return model, ClusteringEvaluator().evaluate(model.transform(data))
 
-    data = _vector(df, feats).select(key, "features").persist()
+    best, best_score = None, -1.0
     try:
-        n = data.count()
-        best, best_score = None, -1.0
-        for k in range(k_range[0], min(k_range[1], n - 1) + 1):
-            model = KMeans(k=k, seed=seed, maxIter=300, tol=1e-4).fit(data)
-            score = ClusteringEvaluator().evaluate(model.transform(data))
-            if score > best_score:
-                best, best_score = model, score
+        with ThreadPool(FITS) as pool:
+            for model, score in pool.imap(inheritable_thread_target(df.sparkSession)(fit), range(k_range[0], min(k_range[1], n - 1) + 1)):
+                if score > best_score:
+                    best, best_score = model, score
     finally:
         data.unpersist()
     if best is None or best_score < min_silhouette:
-        return data.select(key, F.lit(0).alias("cluster"), F.lit(float(best_score)).alias("silhouette"))
-    return best.transform(data).select(key, F.col("prediction").alias("cluster"), F.lit(float(best_score)).alias("silhouette"))
+        return rows.select(key, F.lit(0).alias("cluster"), F.lit(float(best_score)).alias("silhouette"))
+    return best.transform(rows).select(key, F.col("prediction").alias("cluster"), F.lit(float(best_score)).alias("silhouette"))
 
 
 def f_statistic(df: DataFrame, label: str, feats: list[str]) -> DataFrame:
