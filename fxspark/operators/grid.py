@@ -67,12 +67,13 @@ def _pack(names: list[str]):
             state = np.where(before >= 0, np.take_along_axis(s, np.maximum(before, 0), 0), 0)
             known, opened = state == 1, before < 0
             sums = np.cumsum(np.where(known, move[:, None], 0.0), axis=0)
-            both = sums + np.cumsum(np.where(opened, move[:, None], 0.0), axis=0)
+            ahead = np.cumsum(np.where(opened, move[:, None], 0.0), axis=0)
+            both = sums + ahead
             enters = s == 1
             bits = np.packbits(known, axis=0)
             found = {
                 "param_id": np.arange(cols.start, cols.stop), "held": [bits[:, j].tobytes() for j in range(s.shape[1])], "open": opened.sum(axis=0),
-                "last": np.where(at[-1] >= 0, np.take_along_axis(s, np.maximum(at[-1:], 0), 0)[0], 0), "known": sums[-1], "opened": both[-1] - sums[-1],
+                "last": np.where(at[-1] >= 0, np.take_along_axis(s, np.maximum(at[-1:], 0), 0)[0], 0), "known": sums[-1], "opened": ahead[-1],  # both may be -inf
             }
             for i, (total, entry) in enumerate(((sums, enters & ((state == -1) | opened)), (both, enters & (state == -1)))):
                 top, first = total.max(axis=0), _last_where(entry)

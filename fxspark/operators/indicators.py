@@ -29,7 +29,9 @@ def simple_return(rl: Rolling, n: int, col: str = "close") -> Column:
 
 
 def log_return(rl: Rolling, col: str = "close") -> Column:
-    return F.ln(F.try_divide(F.col(col), rl.lag(col)))
+    """A fall to zero is -inf; without a value before it, or behind a zero, there is no return."""
+    ratio = F.try_divide(F.col(col), rl.lag(col))
+    return F.when(ratio == 0, F.lit(float("-inf"))).otherwise(F.ln(ratio))
 
 
 def sma(rl: Rolling, n: int, col: str = "close", full: bool = True) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import market as mk
 from ..functions.stats import correlation
 from ..operators import indicators as ind
 from ..operators import models as md
@@ -149,6 +150,7 @@ f AS (SELECT * FROM (SELECT *, count(lr) OVER (PARTITION BY symbol ORDER BY ts R
 def feature_rows(spark, sf):
     rl = ind.bar_series(bars(spark, sf)).rolling(21)
     rl.add({"log_return": ind.log_return(rl)})
+    rl.add({"log_return": mk.finite("log_return")})  # no model takes a total loss
     rl.add({"volatility": ind.rolling_std(rl, 20, "log_return"), "sma_10": ind.sma(rl, 10)})
     ind.rsi(rl, 14)
     ind.atr(rl, 14)

@@ -108,3 +108,20 @@ def test_bars_and_runs_meet_as_bits(spark):
     blocks = gr.packed(spark.createDataFrame(rows, SCHEMA), ["symbol", "timeframe"])
     assert blocks.filter("param_id >= 0").count() == 6 * 10  # runs x blocks
     assert blocks.agg(F.max(F.length("held"))).first()[0] == 2  # a bit for each of 16 bars
+
+
+def test_a_total_loss_stays_lost(spark):
+    """Runs that are held from the first bar, entered later, flat when the price falls to zero, or told to enter twice."""
+    close = np.r_[np.arange(10.0, 50.0), 0.0, np.full(20, 5.0)]
+    move = np.r_[0.0, np.log(close[1:41].clip(1e-300) / close[:40]), np.zeros(20)]
+    move[40] = -np.inf
+    n = len(close)
+    signals = np.stack([np.r_[1, np.zeros(n - 1, int)], np.where(np.arange(n) == 20, 1, np.where(np.arange(n) == 44, -1, 0)), np.where(np.arange(n) == 3, 1, np.where(np.arange(n) == 35, -1, 0)),
+                        np.isin(np.arange(n), (0, 34)).astype(int)], axis=1)
+    rows = [("A", "H1", i + 1, float(close[i]), float(move[i]), [int(v) for v in signals[i]]) for i in range(n)]
+    got = {r.param_id: r for r in gr.run_statistics(spark.createDataFrame(rows, SCHEMA), ["symbol", "timeframe"]).collect()}
+    for i in range(4):
+        want = plain(close, move, signals[:, i])
+        for c in ("total_return", "max_drawdown", "_dd_bars", "mean_ret", "_sdp", "_down", "_up_sum", "_down_sum"):
+            assert got[i][c] == pytest.approx(want[c], rel=1e-9, abs=1e-11), (i, c)
+    assert [got[i].total_return == -1.0 for i in range(4)] == [True, True, False, True]

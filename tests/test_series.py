@@ -198,3 +198,38 @@ def test_indicator_plan_has_no_whole_series_window(bars):
     plan = rl.add({"s": ind.sma(rl, 10)}).done()._jdf.queryExecution().optimizedPlan().toString()
     heavy = [x for x in plan.splitlines() if "Window [" in x and "avg(" in x]
     assert heavy and all("_blk" in x for x in heavy)
+
+
+def falls(spark, n=60, at=(7, 40)):
+    """A series that goes up by one from 100 but falls to zero at some bars."""
+    t = pd.date_range("2024-01-01", periods=n, freq="97min")
+    close = [0.0 if i in at else 100.0 + i for i in range(n)]
+    pdf = pd.DataFrame({"symbol": "A", "timeframe": "M1", "ts": t, "open": close, "high": close, "low": close, "close": close, "volume": 1.0})
+    return close, spark.createDataFrame(pdf).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def test_a_fall_to_zero_is_a_log_return_of_minus_infinity(spark):
+    close, df = falls(spark)
+    rl = ind.bar_series(df).rolling(1)
+    rl.add({"lr": ind.log_return(rl)})
+    got = [r["lr"] for r in rl.done().orderBy("ts").collect()]
+    want = [None if i == 0 or close[i - 1] == 0 else -np.inf if close[i] == 0 else np.log(close[i] / close[i - 1]) for i in range(len(close))]
+    assert [x is None for x in got] == [x is None for x in want]
+    np.testing.assert_allclose([x for x in got if x is not None], [x for x in want if x is not None], rtol=1e-12)
+
+
+@pytest.mark.parametrize("at", [(40,), (33, 50), (48,)])  # inside a block, in two, at the begin of one
+def test_a_fall_to_zero_ends_the_equity_of_a_held_position(spark, at):
+    close, df = falls(spark, at=at)
+    run = [{"donchian_period": 5, "sl_pct": 0.01, "tp_pct": 0.01}]
+    pos = sg.positions(sg.signals(df, "breakout", run)).orderBy("ts").collect()
+    lost = False
+    for i, p in enumerate(pos):
+        lost = lost or (p.was_long and close[i] == 0)
+        if p.was_long and close[i] == 0:
+            assert p.ret == -1.0
+        assert (p.log_equity == -np.inf) == lost and p.drawdown == (1.0 if lost else 0.0)
+    assert lost
+    m = sg.grid_metrics(df, "breakout", run).first()
+    assert m.total_return == -1.0 and m.max_drawdown == 1.0 and m.recovery_factor == -1.0
+    assert m.max_drawdown_duration_hours == pytest.approx(max(p.bars_under_peak for p in pos) / 60)
