@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 
 from ..session import kept
 from .ranking import top_per_group
-from .vectors import _pairs, _unit, nearest
+from .vectors import _unit, best_pairs, nearest
 
 SAMPLE = 20_000  # stored vectors that the centroids are learnt from, at most
 MOST_LISTS = 1_024
 PIECE = 50_000  # vectors of a piece, about
-ROWS = 1_024  # queries that are multiplied with a piece at a time
+PROBES = 65_536  # pairs of a query and a list that are looked at, and rows that are handed on, at a time
 ROUNDS = 10
 TRIALS = 64  # queries that a calibration tries
 HITS = "query_id bigint, item_id bigint, score double"
@@ -86,27 +86,32 @@ def build(store: DataFrame, lists: int | None = None) -> Lists:
 
 def _probe(queries: DataFrame, index: Lists, pick) -> DataFrame:
     """Queries with each piece that they probe; ``pick(near, batch)`` says which lists, for rows of similarities to the centroids."""
-    c, pieces = index.centroids, index.pieces
+    kind = dict(queries.dtypes)["vector"]
+    return queries.mapInPandas(_probing(index.centroids, index.pieces, pick), f"query_id bigint, vector {kind}, list int, piece int")
+
+
+def _probing(c: np.ndarray, pieces: np.ndarray, pick):
+    """A query is repeated for each list it probes, so a batch of queries is handed on in frames of bounded size."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
+        step = max(1, PROBES // max(1, len(c)))
+        for b in (whole.iloc[i : i + step] for whole in batches for i in range(0, len(whole), step)):
             row, lst = np.nonzero(pick(_unit(b["vector"]) @ c.T, b) & (pieces > 0)[None, :])
             n = pieces[lst]
             row, lst, piece = np.repeat(row, n), np.repeat(lst, n), np.concatenate([np.arange(k) for k in n]) if len(n) else n
-            yield pd.DataFrame({"query_id": b["query_id"].to_numpy()[row], "vector": b["vector"].to_numpy()[row], "list": lst.astype("int32"), "piece": piece.astype("int32")})
+            q_ids, vectors = b["query_id"].to_numpy(), b["vector"].to_numpy()
+            for i in range(0, len(row), PROBES):
+                at = slice(i, i + PROBES)
+                yield pd.DataFrame({"query_id": q_ids[row[at]], "vector": vectors[row[at]], "list": lst[at].astype("int32"), "piece": piece[at].astype("int32")})
 
-    kind = dict(queries.dtypes)["vector"]
-    return queries.mapInPandas(run, f"query_id bigint, vector {kind}, list int, piece int")
+    return run
 
 
 def _hits(probes: DataFrame, index: Lists, k: int) -> DataFrame:
     def block(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         if q.empty or s.empty:
             return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-        stored = _unit(s["vector"]).T
-        return pd.concat([_pairs(q["query_id"][i : i + ROWS], s["item_id"], _unit(q["vector"][i : i + ROWS]) @ stored, k) for i in range(0, len(q), ROWS)])
+        return best_pairs(q["query_id"], _unit(q["vector"]), s["item_id"], _unit(s["vector"]), k)
 
     return probes.groupBy("list", "piece").cogroup(index.rows.groupBy("list", "piece")).applyInPandas(block, HITS)
 

@@ -3,7 +3,7 @@
 Exact search: every query is compared with every stored vector, by matrix products inside Arrow batches,
 and only the best ``k`` per query leave a task. Few queries (measured) are broadcast and the store is read
 once where it lies. More queries are cut into blocks and multiplied with slices of the store, so no task
-holds more than one block and one slice.
+holds more than one block and one slice, and of their similarities ``CELLS`` at a time.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from .ranking import top_per_group
 
 BROADCAST_QUERIES = 2048
 SLICE_ROWS = 65_536
+CELLS = 1 << 21  # similarities in memory at a time; ranking them takes a few arrays of this size
 
 
 def _unit(vectors) -> np.ndarray:
@@ -51,6 +52,12 @@ def _pairs(q_ids, s_ids, scores: np.ndarray, k: int) -> pd.DataFrame:
     })
 
 
+def best_pairs(q_ids, q: np.ndarray, s_ids, s: np.ndarray, k: int) -> pd.DataFrame:
+    """Best ``k`` of the unit vectors ``s`` for each of ``q``, so many rows of ``q`` at a time that memory does not grow with them."""
+    q_ids, step = np.asarray(q_ids), max(1, CELLS // max(1, len(s)))
+    return pd.concat([_pairs(q_ids[i : i + step], s_ids, q[i : i + step] @ s.T, k) for i in range(0, len(q), step)])
+
+
 def nearest(queries: DataFrame, store: DataFrame, k: int = 10, broadcast_limit: int = BROADCAST_QUERIES, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Best ``k`` stored vectors per query: rows (query_id, item_id, score, rank).
 
@@ -70,7 +77,7 @@ def nearest(queries: DataFrame, store: DataFrame, k: int = 10, broadcast_limit:
             best = None
             for b in batches:
                 if len(b):
-                    new = _pairs(q_ids, b["item_id"], q @ _unit(b["vector"]).T, k)
+                    new = best_pairs(q_ids, q, b["item_id"], _unit(b["vector"]), k)
                     best = new if best is None else pd.concat([best, new]).sort_values(
                         ["query_id", "score", "item_id"], ascending=[True, False, True]).groupby("query_id").head(k)
             if best is not None:
@@ -87,7 +94,7 @@ def nearest(queries: DataFrame, store: DataFrame, k: int = 10, broadcast_limit:
         def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if a.empty or b.empty:
                 return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-            return _pairs(a["query_id"], b["item_id"], _unit(a["vector"]) @ _unit(b["vector"]).T, k)
+            return best_pairs(a["query_id"], _unit(a["vector"]), b["item_id"], _unit(b["vector"]), k)
 
         cast = lambda d: d.withColumns({"_q": F.col("_q").cast("int"), "_s": F.col("_s").cast("int")})
         hits = cast(q).groupBy("_q", "_s").cogroup(cast(s).groupBy("_q", "_s")).applyInPandas(block, out)

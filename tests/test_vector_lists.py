@@ -61,3 +61,37 @@ def test_few_hits_nulls_and_empty_tables(spark):
     assert vl.search(queries.limit(0), index, 3).count() == 0
     empty = vl.build(store.limit(0))
     assert vl.search(queries, empty, 3, certify=True).count() == 0 and vl.calibrated(empty) == 1
+
+
+def test_products_are_made_in_bounded_parts(monkeypatch):
+    import tracemalloc
+
+    r = np.random.default_rng(2)
+    q, s = (ve._unit(r.normal(size=(n, 8))) for n in (1_500, 20_000))
+    s[5:9] = s[4]  # ties
+    ids = r.permutation(20_000)
+    tracemalloc.start()
+    got = ve.best_pairs(np.arange(1_500), q, ids, s, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6  # all products at once take 240 MB, and their ranking several times as much
+    for i in (0, 77, 1_499):
+        score = np.round(s @ q[i], 12)
+        want = ids[np.lexsort((ids, -score))[:3]].tolist()
+        assert sorted(got[got["query_id"] == i]["item_id"]) == sorted(want)
+    assert len(got) == 4_500
+
+
+def test_probes_are_handed_on_in_bounded_frames(data, monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(vl, "PROBES", 100)
+    queries, store, exact = data
+    vectors = [np.eye(16)[i % 16] for i in range(50)]
+    batch = pd.DataFrame({"query_id": range(50), "vector": vectors})
+    pieces = np.array([1] * 15 + [20])
+    frames = list(vl._probing(np.eye(16), pieces, lambda sims, b: np.ones(sims.shape, bool))(iter([batch, batch.iloc[:0]])))
+    assert max(map(len, frames)) <= 100
+    rows = pd.concat(frames)
+    assert len(rows) == 50 * 35 and not rows.duplicated(["query_id", "list", "piece"]).any()
+    assert all(v is vectors[i] or np.array_equal(v, vectors[i]) for i, v in zip(rows["query_id"], rows["vector"]))
