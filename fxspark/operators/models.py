@@ -53,7 +53,9 @@ def clusters(df: DataFrame, key: str, feats: list[str], k_range: tuple[int, int]
 
     rows = cut(_vector(df, feats).select(key, "features"))
     n = rows.count()
-    data = rows.repartition(max(1, -(-n // CLUSTER_ROWS)), key).sortWithinPartitions(key, vector_to_array("features")).persist()
+    tasks = max(1, -(-n // CLUSTER_ROWS))
+    # coalesce changes nothing unless the session holds shuffles at more partitions than asked for
+    data = rows.repartition(tasks, key).coalesce(tasks).sortWithinPartitions(key, vector_to_array("features")).persist()
 
     def fit(k: int):
         model = KMeans(k=k, seed=seed, maxIter=300, tol=1e-4).fit(data)
